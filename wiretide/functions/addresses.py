@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,38 +75,62 @@ def is_valid_ip(ip: Column) -> Column:
 
 def _v4_number(ip: Column) -> Column:
     """Dotted quad as a BIGINT."""
-    octets = F.split(ip, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).cast("bigint")
-    return number
+    return F.aggregate(
+        F.split(ip, r"\."),
+        F.lit(0).cast("bigint"),
+        lambda number, octet: number * 256 + octet.cast("bigint"),
+    )
 
 
-def _hex_groups(ip: Column) -> Column:
-    """IPv6 text as an array of eight lower-case four-digit hex groups."""
-    plain = F.lower(F.regexp_replace(ip, "%.*$", ""))
-    quad = F.regexp_extract(plain, rf"({_V4})$", 1)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once instead of being repeated in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _quad_as_hex(quad: Column) -> Column:
     octets = F.transform(
         F.split(quad, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")
     )
-    as_hex = F.concat(
-        F.get(octets, F.lit(0)), F.get(octets, F.lit(1)), F.lit(":"),
-        F.get(octets, F.lit(2)), F.get(octets, F.lit(3)),
+    return _let(
+        octets,
+        lambda o: F.concat(o[0], o[1], F.lit(":"), o[2], o[3]),
     )
-    plain = F.when(
-        quad != "", F.concat(F.regexp_replace(plain, rf"{_V4}$", ""), as_hex)
-    ).otherwise(plain)
+
+
+def _hex_groups(ip: Column) -> Column:
+    """IPv6 text as an array of eight lower-case four-digit hex groups."""
 
     def groups(text: Column) -> Column:
         return F.filter(F.split(text, ":"), lambda g: g != "")
 
-    head = groups(F.substring_index(plain, "::", 1))
-    tail = F.when(
-        F.contains(plain, F.lit("::")), groups(F.substring_index(plain, "::", -1))
-    ).otherwise(F.array().cast("array<string>"))
-    missing = F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))
-    full = F.concat(head, F.array_repeat(F.lit("0"), missing), tail)
-    return F.transform(full, lambda g: F.lpad(g, 4, "0"))
+    def filled(head: Column, tail: Column) -> Column:
+        missing = F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))
+        return F.concat(head, F.array_repeat(F.lit("0"), missing), tail)
+
+    def expand(text: Column) -> Column:
+        tail = F.when(
+            F.contains(text, F.lit("::")), groups(F.substring_index(text, "::", -1))
+        ).otherwise(F.array().cast("array<string>"))
+        sides = F.array(groups(F.substring_index(text, "::", 1)), tail)
+        return _let(sides, lambda s: filled(s[0], s[1]))
+
+    quad = F.regexp_extract(ip, rf"({_V4})(?:%.*)?$", 1)
+    plain = F.lower(F.regexp_replace(ip, "%.*$", ""))
+    hexed = F.when(
+        quad != "", F.concat(F.regexp_replace(plain, rf"{_V4}$", ""), _quad_as_hex(quad))
+    ).otherwise(plain)
+    return F.transform(_let(hexed, expand), lambda g: F.lpad(g, 4, "0"))
+
+
+def _squeeze(text: Column) -> Column:
+    """The first longest run of two or more zero groups as ``::``."""
+    squeezed = text
+    for run in range(2, 9):
+        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+        squeezed = F.when(
+            text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")
+        ).otherwise(squeezed)
+    return squeezed
 
 
 def canonical_ip(ip: Column) -> Column:
@@ -117,14 +142,10 @@ def canonical_ip(ip: Column) -> Column:
     text = F.array_join(
         F.transform(_hex_groups(ip), lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":"
     )
-    squeezed = text
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        squeezed = F.when(
-            text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")
-        ).otherwise(squeezed)
     scope = F.regexp_extract(ip, "(%.*)$", 1)
-    return F.when(F.contains(ip, F.lit(":")), F.concat(squeezed, scope)).otherwise(ip)
+    return F.when(
+        F.contains(ip, F.lit(":")), F.concat(_let(text, _squeeze), scope)
+    ).otherwise(ip)
 
 
 def _v4_within(number: Column, blocks: tuple[str, ...]) -> Column:
@@ -145,18 +166,18 @@ def _v6_within(hex32: Column, blocks: tuple[str, ...]) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """True when an address is private, loopback, link-local or reserved."""
-    v4 = _v4_number(ip)
-    hex32 = F.array_join(_hex_groups(ip), "")
-    mapped = F.conv(F.substring(hex32, 25, 8), 16, 10).cast("bigint")
 
     def v4_private(number: Column) -> Column:
         return _v4_within(number, PRIVATE_V4) & ~_v4_within(number, PUBLIC_V4)
 
-    v6_private = F.when(
-        F.startswith(hex32, F.lit(MAPPED_V4_PREFIX)), v4_private(mapped)
-    ).otherwise(_v6_within(hex32, PRIVATE_V6) & ~_v6_within(hex32, PUBLIC_V6))
+    def v6_private(hex32: Column) -> Column:
+        mapped = F.conv(F.substring(hex32, 25, 8), 16, 10).cast("bigint")
+        return F.when(
+            F.startswith(hex32, F.lit(MAPPED_V4_PREFIX)), _let(mapped, v4_private)
+        ).otherwise(_v6_within(hex32, PRIVATE_V6) & ~_v6_within(hex32, PUBLIC_V6))
+
     return (
-        F.when(ip.rlike(IPV4_REGEX), v4_private(v4))
-        .when(ip.rlike(IPV6_REGEX), v6_private)
+        F.when(ip.rlike(IPV4_REGEX), _let(_v4_number(ip), v4_private))
+        .when(ip.rlike(IPV6_REGEX), _let(F.array_join(_hex_groups(ip), ""), v6_private))
         .otherwise(F.lit(False))
     )

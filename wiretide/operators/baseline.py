@@ -41,13 +41,7 @@ def _baseline(directed: DataFrame, by: str | Sequence[str], seconds: Column) ->
     keys = _keys(by)
     group = [F.col(k) for k in keys]
     dims = [F.col(c) for c in ("src_ip", "dst_ip", "protocol")]
-    cells = directed.groupBy(*keys, "src_ip", "dst_ip", "protocol").agg(
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-    )
-    ends = cells.groupingSets([[*group, d] for d in dims], *group, *dims).agg(
+    ends = directed.groupingSets([[*group, d] for d in dims], *group, *dims).agg(
         F.grouping("src_ip").alias("not_src"),
         F.grouping("dst_ip").alias("not_dst"),
         F.grouping("protocol").alias("not_protocol"),

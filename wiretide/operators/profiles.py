@@ -34,13 +34,7 @@ def scan_pairs(directed: DataFrame, by: str | Sequence[str] = "capture_id") -> D
 
 def _per_source(directed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per destination and one per port of every source, told apart by ``kind``."""
-    cells = directed.groupBy(*keys, "src_ip", "dst_ip", "dst_port", "protocol").agg(
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-    )
-    ports = cells.groupBy(*keys, "src_ip", "dst_ip", "dst_port").agg(
+    ports = directed.groupBy(*keys, "src_ip", "dst_ip", "dst_port").agg(
         F.sum("packets").alias("packets"),
         F.sum("bytes").alias("bytes"),
         F.min("first_us").alias("first_us"),
@@ -73,7 +67,7 @@ def _per_source(directed: DataFrame, keys: list[str]) -> DataFrame:
         F.when(of_host, F.col("first_us")).alias("first_us"),
         F.when(of_host, F.col("last_us")).alias("last_us"),
     )
-    protocols = cells.select(*keys, "src_ip", "protocol").distinct()
+    protocols = directed.select(*keys, "src_ip", "protocol").distinct()
     return hosts_and_ports.unionByName(protocols, allowMissingColumns=True)
 
 
