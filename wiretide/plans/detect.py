@@ -55,6 +55,8 @@ def _identified(raw: DataFrame, by: str) -> DataFrame:
         "rule_version",
         "entity",
         "subject",
+        # flow findings follow flow start, all others follow their subject
+        F.when(F.col("timed"), F.col("timestamp_start")).alias("order_time"),
         "severity_code",
         severity_name(F.col("severity_code")).alias("severity"),
         "confidence_code",
@@ -78,6 +80,7 @@ def _candidate(rule: Rule, place: int):
         F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.rule_name).alias("rule_name"),
         F.lit(rule.version).alias("rule_version"),
+        F.lit(rule.source == "flows").alias("timed"),
         rule.finding().alias("body"),
     )
 
@@ -103,6 +106,7 @@ def run_rules(features: Features, registry: RuleRegistry | None = None) -> Detec
                             "rule_id": F.lit(rule.rule_id),
                             "rule_name": F.lit(rule.rule_name),
                             "rule_version": F.lit(rule.version),
+                            "timed": F.lit(False),
                         }
                     )
                 )
@@ -122,7 +126,7 @@ def run_rules(features: Features, registry: RuleRegistry | None = None) -> Detec
             sources[name]
             .select(by, F.inline(F.array(*candidates)))
             .where(F.col("body").isNotNull())
-            .select(by, "rule_place", "rule_id", "rule_name", "rule_version", "body.*")
+            .select(by, "rule_place", "rule_id", "rule_name", "rule_version", "timed", "body.*")
         )
     if not parts:
         raise ValueError("no rule could be planned")
