@@ -163,7 +163,7 @@ FROM {events}
 SCORES = """
 SELECT user_id % 8 AS session_id, concat('NET-00', CAST(event_id % 9 + 1 AS VARCHAR(9))) AS rule_id,
  CAST(floor(event_id / 10.0) AS BIGINT) AS flush_id, event_id AS seq,
- floor(least(value, 100.0)) / 100.0 AS raw_score
+ CAST(floor(least(value, 100.0)) AS DOUBLE) / 100 AS raw_score
 FROM {events}
 """
 

@@ -189,7 +189,7 @@ ORACLES["http_methods"] = f"""{cte("http")} SELECT capture_id, upper(method) AS
  count(*) AS requests FROM http WHERE method <> '' GROUP BY ALL"""
 ORACLES["http_statuses"] = f"""{cte("http")} SELECT capture_id, status_code,
  count(*) AS responses FROM http WHERE status_code IS NOT NULL GROUP BY ALL"""
-ORACLES["http_top_paths"] = f"{cte('http')},{_HTTP} SELECT * FROM top"
+ORACLES["http_top_paths"] = f"{cte('http')},{_HTTP} SELECT * REPLACE (CAST(place AS INT) AS place) FROM top"
 ORACLES["http_agents"] = f"""{cte("http")} SELECT capture_id, user_agent, count(*) AS requests,
  min(seq) AS first_seq FROM http WHERE user_agent <> '' GROUP BY ALL"""
 ORACLES["page_url_paths"] = r"""
@@ -244,8 +244,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes_t
 r AS (SELECT f.*, greatest(duration_ms / 1000.0, 0.001) AS seconds,
    greatest(expected_bytes_per_second, 0.001) AS expected FROM ranked f JOIN base USING (capture_id)
    WHERE place <= 20)
-SELECT capture_id, place, src_ip, dst_ip,
- round((bytes_total / seconds / expected - 1) * 100, 2) AS bytes_exceeded_pct,
+SELECT capture_id, CAST(place AS INT) AS place, src_ip, dst_ip,
+ round((bytes_total / seconds / expected - 1) * 100, 2) + 0.0 AS bytes_exceeded_pct,
  round(packets_total / seconds, 2) AS packets_per_second,
  round(bytes_total / seconds, 2) AS bytes_per_second, src_bytes > dst_bytes AS is_upload_dominated
 FROM r"""
@@ -267,8 +267,8 @@ _DIMENSIONS = " UNION ALL ".join(
     for d in ("src_ip", "dst_ip", "dst_port", "protocol")
 )
 ORACLES["top_talkers"] = f"""{FLOWS}, dims AS ({_DIMENSIONS})
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, dimension ORDER BY bytes DESC, key)
- AS place FROM dims) WHERE place <= 10"""
+SELECT * REPLACE (CAST(place AS INT) AS place) FROM (SELECT *, row_number() OVER (PARTITION BY capture_id,
+ dimension ORDER BY bytes DESC, key) AS place FROM dims) WHERE place <= 10"""
 ORACLES["protocol_distribution"] = f"""{FLOWS}, v AS (SELECT capture_id, protocol, {_VOLUME}
  FROM flow GROUP BY ALL)
 SELECT *, round(bytes / CAST(sum(bytes) OVER (PARTITION BY capture_id) AS DOUBLE) * 100, 2)

@@ -131,7 +131,7 @@ def traffic_deviations(
         "place",
         "src_ip",
         "dst_ip",
-        F.round((rate / expected - 1) * 100, 2).alias("bytes_exceeded_pct"),
+        (F.round((rate / expected - 1) * 100, 2) + F.lit(0.0)).alias("bytes_exceeded_pct"),
         F.round(F.col("packets_total") / seconds, 2).alias("packets_per_second"),
         F.round(rate, 2).alias("bytes_per_second"),
         (F.col("src_bytes") > F.col("dst_bytes")).alias("is_upload_dominated"),
