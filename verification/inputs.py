@@ -16,7 +16,7 @@ EPOCH_MS = 1704067200000  # 2024-01-01T00:00:00Z
 # grows with time; equal packet numbers have equal stamps, so ties do not change any result.
 LINE_PACKETS = f"""
 WITH b AS (
- SELECT l_suppkey % 8 + 8 * CAST(floor(l_orderkey / 100000.0) AS BIGINT) AS capture_id,
+ SELECT l_suppkey % 8 + 8 * CAST((l_orderkey - l_orderkey % 100000) / 100000 AS BIGINT) AS capture_id,
         l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, l_orderkey * 8 + l_linenumber AS pn,
         CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d,
         CAST(round(l_tax * 100) AS BIGINT) AS t, l_returnflag AS rf
@@ -45,7 +45,7 @@ FROM c
 # (0 beacon, 1 ICMP flood, 2 bulk upload, 3 vertical scan, 4 plain browsing).
 ORDER_PACKETS = f"""
 WITH o AS (
- SELECT CAST(floor(o_orderkey / 1000.0) AS BIGINT) AS block, o_orderkey % 1000 AS i FROM {{orders}}),
+ SELECT CAST((o_orderkey - o_orderkey % 1000) / 1000 AS BIGINT) AS block, o_orderkey % 1000 AS i FROM {{orders}}),
 k AS (
  SELECT block, i, CASE WHEN i < 60 THEN 0 WHEN i < 360 THEN 1 WHEN i < 510 THEN 2
                        WHEN i < 760 THEN 3 ELSE 4 END AS kind,
@@ -70,7 +70,7 @@ FROM k
 PACKETS = f"SELECT * FROM ({LINE_PACKETS}) lp UNION ALL SELECT * FROM ({ORDER_PACKETS}) op"
 
 _EVENT_KEYS = (
-    "user_id % 4 + 4 * CAST(floor(event_id / 100000.0) AS BIGINT) AS capture_id, "
+    "user_id % 4 + 4 * CAST((event_id - event_id % 100000) / 100000 AS BIGINT) AS capture_id, "
     f"event_id AS seq, {EPOCH_MS} + event_id * 180 AS ts_ms"
 )
 
@@ -162,7 +162,7 @@ FROM {events}
 # Scores of findings in arrival order; ten consecutive events make one flush.
 SCORES = """
 SELECT user_id % 8 AS session_id, concat('NET-00', CAST(event_id % 9 + 1 AS VARCHAR(9))) AS rule_id,
- CAST(floor(event_id / 10.0) AS BIGINT) AS flush_id, event_id AS seq,
+ CAST((event_id - event_id % 10) / 10 AS BIGINT) AS flush_id, event_id AS seq,
  CAST(floor(least(value, 100.0)) AS DOUBLE) / 100 AS raw_score
 FROM {events}
 """

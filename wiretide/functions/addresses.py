@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,69 +67,49 @@ IPV4_REGEX = rf"^{_V4}$"
 IPV6_REGEX = rf"^{_v6_pattern()}$"
 
 
-def is_valid_ip(ip: Column) -> Column:
-    """True for a syntactically valid IPv4 or IPv6 address, never NULL."""
-    return F.coalesce(ip.rlike(IPV4_REGEX) | ip.rlike(IPV6_REGEX), F.lit(False))
-
-
-def _v4_number(ip: Column) -> Column:
-    """Dotted quad as a BIGINT."""
-    return F.aggregate(
-        F.split(ip, r"\."),
-        F.lit(0).cast("bigint"),
-        lambda number, octet: number * 256 + octet.cast("bigint"),
-    )
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once instead of being repeated in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _quad_as_hex(quad: Column) -> Column:
-    octets = F.transform(
-        F.split(quad, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0")
-    )
-    return _let(
-        octets,
-        lambda o: F.concat(o[0], o[1], F.lit(":"), o[2], o[3]),
-    )
+# Lambdas are written as SQL text: one parsed text plans much faster than hundreds of Column calls,
+# and the lambda variable keeps a value from being repeated all over the plan.
+_QUAD = rf"regexp_extract(ip, r'({_V4})(?:%.*)?$', 1)"
+_OCTETS_HEX = ", ".join(
+    f"lpad(lower(hex(CAST(o[{i}] AS INT))), 2, '0')" + (", ':'" if i == 1 else "")
+    for i in range(4)
+)
+_QUAD_HEX = rf"transform(array(split({_QUAD}, r'\.')), o -> concat({_OCTETS_HEX}))[0]"
+_PLAIN = "lower(regexp_replace(ip, '%.*$', ''))"
+_GROUPS = rf"""ip -> transform(array(
+  CASE WHEN {_QUAD} <> '' THEN concat(regexp_replace({_PLAIN}, r'{_V4}$', ''), {_QUAD_HEX})
+  ELSE {_PLAIN} END),
+ p -> transform(array(struct(
+   filter(split(substring_index(p, '::', 1), ':'), g -> g <> '') AS head,
+   CASE WHEN contains(p, '::') THEN filter(split(substring_index(p, '::', -1), ':'), g -> g <> '')
+     ELSE CAST(array() AS ARRAY<STRING>) END AS tail)),
+  s -> transform(concat(s.head, array_repeat('0', greatest(8 - size(s.head) - size(s.tail), 0)),
+    s.tail), g -> lpad(g, 4, '0')))[0])[0]"""
 
 
-def _hex_groups(ip: Column) -> Column:
-    """IPv6 text as an array of eight lower-case four-digit hex groups."""
+def _apply(value: Column, function: str) -> Column:
+    """A SQL lambda applied to one value."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), F.lit(0))
 
-    def groups(text: Column) -> Column:
-        return F.filter(F.split(text, ":"), lambda g: g != "")
 
-    def filled(head: Column, tail: Column) -> Column:
-        missing = F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))
-        return F.concat(head, F.array_repeat(F.lit("0"), missing), tail)
+def is_valid_ip(ip: Column) -> Column:
+    """True for a syntactically valid IPv4 or IPv6 address, never NULL."""
+    return F.coalesce(ip.rlike(IPV4_REGEX) | ip.rlike(IPV6_REGEX), F.lit(False))
 
-    def expand(text: Column) -> Column:
-        tail = F.when(
-            F.contains(text, F.lit("::")), groups(F.substring_index(text, "::", -1))
-        ).otherwise(F.array().cast("array<string>"))
-        sides = F.array(groups(F.substring_index(text, "::", 1)), tail)
-        return _let(sides, lambda s: filled(s[0], s[1]))
 
-    quad = F.regexp_extract(ip, rf"({_V4})(?:%.*)?$", 1)
-    plain = F.lower(F.regexp_replace(ip, "%.*$", ""))
-    hexed = F.when(
-        quad != "", F.concat(F.regexp_replace(plain, rf"{_V4}$", ""), _quad_as_hex(quad))
-    ).otherwise(plain)
-    return F.transform(_let(hexed, expand), lambda g: F.lpad(g, 4, "0"))
+def _squeeze() -> str:
+    """Replace the first longest run of two or more zero groups by ``::``."""
+    squeezed = "t"
+    for run in range(2, 9):
+        pattern = f"r'^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$'"
+        squeezed = (
+            f"CASE WHEN t RLIKE {pattern} THEN regexp_replace(t, {pattern}, '$1::$2') "
+            f"ELSE {squeezed} END"
+        )
+    return f"t -> {squeezed}"
 
 
-def _squeeze(text: Column) -> Column:
-    """The first longest run of two or more zero groups as ``::``."""
-    squeezed = text
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        squeezed = F.when(
-            text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")
-        ).otherwise(squeezed)
-    return squeezed
+_UNPADDED = "g -> array_join(transform(g, x -> regexp_replace(x, '^0{1,3}', '')), ':')"
 
 
 def canonical_ip(ip: Column) -> Column:
@@ -139,45 +118,35 @@ def canonical_ip(ip: Column) -> Column:
     IPv4 text passes through. The value decides flow identity, so two spellings
     of one address must not open two flows.
     """
-    text = F.array_join(
-        F.transform(_hex_groups(ip), lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":"
-    )
+    text = _apply(_apply(_apply(ip, _GROUPS), _UNPADDED), _squeeze())
     scope = F.regexp_extract(ip, "(%.*)$", 1)
-    return F.when(
-        F.contains(ip, F.lit(":")), F.concat(_let(text, _squeeze), scope)
-    ).otherwise(ip)
+    return F.when(F.contains(ip, F.lit(":")), F.concat(text, scope)).otherwise(ip)
 
 
-def _v4_within(number: Column, blocks: tuple[str, ...]) -> Column:
-    inside = F.lit(False)
-    for block in blocks:
-        net = ipaddress.IPv4Network(block)
-        inside = inside | number.between(int(net[0]), int(net[-1]))
-    return inside
+def _v4_within(number: str, blocks: tuple[str, ...]) -> str:
+    nets = [ipaddress.IPv4Network(b) for b in blocks]
+    return " OR ".join(f"{number} BETWEEN {int(n[0])} AND {int(n[-1])}" for n in nets)
 
 
-def _v6_within(hex32: Column, blocks: tuple[str, ...]) -> Column:
-    inside = F.lit(False)
-    for block in blocks:
-        net = ipaddress.IPv6Network(block)
-        inside = inside | hex32.between(f"{int(net[0]):032x}", f"{int(net[-1]):032x}")
-    return inside
+def _v6_within(hex32: str, blocks: tuple[str, ...]) -> str:
+    nets = [ipaddress.IPv6Network(b) for b in blocks]
+    return " OR ".join(f"{hex32} BETWEEN '{int(n[0]):032x}' AND '{int(n[-1]):032x}'" for n in nets)
 
 
-def is_private_ip(ip: Column) -> Column:
-    """True when an address is private, loopback, link-local or reserved."""
-
-    def v4_private(number: Column) -> Column:
-        return _v4_within(number, PRIVATE_V4) & ~_v4_within(number, PUBLIC_V4)
+_V4_PRIVATE = f"n -> ({_v4_within('n', PRIVATE_V4)}) AND NOT ({_v4_within('n', PUBLIC_V4)})"
+_V4_NUMBER = (
+    r"q -> aggregate(split(q, r'\.'), 0L, (n, octet) -> n * 256 + CAST(octet AS BIGINT))"
+)
+_V6_PRIVATE = f"""h -> CASE WHEN startswith(h, '{MAPPED_V4_PREFIX}')
+  THEN transform(array(CAST(conv(substring(h, 25, 8), 16, 10) AS BIGINT)), {_V4_PRIVATE})[0]
+  ELSE ({_v6_within('h', PRIVATE_V6)}) AND NOT ({_v6_within('h', PUBLIC_V6)}) END"""
 
-    def v6_private(hex32: Column) -> Column:
-        mapped = F.conv(F.substring(hex32, 25, 8), 16, 10).cast("bigint")
-        return F.when(
-            F.startswith(hex32, F.lit(MAPPED_V4_PREFIX)), _let(mapped, v4_private)
-        ).otherwise(_v6_within(hex32, PRIVATE_V6) & ~_v6_within(hex32, PUBLIC_V6))
 
+def is_private_ip(ip: Column) -> Column:
+    """True when an address is private, loopback, link-local or reserved."""
+    hex32 = _apply(_apply(ip, _GROUPS), "g -> array_join(g, '')")
     return (
-        F.when(ip.rlike(IPV4_REGEX), _let(_v4_number(ip), v4_private))
-        .when(ip.rlike(IPV6_REGEX), _let(F.array_join(_hex_groups(ip), ""), v6_private))
+        F.when(ip.rlike(IPV4_REGEX), _apply(_apply(ip, _V4_NUMBER), _V4_PRIVATE))
+        .when(ip.rlike(IPV6_REGEX), _apply(hex32, _V6_PRIVATE))
         .otherwise(F.lit(False))
     )

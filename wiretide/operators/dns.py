@@ -58,34 +58,54 @@ def dns_rates_by_ip(cells: DataFrame, by: str | Sequence[str] = "capture_id") ->
     )
 
 
-def dns_domain_stats(cells: DataFrame, by: str | Sequence[str] = "capture_id") -> DataFrame:
-    """Query rate, distinct subdomains and base64-like share per registered domain.
+def _domain_counts(names: DataFrame, keys: list[str]) -> DataFrame:
+    """Queries, distinct subdomains and base64-like share per domain.
 
-    The empty subdomain counts as one subdomain but not towards the base64 share.
+    ``names`` has one row per name with its ``query_count``.
     """
-    keys = _keys(by)
-    names = cells.groupBy(*keys, "qname").agg(F.sum("queries").alias("queries"))
     subdomains = (
-        names.withColumn("domain", registered_domain(F.col("qname")))
-        .withColumn("subdomain", subdomain(F.col("qname")))
+        names.select(
+            *keys,
+            registered_domain(F.col("qname")).alias("domain"),
+            subdomain(F.col("qname")).alias("subdomain"),
+            "query_count",
+        )
         .groupBy(*keys, "domain", "subdomain")
-        .agg(F.sum("queries").alias("queries"))
+        .agg(F.sum("query_count").alias("queries"))
     )
     filled = F.col("subdomain") != ""
-    encoded = F.count_if(filled & looks_base64(F.col("subdomain")))
     return (
         subdomains.groupBy(*keys, "domain")
         .agg(
             F.sum("queries").alias("domain_queries"),
             F.count(F.lit(1)).alias("unique_subdomain_count"),
-            F.when(F.count_if(filled) > 0, F.round(encoded / F.count_if(filled), 4))
+            F.count_if(filled).alias("filled"),
+            F.count_if(filled & looks_base64(F.col("subdomain"))).alias("encoded"),
+        )
+        .select(
+            *keys,
+            "domain",
+            "domain_queries",
+            "unique_subdomain_count",
+            F.when(F.col("filled") > 0, F.round(F.col("encoded") / F.col("filled"), 4))
             .otherwise(F.lit(0.0))
             .alias("base64_ratio"),
         )
+    )
+
+
+def dns_domain_stats(cells: DataFrame, by: str | Sequence[str] = "capture_id") -> DataFrame:
+    """Query rate, distinct subdomains and base64-like share per registered domain.
+
+    The empty subdomain counts as one subdomain but not towards the base64 share.
+    """
+    keys = _keys(by)
+    names = cells.groupBy(*keys, "qname").agg(F.sum("queries").alias("query_count"))
+    rate = F.round(F.col("domain_queries") / F.col("minutes"), 4)
+    return (
+        _domain_counts(names, keys)
         .join(dns_minutes(cells, by), keys)
-        .withColumn(
-            "query_frequency_per_domain", F.round(F.col("domain_queries") / F.col("minutes"), 4)
-        )
+        .withColumn("query_frequency_per_domain", rate)
         .drop("minutes")
     )
 
@@ -98,51 +118,33 @@ def dns_profiles(cells: DataFrame, by: str | Sequence[str] = "capture_id") -> Da
     """
     keys = _keys(by)
     name = [*keys, "qname"]
-    source_rows = (
-        cells.groupBy(*name, "src_ip")
-        .agg(
-            F.sum("queries").alias("queries"),
-            F.sum("coded").alias("coded"),
-            F.sum("succeeded").alias("succeeded"),
-            F.sum("sized").alias("sized"),
-            F.sum("size_sum").alias("size_sum"),
-        )
-    )
-    type_rows = cells.select(*name, "qtype").distinct()
+    sums = ("queries", "coded", "succeeded", "sized", "size_sum")
+    columns = [F.col(c) for c in name]
+    # one shuffle for rows per (name, source) and per (name, type)
+    grouped = cells.groupingSets(
+        [[*columns, F.col("src_ip")], [*columns, F.col("qtype")]],
+        *columns, F.col("src_ip"), F.col("qtype"),
+    ).agg(F.grouping("src_ip").alias("of_type"), *[F.sum(c).alias(c) for c in sums])
+    by_text = Window.partitionBy(*name).orderBy("src_ip")
     listed = (
-        source_rows.select(*name, F.col("src_ip").alias("listed_ip"))
-        .withColumn("place", F.row_number().over(Window.partitionBy(*name).orderBy("listed_ip")))
+        grouped.where(F.col("of_type") == 0)
+        .select(*name, "src_ip")
+        .withColumn("place", F.row_number().over(by_text))
         .where(F.col("place") <= LISTED_SOURCES)
-        .drop("place")
-    )
-    busiest = Window.partitionBy(*name).orderBy(F.desc("queries"), "src_ip")
-    top = (
-        source_rows.select(*name, "src_ip", "queries")
-        .withColumn("place", F.row_number().over(busiest))
-        .where(F.col("place") == 1)
-        .select(*name, F.col("src_ip").alias("top_ip"), F.col("queries").alias("top_queries"))
-    )
-    counted = source_rows.groupBy(*name).agg(
-        F.count(F.lit(1)).alias("sources"),
-        *[F.sum(c).alias(c) for c in ("queries", "coded", "succeeded", "sized", "size_sum")],
-    )
-    stacked = (
-        counted.unionByName(type_rows, allowMissingColumns=True)
-        .unionByName(listed, allowMissingColumns=True)
-        .unionByName(top, allowMissingColumns=True)
+        .select(*name, F.col("src_ip").alias("listed_ip"))
     )
+    of_source = F.col("of_type") == 0
+    stacked = grouped.unionByName(listed, allowMissingColumns=True)
     per_name = stacked.groupBy(*name).agg(
-        F.max("queries").alias("query_count"),
-        F.max("sources").alias("unique_src_ips"),
+        *[F.sum(F.when(of_source, F.col(c))).alias(c) for c in sums],
+        F.count_if(of_source).alias("unique_src_ips"),
         F.sort_array(F.collect_set("qtype")).alias("unique_qtypes"),
         F.sort_array(F.collect_set("listed_ip")).alias("listed_src_ips"),
-        F.max("top_ip").alias("top_src_ip"),
-        F.max("top_queries").alias("top_queries"),
-        *[F.max(c).alias(c) for c in ("coded", "succeeded", "sized", "size_sum")],
-    )
+        F.min(F.when(of_source, F.struct((-F.col("queries")).alias("order"), F.col("src_ip")))).alias("busiest"),
+    ).withColumnRenamed("queries", "query_count")
     return (
         per_name.withColumn("domain", registered_domain(F.col("qname")))
-        .join(dns_domain_stats(cells, by), [*keys, "domain"])
+        .join(_domain_counts(per_name, keys), [*keys, "domain"])
         .join(dns_minutes(cells, by), keys)
         .select(
             *name,
@@ -158,9 +160,13 @@ def dns_profiles(cells: DataFrame, by: str | Sequence[str] = "capture_id") -> Da
             .alias("response_success_rate"),
             "unique_src_ips",
             "listed_src_ips",
-            "top_src_ip",
-            F.round(F.col("top_queries") / F.col("minutes"), 4).alias("max_query_frequency_per_ip"),
-            "query_frequency_per_domain",
+            F.col("busiest.src_ip").alias("top_src_ip"),
+            F.round(-F.col("busiest.order") / F.col("minutes"), 4).alias(
+                "max_query_frequency_per_ip"
+            ),
+            F.round(F.col("domain_queries") / F.col("minutes"), 4).alias(
+                "query_frequency_per_domain"
+            ),
             "unique_subdomain_count",
             "base64_ratio",
         )

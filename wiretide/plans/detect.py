@@ -81,7 +81,7 @@ def _candidate(rule: Rule, place: int):
         F.lit(rule.rule_name).alias("rule_name"),
         F.lit(rule.version).alias("rule_version"),
         F.lit(rule.source == "flows").alias("timed"),
-        rule.finding().alias("body"),
+        rule.column().alias("body"),
     )
 
 
@@ -133,7 +133,8 @@ def run_rules(features: Features, registry: RuleRegistry | None = None) -> Detec
     findings = parts[0]
     for part in parts[1:]:
         findings = findings.unionByName(part)
-    return Detection(_identified(findings, by), tuple(failed))
+    # few rows that several outputs (alerts, risk, statistics) read again
+    return Detection(features.hold(_identified(findings, by)), tuple(failed))
 
 
 def overall_risk(
@@ -142,7 +143,7 @@ def overall_risk(
     by: str = "capture_id",
     failed_rules: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Risk summary of every group in ``groups``; groups without findings score zero."""
+    """Risk summary of every group in ``groups`` (one row each); no findings means zero."""
     weight, score = F.col("severity_code"), F.col("risk_score")
     counts = [
         F.count_if(weight == code).alias(f"n_{name}") for code, name in enumerate(SEVERITIES, 1)
@@ -173,7 +174,6 @@ def overall_risk(
     )
     return (
         groups.select(by)
-        .distinct()
         .join(summary, by, "left")
         .join(top, by, "left")
         .select(
@@ -215,7 +215,6 @@ def overall_risk_worst_first(
     )
     return (
         groups.select(by)
-        .distinct()
         .join(top, by, "left")
         .select(by, F.coalesce("max_score", F.lit(0)).alias("max_score"),
                 F.round(score, 2).alias("worst_first_score"))

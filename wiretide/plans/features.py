@@ -53,7 +53,7 @@ class Features:
             "initiator_only": initiator_only,
         }
 
-    def _hold(self, table: DataFrame) -> DataFrame:
+    def hold(self, table: DataFrame) -> DataFrame:
         if self._keep:
             table = table.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(table)
@@ -71,7 +71,7 @@ class Features:
 
     @cached_property
     def flow_state(self) -> DataFrame:
-        return self._hold(flows.flow_state(self._flow_rows(), self.by, self.chunk_rows))
+        return self.hold(flows.flow_state(self._flow_rows(), self.by, self.chunk_rows))
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -135,7 +135,7 @@ class Features:
     @cached_property
     def dns_cells(self) -> DataFrame | None:
         records = self._records("dns")
-        return None if records is None else self._hold(dns.dns_cells(records, self.by))
+        return None if records is None else self.hold(dns.dns_cells(records, self.by))
 
     @cached_property
     def dns_profiles(self) -> DataFrame | None:

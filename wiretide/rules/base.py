@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,15 @@ class Rule:
     plan: Callable[[Features], DataFrame] | None = None
     version: str = "1.0.0"
 
+    def column(self) -> Column:
+        """The finding column, built once per process: a stream plans it for every batch."""
+        return _finding_column(self.finding)
+
+
+@lru_cache(maxsize=256)
+def _finding_column(finding: Callable[[], Column]) -> Column:
+    return finding()
+
 
 class RuleRegistry:
     """Rules by id, in order of first registration."""

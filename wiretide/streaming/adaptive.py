@@ -12,6 +12,7 @@ deviations.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -39,25 +40,24 @@ class AdaptiveConfig:
     disabled_rules: tuple[str, ...] = field(default=())
 
 
-def adapt_values(
-    raw: np.ndarray, samples: int, mean: float, deviation: float, config: AdaptiveConfig
-) -> np.ndarray:
-    """Adapted scores of one rule against one baseline."""
-    raw = np.clip(raw.astype("float64"), 0.0, 1.0)
+def adapt_value(
+    raw: float, samples: int, mean: float, deviation: float, config: AdaptiveConfig
+) -> float:
+    """Adapted form of one score, already cut to 0..1, against one baseline."""
     if samples < config.min_samples:
         return raw
     if deviation > config.min_deviation:
-        z = np.clip((raw - mean) / deviation, -config.z_cap, config.z_cap)
+        distance = min(max((raw - mean) / deviation, -config.z_cap), config.z_cap)
     else:
-        z = np.sign(raw - mean) * config.z_cap
-    slope = np.where(z > 0, config.z_boost, config.z_suppress)
-    return np.clip(raw * np.maximum(1.0 + z * slope, 0.0), 0.0, 1.0)
+        distance = config.z_cap * ((raw > mean) - (raw < mean))
+    slope = config.z_boost if distance > 0 else config.z_suppress
+    return min(max(raw * max(1.0 + distance * slope, 0.0), 0.0), 1.0)
 
 
 def adapt_column(
     raw: Column, samples: Column, mean: Column, deviation: Column, config: AdaptiveConfig
 ) -> Column:
-    """``adapt_values`` as a Column expression."""
+    """``adapt_value`` as a Column expression."""
     raw = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
     cap = F.lit(config.z_cap)
     distance = F.when(
@@ -71,28 +71,41 @@ def adapt_column(
 
 
 class _Fold:
-    """Running baseline of the (session, rule) being read."""
+    """Running baseline of the (group, rule) being read."""
 
     def __init__(self, config: AdaptiveConfig) -> None:
         self.config = config
         self.key: tuple | None = None
         self.flush: object = None
+        self.adapting = False
         self.history: deque[float] = deque(maxlen=config.window_size)
         self.pending: deque[float] = deque(maxlen=config.window_size)
         self.base = (0, 0.0, 0.0)
 
-    def open(self, key: tuple, flush: object) -> None:
-        if key != self.key:
+    def score(self, key: tuple, flush: object, raw: float) -> float:
+        if key != self.key or flush != self.flush:
+            self._open(key, flush)
+        adapted = min(max(raw, 0.0), 1.0)
+        if self.adapting:
+            adapted = adapt_value(adapted, *self.base, self.config)
+        self.pending.append(adapted)
+        return adapted
+
+    def _open(self, key: tuple, flush: object) -> None:
+        if key == self.key:
+            self.history.extend(self.pending)
+        else:
             self.key = key
+            self.adapting = self.config.enabled and key[1] not in self.config.disabled_rules
             self.history.clear()
-        else:
-            self.history.extend(self.pending)
         self.pending.clear()
         self.flush = flush
-        values = np.fromiter(self.history, dtype="float64")
-        self.base = (
-            (len(values), float(values.mean()), float(values.std())) if len(values) else (0, 0.0, 0.0)
-        )
+        n = len(self.history)
+        if n:
+            mean = sum(self.history) / n
+            self.base = (n, mean, math.sqrt(sum((x - mean) ** 2 for x in self.history) / n))
+        else:
+            self.base = (0, 0.0, 0.0)
 
 
 def _fold_batches(
@@ -101,19 +114,11 @@ def _fold_batches(
     """Fold rows that arrive sorted by (group, rule, flush, seq)."""
     fold = _Fold(config)
     for batch in batches:
-        adapted = np.empty(len(batch))
-        samples = np.empty(len(batch), dtype="int64")
-        flush_of = batch.groupby([by, "rule_id", "flush_id"], sort=False, dropna=False).indices
-        for (group, rule, flush), rows in flush_of.items():
-            if (group, rule) != fold.key or flush != fold.flush:
-                fold.open((group, rule), flush)
-            raw = batch["raw_score"].to_numpy()[rows]
-            if config.enabled and rule not in config.disabled_rules:
-                values = adapt_values(raw, *fold.base, config)
-            else:
-                values = np.clip(raw, 0.0, 1.0)
-            fold.pending.extend(values)
-            adapted[rows], samples[rows] = values, fold.base[0]
+        adapted, samples = np.empty(len(batch)), np.empty(len(batch), dtype="int64")
+        columns = (batch[c].tolist() for c in (by, "rule_id", "flush_id", "raw_score"))
+        for place, (group, rule, flush, raw) in enumerate(zip(*columns)):
+            adapted[place] = fold.score((group, rule), flush, raw)
+            samples[place] = fold.base[0]
         yield batch.assign(baseline_samples=samples, adapted_score=adapted)
 
 
@@ -228,19 +233,18 @@ def stream_adaptive_scores(
     rule_at = len(by)
 
     def step(key, batches, state):
-        history = deque(state.get[0] if state.exists else (), maxlen=config.window_size)
-        values = np.array(history, dtype="float64")
-        base = (len(values), float(values.mean()), float(values.std())) if len(values) else (0, 0.0, 0.0)
-        on = config.enabled and key[rule_at] not in config.disabled_rules
-        recent: deque[tuple] = deque(maxlen=config.window_size)
+        fold = _Fold(config)
+        fold.key = (key[:rule_at], key[rule_at])
+        fold.pending.extend(state.get[0] if state.exists else ())
+        fold.adapting = config.enabled and key[rule_at] not in config.disabled_rules
+        newest: list[tuple] = []
         for batch in batches:
-            raw = batch["raw_score"].to_numpy()
-            adapted = adapt_values(raw, *base, config) if on else np.clip(raw, 0.0, 1.0)
-            recent.extend(sorted(zip(batch["seq"], adapted))[-config.window_size:])
-            recent = deque(sorted(recent), maxlen=config.window_size)
-            yield batch.assign(baseline_samples=base[0], adapted_score=adapted)
-        history.extend(score for _, score in recent)
-        state.update(([float(x) for x in history],))
+            raw = batch["raw_score"].tolist()
+            adapted = [fold.score(fold.key, "batch", r) for r in raw]
+            newest = sorted([*newest, *zip(batch["seq"].tolist(), adapted)])[-config.window_size:]
+            yield batch.assign(baseline_samples=fold.base[0], adapted_score=adapted)
+        fold.history.extend(score for _, score in newest)
+        state.update((list(fold.history),))
 
     return scores.groupBy(*by, "rule_id").applyInPandasWithState(
         step, schema, STATE_SCHEMA, "append", "NoTimeout"
