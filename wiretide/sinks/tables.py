@@ -11,12 +11,12 @@ from wiretide.operators.flows import stored_flows
 def write_flows(flow_table: DataFrame, path: str, by: str = "capture_id", mode: str = "append") -> None:
     """Stored flows by day of flow start, sorted by group, protocol and time.
 
-    The (day, hash of group) layout keeps one task per day from writing everything, and the sort
-    gives Parquet narrow min/max ranges to skip by.
+    Rebalancing gathers a day in few files but splits a day or capture that is too large for one
+    task; the sort gives Parquet narrow min/max ranges to skip by.
     """
     rows = stored_flows(flow_table, by).withColumn("day", F.to_date("start_time"))
     (
-        rows.repartition("day", by)
+        rows.hint("rebalance", "day")
         .sortWithinPartitions("day", by, "protocol", "start_time")
         .write.mode(mode)
         .partitionBy("day")

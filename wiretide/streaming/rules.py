@@ -70,6 +70,10 @@ class RuleStream:
     def _at(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch_id={batch_id}"
 
+    def _write(self, table: DataFrame, name: str, batch_id: int) -> None:
+        # rebalance: files of a sensible size however many tasks the plan ended in
+        table.hint("rebalance").write.mode("overwrite").parquet(self._at(name, batch_id))
+
     def _history(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
         if self.adaptive is None or batch_id == 0:
             return None
@@ -101,25 +105,21 @@ class RuleStream:
         if self.adaptive is not None:
             findings = _adapted(findings, history, self.adaptive, self.by)
         findings = features.hold(findings)
-        live_alert_rows(findings, self.by).write.mode("overwrite").parquet(
-            self._at("alerts", batch_id)
-        )
-        overall_risk(findings, features.totals, self.by, found.failed_rules).write.mode(
-            "overwrite"
-        ).parquet(self._at("risk", batch_id))
+        self._write(live_alert_rows(findings, self.by), "alerts", batch_id)
+        risk = overall_risk(findings, features.totals, self.by, found.failed_rules)
+        self._write(risk, "risk", batch_id)
         flushes = features.totals.select(
             self.by,
             F.lit(batch_id).cast("bigint").alias("flush_id"),
             F.col("window_end").alias("evaluated_at"),
         )
         rule_ids = [r.rule_id for r in self.registry.get_all()]
-        alerts.evaluation_rows(
-            flushes, findings.withColumn("flush_id", F.lit(batch_id).cast("bigint")), rule_ids, self.by
-        ).write.mode("overwrite").parquet(self._at("evaluations", batch_id))
+        hits = findings.withColumn("flush_id", F.lit(batch_id).cast("bigint"))
+        self._write(
+            alerts.evaluation_rows(flushes, hits, rule_ids, self.by), "evaluations", batch_id
+        )
         if self.adaptive is not None:
-            self._snapshot(findings, history, batch_id).write.mode("overwrite").parquet(
-                self._at("scores", batch_id)
-            )
+            self._write(self._snapshot(findings, history, batch_id), "scores", batch_id)
         features.release()
 
 
