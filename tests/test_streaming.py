@@ -106,8 +106,9 @@ def walk(rows, config, record):
     return sorted(out)
 
 
-@pytest.mark.parametrize("record", ["adapted", "original"])
-def test_adaptive_scores_equal_the_walked_result(spark, record):
+@pytest.mark.parametrize("record, block", [("adapted", 10_000), ("original", 10_000), ("original", 1), ("original", 9)])
+def test_adaptive_scores_equal_the_walked_result(spark, record, block, monkeypatch):
+    monkeypatch.setattr(adaptive, "BLOCK_FLUSHES", block)
     dice = random.Random(3)
     rows = [(f"s{dice.randint(0, 1)}", f"r{dice.randint(0, 2)}", n // 7, n, dice.choice([0.2, 0.5, 0.8, 0.81]))
             for n in range(900)]
@@ -170,6 +171,25 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     assert got == [2, 3]
 
 
+def test_idle_flows_join_across_slices(spark):
+    dice = random.Random(11)
+    at, rows = 0.0, []
+    for n in range(400):
+        at += dice.choice([0.5, 5, 9.9, 10.0, 30, 200])
+        rows.append(event(n, "10.0.0.1", 1, "10.0.0.2", 2, 10, at, session="hot" if n % 3 else "cold"))
+    want = []
+    for session in ("hot", "cold"):
+        stamps = [(r[1] - T0).total_seconds() for r in rows if r[FLOW_EVENTS.fieldNames().index("session_id")] == session]
+        sizes = [1]
+        for a, b in zip(stamps, stamps[1:]):
+            if round(b - a, 6) >= 10:
+                sizes.append(0)
+            sizes[-1] += 1
+        want += [(session, s) for s in sizes]
+    got = windows.idle_flows(spark.createDataFrame(rows, FLOW_EVENTS), 10).collect()
+    assert sorted((r.session_id, r.packets) for r in got) == sorted(want)
+
+
 def test_active_expiry_cuts_busy_flows(spark, tmp_path):
     rows = [event(i, "10.0.0.1", 1, "10.0.0.2", 2, 10, i) for i in range(25)]
     rows.append(event(99, "10.0.0.9", 1, "10.0.0.8", 2, 10, 500))

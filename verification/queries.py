@@ -432,7 +432,7 @@ def findings_all(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def overall_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     features = _features(spark, sf)
-    found = run_rules(features)
+    found = run_rules(features, hold=True)
     scores = overall_risk(found.findings, features.totals, failed_rules=found.failed_rules)
     return scores.select(
         "capture_id", "max_score", "weighted_score", "severity_label", "total_findings",
@@ -444,7 +444,9 @@ def overall_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def overall_risk_worst(spark: SparkSession, sf: str) -> DataFrame:
     features = _features(spark, sf)
-    return overall_risk_worst_first(run_rules(features).findings, features.totals)
+    return overall_risk_worst_first(
+        run_rules(features, hold=True).findings, features.totals
+    )
 
 
 # -- evaluation --------------------------------------------------------------------------------
@@ -627,7 +629,7 @@ def affected_hosts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def template_summary(spark: SparkSession, sf: str) -> DataFrame:
     features = _features(spark, sf, "ftp", "smtp")
-    found = run_rules(features)
+    found = run_rules(features, hold=True)
     scores = overall_risk(found.findings, features.totals)
     return assessment.template_summaries(found.findings, scores).select(
         "capture_id", "executive_summary"

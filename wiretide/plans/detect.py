@@ -85,10 +85,12 @@ def _candidate(rule: Rule, place: int):
     )
 
 
-def run_rules(features: Features, registry: RuleRegistry | None = None) -> Detection:
+def run_rules(
+    features: Features, registry: RuleRegistry | None = None, *, hold: bool = False
+) -> Detection:
     """Evaluate every rule, one pass per feature table.
 
-    A rule whose plan Spark refuses is left out and named; errors while running fail the job.
+    ``hold=True`` computes the findings once for several outputs. A rule whose plan Spark refuses is left out and named; errors while running fail the job.
     """
     by = features.by
     registry = registry or default_registry()
@@ -133,8 +135,8 @@ def run_rules(features: Features, registry: RuleRegistry | None = None) -> Detec
     findings = parts[0]
     for part in parts[1:]:
         findings = findings.unionByName(part)
-    # few rows that several outputs (alerts, risk, statistics) read again
-    return Detection(features.hold(_identified(findings, by)), tuple(failed))
+    findings = _identified(findings, by)
+    return Detection(features.hold(findings) if hold else findings, tuple(failed))
 
 
 def overall_risk(

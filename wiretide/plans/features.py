@@ -1,8 +1,8 @@
 """Feature tables of many captures (or live sessions) at once.
 
 A table is planned when first asked for. Packets or events are read once: they become flow state,
-which is kept on executors (memory, then disk) because flows, profiles, baseline and totals all
-start from it. Lost executors recompute their part from lineage.
+which is written to the cluster's checkpoint folder because flows, profiles, baseline and totals
+all start from it. Where there is no such folder it is kept on executors (memory, then disk).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wiretide.operators import applications, baseline, dns, flows, profiles
 from wiretide.rules.thresholds import HTTP_SCANNER_AGENTS, LOGIN_KEYWORDS
+from wiretide.session import drop_written, scratch_folder, written
 from wiretide.sources.events import event_dns, event_http
 
 
@@ -47,22 +48,32 @@ class Features:
         self.by = by
         self.chunk_rows = chunk_rows
         self._keep = keep
-        self._kept: list[DataFrame] = []
+        self._kept: list[DataFrame | str] = []
         self._profile_options = {
             "count_failures": count_failures,
             "initiator_only": initiator_only,
         }
 
     def hold(self, table: DataFrame) -> DataFrame:
-        if self._keep:
+        """A table that several results read, computed once."""
+        if not self._keep:
+            return table
+        folder = scratch_folder(table.sparkSession)
+        if folder is None:
             table = table.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(table)
+            return table
+        table, path = written(table, folder)
+        self._kept.append(path)
         return table
 
     def release(self) -> None:
-        """Drop kept blocks; call after the results are written."""
-        for table in self._kept:
-            table.unpersist()
+        """Drop held tables; call after the results are written."""
+        for held in self._kept:
+            if isinstance(held, str):
+                drop_written(self.tables.packets.sparkSession, held)
+            else:
+                held.unpersist()
         self._kept.clear()
 
     # -- traffic -----------------------------------------------------------------------------

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +32,38 @@ def local_session(cores: int | str = "*", app: str = "wiretide", **extra: str) -
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """Shared folder the cluster names in ``spark.checkpoint.dir``, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="wiretide-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def scratch_folder(spark: SparkSession) -> str | None:
+    """Where intermediate tables go.
+
+    The shared folder the cluster names in ``spark.checkpoint.dir``; on a local master without
+    that setting a temporary folder of this process; on a cluster without it, nowhere.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return f"file://{_local_folder()}"
+    return None
+
+
+def written(table: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """The table written to a fresh sub-folder and read back, and that sub-folder.
+
+    Cuts the plan, survives lost executors, and lets later steps read only the columns they need.
+    """
+    path = f"{folder}/wiretide-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path), path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Remove a folder made by ``written``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,7 +7,9 @@ deviations.
 * ``record="adapted"`` records the adapted score, as the live engine does. Each score then depends
   on all earlier ones, so one (session, rule) is a sequence by definition: rows are sorted on
   executors and folded batch by batch, holding ``window_size`` numbers and never a whole history.
-* ``record="original"`` records the raw score. Nothing is recursive; built-in windows do it.
+* ``record="original"`` records the raw score. Nothing is recursive; built-in windows do it, over
+  blocks of flushes that each carry a copy of the ``window_size`` scores before them, so a rule
+  with most of the findings is spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from pyspark.sql import types as T
 from wiretide.functions.scoring import risk_score, severity_code, severity_name
 
 
+# Flushes per block of ``record="original"``.
+BLOCK_FLUSHES = 10_000
+
+
 @dataclass(frozen=True)
 class AdaptiveConfig:
     """Defaults of the adaptation."""
@@ -122,6 +128,56 @@ def _fold_batches(
         yield batch.assign(baseline_samples=samples, adapted_score=adapted)
 
 
+def _blocks_with_lead(scores: DataFrame, key: list[str], size: int) -> DataFrame:
+    """Rows with their ``_block`` of flushes, plus copies (``_lead``) of the ``size`` rows before
+    each block.
+
+    Only the last ``size`` rows of a block can matter to later blocks. Numbered through per key,
+    the rows before a block are the ``size`` numbers below its first one; joining on number
+    ranges of that width finds them without comparing all pairs.
+    """
+    blocked = scores.withColumns(
+        {
+            "_block": F.call_function("div", F.col("flush_id"), F.lit(BLOCK_FLUSHES)),
+            "_lead": F.lit(False),
+        }
+    )
+    newest = Window.partitionBy(*key, "_block").orderBy(F.desc("flush_id"), F.desc("seq"))
+    tails = (
+        blocked.withColumn("_place", F.row_number().over(newest))
+        .where(F.col("_place") <= size)
+        .withColumn(
+            "_number",
+            F.row_number().over(Window.partitionBy(*key).orderBy("_block", F.desc("_place"))),
+        )
+    )
+    starts = (
+        tails.groupBy(*key, "_block")
+        .agg(F.min("_number").alias("_start"))
+        .select(
+            *key,
+            F.col("_block").alias("_to"),
+            "_start",
+            F.explode(
+                F.array_distinct(
+                    F.transform(
+                        F.array(F.col("_start") - size, F.col("_start") - 1),
+                        lambda n: F.floor(n / size),
+                    )
+                )
+            ).alias("_range"),
+        )
+    )
+    lead = (
+        tails.withColumn("_range", F.floor(F.col("_number") / size))
+        .join(starts, [*key, "_range"])
+        .where(F.col("_number").between(F.col("_start") - size, F.col("_start") - 1))
+        .withColumns({"_block": F.col("_to"), "_lead": F.lit(True)})
+        .select(*blocked.columns)
+    )
+    return blocked.unionByName(lead)
+
+
 def adaptive_scores(
     scores: DataFrame,
     config: AdaptiveConfig | None = None,
@@ -146,14 +202,16 @@ def adaptive_scores(
 
     key = [by, "rule_id"]
     earlier = (
-        Window.partitionBy(*key).orderBy("flush_id", "seq").rowsBetween(-config.window_size, -1)
+        Window.partitionBy(*key, "_block")
+        .orderBy("flush_id", "seq")
+        .rowsBetween(-config.window_size, -1)
     )
     flush_start = (
         Window.partitionBy(*key, "flush_id")
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    with_base = scores.withColumns(
+    with_base = _blocks_with_lead(scores, key, config.window_size).withColumns(
         {
             "_n": F.count("raw_score").over(earlier),
             "_mean": F.avg("raw_score").over(earlier),
@@ -178,7 +236,11 @@ def adaptive_scores(
             F.col("rule_id").isin(*config.disabled_rules),
             F.least(F.greatest("raw_score", F.lit(0.0)), F.lit(1.0)),
         ).otherwise(adapted)
-    return first.withColumn("adapted_score", adapted).drop("_n", "_mean", "_std")
+    return (
+        first.where(~F.col("_lead"))
+        .withColumn("adapted_score", adapted)
+        .drop("_n", "_mean", "_std", "_block", "_lead")
+    )
 
 
 def baseline_stats(

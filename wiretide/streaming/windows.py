@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretide.operators.flows import FLOW_KEY, _keys, event_flows, event_rows
@@ -80,6 +80,48 @@ def sliding_flows(
     return event_flows(spread.drop("w"), [by, "window_start"])
 
 
+def _merged() -> list[Column]:
+    names = ("packets", "bytes", "left_bytes", "syn", "rst", "ack")
+    return [
+        *[F.sum(n).alias(n) for n in names],
+        F.min("opener").alias("opener"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+    ]
+
+
+def _idle_batch(rows: DataFrame, key: list[str], gap_us: int) -> DataFrame:
+    """Idle expiry over data at rest.
+
+    Events are cut into flows inside time slices first, so a busy flow is spread over tasks; the
+    pieces, few per flow, are then joined across slice borders by the same rule.
+    """
+    slice_us = max(gap_us, 60_000_000)
+    us = F.unix_micros("event_time")
+    in_slice = Window.partitionBy(*key, "slice").orderBy("us")
+    so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = (F.col("us") - F.lag("us").over(in_slice) >= gap_us).cast("int")
+    pieces = (
+        rows.where(F.col("event_time").isNotNull())
+        .withColumn("us", us)
+        .withColumn("slice", F.call_function("div", F.col("us"), F.lit(slice_us)))
+        .withColumn("opens", F.coalesce(opens, F.lit(1)))
+        .withColumn("piece", F.sum("opens").over(so_far))
+        .groupBy(*key, "slice", "piece")
+        .agg(*_sums(F.col("from_left")))
+    )
+    in_flow = Window.partitionBy(*key).orderBy("start_time")
+    to_here = in_flow.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    idle = F.unix_micros("start_time") - F.unix_micros(F.lag("end_time").over(in_flow))
+    return (
+        pieces.withColumn("opens", F.coalesce((idle >= gap_us).cast("int"), F.lit(1)))
+        .withColumn("piece", F.sum("opens").over(to_here))
+        .groupBy(*key, "piece")
+        .agg(*_merged())
+        .drop("piece")
+    )
+
+
 def idle_flows(
     events: DataFrame,
     gap_seconds: float,
@@ -90,6 +132,8 @@ def idle_flows(
     if gap_seconds <= 0:
         raise ValueError("gap must be positive")
     rows = _endpoint_rows(events, by, watermark)
+    if not events.isStreaming:
+        return _idle_batch(rows, [*_keys(by), *FLOW_KEY], round(gap_seconds * 1_000_000))
     return (
         rows.groupBy(
             F.session_window("event_time", _width(gap_seconds)).alias("w"), *_keys(by), *FLOW_KEY
