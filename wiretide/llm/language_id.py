@@ -32,13 +32,16 @@ from wiretide.llm.common import slices
 UNKNOWN = "und"
 MAX_N = 3
 BUCKETS = 1 << 15
+#: Bytes to bytes: ASCII characters that are no letter to a space.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Multipliers of the n-gram hash, odd 64-bit numbers.
 _MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1F3D5B79A1C3E5F7 * k & (2**64 - 1)) for k in range(MAX_N)]
 
 
 def presence(text: str, out: np.ndarray) -> None:
-    """Set the places of the text's n-grams, lower-cased and white space as one space, to 1."""
-    codes = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "ignore"), np.uint32).astype(np.uint64)
+    """Set the places of the n-grams of the text's lower-cased letters to 1; all else is one space."""
+    plain = " ".join(text.lower().encode().translate(_LETTERS).decode().split())
+    codes = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     gram = np.zeros(len(codes), np.uint64)
     for n in range(min(MAX_N, len(codes))):
