@@ -11,7 +11,12 @@ from wiretide.llm import (
     decontamination,
     language_id,
     license_scan,
+    near_dedup,
+    packing,
+    quality_rules,
     secret_scan,
+    substring_dedup,
+    url_filters,
 )
 
 #: The vocabulary file; any rank file of fewer than 65,536 tokens serves.
@@ -22,6 +27,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=2)
+
+
+#: The url rules (verdict, host, path).
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    judged = url_filters.judge(table(spark, folder, "pages"), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.duplicate_spans(table(spark, folder, "documents"))
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, folder, "documents")))
 
@@ -51,9 +88,17 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_secret_scan": op3_secret_scan,
-    "op4_language_id": op4_language_id,
-    "op7_decontamination": op7_decontamination,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op9_license_scan": op9_license_scan,
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_substring_dedup,
+        op3_secret_scan,
+        op4_language_id,
+        op5_packing,
+        op6_quality_rules,
+        op7_decontamination,
+        op8_byte_bpe,
+        op9_license_scan,
+        op10_near_dedup,
+    )
 }
