@@ -106,15 +106,25 @@ def walk(rows, config, record):
     return sorted(out)
 
 
-@pytest.mark.parametrize("record, block", [("adapted", 10_000), ("original", 10_000), ("original", 1), ("original", 9)])
-def test_adaptive_scores_equal_the_walked_result(spark, record, block, monkeypatch):
-    monkeypatch.setattr(adaptive, "BLOCK_FLUSHES", block)
+@pytest.fixture(params=[("true", "3"), ("true", "8"), ("false", "8"), ("false", "200")])
+def planning(spark, request):
+    names = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, request.param):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("record, block", [("adapted", 10_000), ("original", 1), ("original", 5), ("original", 20)])
+def test_adaptive_scores_equal_the_walked_result(spark, planning, record, block):
     dice = random.Random(3)
     rows = [(f"s{dice.randint(0, 1)}", f"r{dice.randint(0, 2)}", n // 7, n, dice.choice([0.2, 0.5, 0.8, 0.81]))
             for n in range(900)]
     config = adaptive.AdaptiveConfig(window_size=25, min_samples=5, disabled_rules=("r2",))
     table = spark.createDataFrame(rows, "session_id string, rule_id string, flush_id long, seq long, raw_score double")
-    got = adaptive.adaptive_scores(table.repartition(5), config, record=record).collect()
+    got = adaptive.adaptive_scores(table.repartition(5), config, record=record, block_flushes=block).collect()
     got = sorted((r.session_id, r.rule_id, r.flush_id, r.seq, round(r.adapted_score, 9), r.baseline_samples)
                  for r in got)
     want = walk(rows, config, record)

@@ -7,7 +7,7 @@ for Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_MS = 1704067200000  # 2024-01-01T00:00:00Z
@@ -177,7 +177,17 @@ FROM {customer}
 
 # Raw live events, some of them broken on purpose.
 RAW_EVENTS = f"""
-SELECT event_id AS seq, CAST({EPOCH_MS} + event_id * 180 AS BIGINT) AS ts_ms,
+SELECT event_id AS seq, CASE WHEN event_id % 61 = 0 THEN 'yesterday' WHEN event_id % 67 = 0 THEN NULL
+      ELSE concat('2024-01-0', CAST(event_id % 9 + 1 AS VARCHAR(9)), 'T00:00:00Z') END AS ts,
+ CASE WHEN event_id % 71 = 0 THEN 'many' WHEN event_id % 73 = 0 THEN NULL
+      ELSE CAST(event_id % 1000 AS VARCHAR(9)) END AS bytes,
+ CASE WHEN event_id % 79 = 0 THEN 'nope' WHEN event_id % 7 = 0 THEN NULL
+      ELSE concat('12345678-1234-1234-1234-12345678900', CAST(event_id % 10 AS VARCHAR(9))) END AS session_id,
+ CASE WHEN event_id % 4 = 0 THEN 'GET' WHEN event_id % 4 = 1 THEN '' ELSE NULL END AS http_method,
+ CASE WHEN event_id % 3 = 0 THEN concat('/p/', CAST(event_id AS VARCHAR(20))) ELSE '' END AS http_uri,
+ CASE WHEN event_id % 5 = 0 THEN 'kiosk.test' ELSE NULL END AS http_host,
+ CASE WHEN event_id % 6 = 0 THEN concat('n', CAST(user_id AS VARCHAR(9)), '.kiosk.test') ELSE NULL END AS dns_qname,
+ CASE WHEN event_id % 12 = 0 THEN 'TXT' ELSE '' END AS dns_qtype,
  CASE WHEN event_id % 29 = 0 THEN '10.0.0.256' WHEN event_id % 31 = 0 THEN ''
       WHEN event_id % 5 = 0 THEN concat('fd00::', CAST(user_id % 9 + 1 AS VARCHAR(9)))
       ELSE concat('10.0.0.', CAST(user_id % 32 + 1 AS VARCHAR(9))) END AS src_ip,
@@ -241,3 +251,65 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "smtp":
         table = table.withColumn("rcpt_to", F.when(F.col("rcpt").isNotNull(), F.array("rcpt")))
     return table
+
+
+def packet_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Rows of a derived table as packets in a dissector's JSON: ``capture_id`` and ``value``.
+
+    Values are scalars, in every third packet lists with a second entry. Every eleventh packet has a
+    port, status or size that no number type holds, every thirteenth a source that is no address.
+    """
+    rows = load(spark, sf_dir, name)
+    number = F.col("packet_number" if name == "packets" else "seq")
+    junk = lambda c: F.when(number % 11 == 0, F.lit("9" * 30)).otherwise(F.col(c).cast("string"))
+    stamp = F.format_string("%d.%03d000", F.floor(F.col("ts_ms") / 1000), F.col("ts_ms") % 1000)
+    ends = {
+        "ip.src": F.when(number % 13 == 0, F.lit("no address")).otherwise(F.col("src_ip")),
+        "ip.dst": F.col("dst_ip"),
+    }
+    ports = {"srcport": junk("src_port"), "dstport": F.col("dst_port").cast("string")} if name == "packets" else {}
+    fields = {
+        "packets": {},
+        "dns": {
+            "dns.qry.name": "qname", "dns.qry.type": "qtype", "dns.flags.rcode": "response_code",
+            "dns.qry.name.len": "query_size_bytes",
+        },
+        "http": {
+            "http.request.method": "method", "http.host": "host", "http.request.uri": "uri",
+            "http.response.code": "status_code", "http.user_agent": "user_agent",
+        },
+        "ftp": {"ftp.request.command": "command", "ftp.response.code": "response_code"},
+        "smtp": {
+            "smtp.command": "command", "smtp.response.code": "response_code",
+        },
+    }[name]
+    odd = ("query_size_bytes", "status_code")
+
+    def text(as_list: bool) -> Column:
+        def value(column: Column) -> Column:
+            return F.when(column.isNotNull(), F.array(column, F.lit("second"))) if as_list else column
+
+        def layer(values: dict[str, Column]) -> Column:
+            return F.struct(*[value(v).alias(n) for n, v in values.items()])
+
+        own = {n: junk(c) if c in odd else F.col(c).cast("string") for n, c in fields.items() if c in rows.columns}
+        layers = [
+            F.struct(
+                number.cast("string").alias("frame.number"), stamp.alias("frame.time_epoch"),
+                (F.col("length") if name == "packets" else F.lit(80)).cast("string").alias("frame.len"),
+            ).alias("frame"),
+            F.struct(*[v.alias(n) for n, v in ends.items()]).alias("ip"),
+        ]
+        if name == "packets":
+            for kind in ("tcp", "udp"):
+                values = {f"{kind}.{n}": v for n, v in ports.items()}
+                if kind == "tcp":
+                    values["tcp.flags"] = F.col("tcp_flags")
+                layers.append(F.when(F.col("protocol") == kind.upper(), layer(values)).alias(kind))
+            icmp = F.struct(F.lit("8").alias("icmp.type"))
+            layers.append(F.when(F.col("protocol") == "ICMP", icmp).alias("icmp"))
+        else:
+            layers.append(layer(own).alias(name))
+        return F.to_json(F.struct(F.struct(F.struct(*layers).alias("layers")).alias("_source")))
+
+    return rows.select("capture_id", F.when(number % 3 == 0, text(True)).otherwise(text(False)).alias("value"))

@@ -593,6 +593,46 @@ SELECT s.capture_id, packet_count, attack_present IS NOT NULL AS has_label,
  round(packet_count / {D(2)}, 2) AS throughput_pps
 FROM s LEFT JOIN ground_truth USING (capture_id) LEFT JOIN f USING (capture_id)"""
 
+# -- dissector ---------------------------------------------------------------------------------
+def _parsed(name: str, columns: str, number: str = "seq") -> str:
+    """What is left of packet texts: broken numbers are NULL, broken addresses lose the packet."""
+    return f"{cte(name)} SELECT capture_id, {number}, src_ip, {columns} FROM {name} WHERE {number} % 13 <> 0"
+
+
+_JUNK = "CASE WHEN {} % 11 = 0 THEN NULL ELSE {} END AS {}".format
+ORACLES["parsed_packets"] = _parsed(
+    "packets",
+    "ts_ms, dst_ip, protocol, CAST(length AS BIGINT) AS length, "
+    "CASE WHEN protocol = 'TCP' THEN tcp_flags END AS tcp_flags, "
+    "CASE WHEN packet_number % 11 = 0 OR protocol = 'ICMP' THEN NULL ELSE src_port END AS src_port, "
+    "CASE WHEN protocol <> 'ICMP' THEN dst_port END AS dst_port",
+    "packet_number",
+)
+ORACLES["parsed_dns"] = _parsed(
+    "dns",
+    "qname, qtype, response_code, "
+    + _JUNK("seq", "CAST(query_size_bytes AS BIGINT)", "query_size_bytes"),
+)
+ORACLES["parsed_http"] = _parsed(
+    "http", "method, host, uri, user_agent, " + _JUNK("seq", "status_code", "status_code")
+)
+ORACLES["parsed_ftp"] = _parsed("ftp", "command, response_code")
+ORACLES["parsed_smtp"] = _parsed("smtp", "command, response_code")
+
+# -- alerts of findings ------------------------------------------------------------------------
+ORACLES["severe_findings"] = (
+    f"{ALL_RULES}{FINDINGS} SELECT * FROM finding WHERE severity IN ('HIGH', 'CRITICAL')"
+)
+ORACLES["stored_alert_rows"] = f"""{ALL_RULES}{FINDINGS}
+SELECT capture_id, rule_id, lower(severity) AS severity, rule_id AS category, FALSE AS ai_corroborated,
+ risk_score, confidence FROM finding"""
+ORACLES["live_alert_records"] = f"""{ALL_RULES}{FINDINGS}
+SELECT CAST(capture_id AS VARCHAR) AS session_id, rule_id, lower(severity) AS severity,
+ lower(confidence) AS confidence, risk_score, 'active' AS status FROM finding"""
+ORACLES["retained_flows"] = f"""{FLOWS}
+SELECT capture_id, src_ip, nullif(src_port, 0) AS src_port, dst_ip, nullif(dst_port, 0) AS dst_port, protocol
+FROM flow WHERE DATE '2024-01-01' + CAST(capture_id % 100 AS INT) >= DATE '2024-01-11'"""
+
 # -- events ------------------------------------------------------------------------------------
 _BAD = {
     "src_ip": "src_ip = '' OR src_ip = '10.0.0.256'",
@@ -600,8 +640,11 @@ _BAD = {
     "src_port": "CAST(src_port AS BIGINT) NOT BETWEEN 0 AND 65535",
     "dst_port": "CAST(dst_port AS BIGINT) NOT BETWEEN 0 AND 65535",
     "protocol": "trim(protocol) = ''",
+    "ts": "ts = 'yesterday'",
+    "bytes": "bytes = 'many'",
     "packets": "CAST(packets AS BIGINT) < 1",
     "http_status": "CAST(http_status AS BIGINT) NOT BETWEEN 100 AND 599",
+    "session_id": "session_id = 'nope'",
 }
 _REASONS = "concat_ws(',', " + ", ".join(
     f"CASE WHEN {bad} THEN '{name}' END" for name, bad in _BAD.items()
@@ -610,8 +653,18 @@ ORACLES["event_validation"] = f"""{cte("raw_events")}
 SELECT seq, {_REASONS} AS rejected_for FROM raw_events"""
 ORACLES["typed_events"] = f"""{cte("raw_events")}
 SELECT seq, src_ip, dst_ip, CAST(src_port AS INT) AS src_port, CAST(dst_port AS INT) AS dst_port,
- upper(trim(protocol)) AS protocol, CAST(packets AS BIGINT) AS packets
+ upper(trim(protocol)) AS protocol, CAST(packets AS BIGINT) AS packets,
+ coalesce(CAST(bytes AS BIGINT), 0) AS bytes, coalesce(session_id, 'none') AS session_id,
+ coalesce(epoch_ms(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0) AS ts_ms
 FROM raw_events WHERE {_REASONS} = ''"""
+_VALID = f"""{cte("raw_events")}, v AS (SELECT *, coalesce(session_id, 'none') AS own FROM raw_events
+ WHERE {_REASONS} = '')"""
+ORACLES["event_http_records"] = f"""{_VALID}
+SELECT own AS session_id, seq, http_method AS method, coalesce(http_host, dst_ip) AS host,
+ coalesce(nullif(http_uri, ''), '/') AS uri, CAST(http_status AS INT) AS status_code FROM v WHERE http_method <> ''"""
+ORACLES["event_dns_records"] = f"""{_VALID}
+SELECT own AS session_id, seq, dns_qname AS qname, coalesce(nullif(dns_qtype, ''), 'A') AS qtype FROM v
+WHERE dns_qname <> ''"""
 ORACLES["address_classes"] = f"""{cte("packets")},
 ips AS (SELECT src_ip AS ip FROM packets UNION ALL SELECT dst_ip FROM packets)
 SELECT ip, starts_with(ip, '10.') AS private, count(*) AS packets FROM ips GROUP BY ip"""
@@ -648,6 +701,30 @@ z AS (SELECT *, CASE WHEN bs > 1e-9 THEN greatest(least((raw_score - bm) / bs, 3
 SELECT session_id, rule_id, flush_id, seq, bn AS baseline_samples,
  round(CASE WHEN bn < 10 THEN raw_score ELSE least(greatest(raw_score * (1.0 + z * 0.15), 0.0), 1.0) END, 6)
    AS adapted_score FROM z"""
+ORACLES["adaptive_scores_blocks"] = ORACLES["adaptive_scores_original"]
+ORACLES["adaptive_rescored"] = ORACLES["adaptive_scores_original"][
+    : ORACLES["adaptive_scores_original"].rindex("SELECT session_id")
+] + """, a AS (SELECT *, CASE WHEN bn < 10 OR rule_id = 'NET-003' THEN raw_score
+   ELSE least(greatest(raw_score * (1.0 + z * 0.15), 0.0), 1.0) END AS adapted FROM z),
+s AS (SELECT *, CAST(floor(adapted * 100) AS INT) AS risk_score FROM a)
+SELECT session_id, rule_id, flush_id, seq, round(adapted, 6) AS raw_score, risk_score, CASE
+ WHEN risk_score >= 76 THEN 'CRITICAL' WHEN risk_score >= 51 THEN 'HIGH' WHEN risk_score >= 26 THEN 'MEDIUM'
+ WHEN risk_score >= 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS severity FROM s"""
+# a baseline is a list of the latest 100 adapted scores, one recursion step per flush of a rule
+ORACLES["adaptive_scores"] = f"""{cte("scores").replace("WITH ", "WITH RECURSIVE ", 1)},
+g AS (SELECT session_id, rule_id, flush_id, list(raw_score ORDER BY seq) AS raws, list(seq ORDER BY seq) AS seqs,
+   row_number() OVER (PARTITION BY session_id, rule_id ORDER BY flush_id) AS k FROM scores
+   GROUP BY session_id, rule_id, flush_id),
+r(session_id, rule_id, k, flush_id, seqs, n, adapted, past) AS (
+ SELECT session_id, rule_id, k, flush_id, seqs, CAST(0 AS BIGINT), raws, raws[-100:] FROM g WHERE k = 1
+ UNION ALL
+ SELECT session_id, rule_id, k, flush_id, seqs, n, adapted, list_concat(past, adapted)[-100:] FROM (
+  SELECT *, CASE WHEN n < 10 THEN raws ELSE [least(greatest(x * (1.0 + 0.15 * CASE WHEN sd > 1e-9
+     THEN greatest(least((x - mu) / sd, 3.0), -3.0) ELSE sign(x - mu) * 3.0 END), 0.0), 1.0) for x in raws] END AS adapted
+  FROM (SELECT g.*, past, CAST(len(past) AS BIGINT) AS n, list_avg(past) AS mu, list_stddev_pop(past) AS sd
+   FROM r JOIN g ON g.session_id = r.session_id AND g.rule_id = r.rule_id AND g.k = r.k + 1)))
+SELECT session_id, rule_id, flush_id, unnest(seqs) AS seq, n AS baseline_samples,
+ round(unnest(adapted), 6) AS adapted_score FROM r"""
 ORACLES["adaptive_baselines"] = f"""{cte("scores")},
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, rule_id ORDER BY flush_id DESC, seq DESC) AS place
    FROM scores)
@@ -664,25 +741,15 @@ SELECT event_id AS response_id, ok AS valid, CASE WHEN ok THEN event_type || ' s
  CASE WHEN ok THEN CAST(least(greatest(event_id % 5 - 1, 0), 1) AS DOUBLE) END AS likelihood,
  CAST(CASE WHEN ok THEN 2 END AS INT) AS steps,
  CASE WHEN ok THEN CAST(event_id % 4 + 1 AS VARCHAR) || ',3' END AS priorities FROM r"""
-_FEW = _rule_cte("ftp", "smtp")
-_PASS_ONLY = RULE_SQL["NET-010"].replace(
-    """SELECT capture_id, src_ip, dst_ip, 1 AS web, 0 AS pass FROM http
-    WHERE regexp_matches(lower(uri), 'login|signin|auth|authenticate|token|password')
-   UNION ALL SELECT capture_id, src_ip, dst_ip, 0, 1 FROM ftp""",
-    "SELECT capture_id, src_ip, dst_ip, 0 AS web, 1 AS pass FROM ftp",
-)
-_ORDER = {"NET-006": 7, "NET-007": 6}
 _ONE_ENTITY = ("NET-001", "NET-003", "NET-004")
-_FEW_FINDINGS = ", finding AS (" + " UNION ALL ".join(
-    _PASS_ONLY if r == "NET-010" else sql
-    for r, sql in RULE_SQL.items()
-    if r not in ("NET-002", "NET-006")
-) + f"""), hosts AS (
- SELECT DISTINCT capture_id, unnest(CASE WHEN rule_id IN {_ONE_ENTITY!r} THEN [entity]
+_HOSTS = f"""{FINDINGS}, hosts AS (
+ SELECT DISTINCT f.capture_id, unnest(CASE WHEN rule_id = 'NET-006' THEN [] WHEN rule_id IN {_ONE_ENTITY!r} THEN [entity]
+   WHEN rule_id = 'NET-002' THEN list_concat([entity, top_src_ip], string_split(listed_src_ips, ','))
    WHEN rule_id = 'NET-010' THEN string_split(subject, '|')
-   ELSE [split_part(subject, '|', 1), split_part(subject, '|', 3)] END) AS host FROM finding)"""
-ORACLES["affected_hosts"] = f"{_FEW}{_FEW_FINDINGS} SELECT * FROM hosts"
-ORACLES["template_summary"] = f"""{_FEW}{_FEW_FINDINGS}{_OVERALL},
+   ELSE [split_part(subject, '|', 1), split_part(subject, '|', 3)] END) AS host
+ FROM finding f LEFT JOIN dns_profile p ON rule_id = 'NET-002' AND f.capture_id = p.capture_id AND subject = qname)"""
+ORACLES["affected_hosts"] = f"{ALL_RULES}{_HOSTS} SELECT * FROM hosts"
+ORACLES["template_summary"] = f"""{ALL_RULES}{_HOSTS}{_OVERALL},
 n AS (SELECT capture_id, count(*) AS hosts FROM hosts GROUP BY 1),
 first_one AS (SELECT * FROM (SELECT f.capture_id, f.rule_id, f.entity, f.subject, row_number() OVER (
    PARTITION BY f.capture_id ORDER BY CASE f.rule_id WHEN 'NET-006' THEN 7 WHEN 'NET-007' THEN 6
@@ -695,6 +762,8 @@ SELECT o.capture_id, CASE WHEN total_findings = 0 THEN
   'Detected ' || total_findings || ' finding(s) across ' || coalesce(hosts, 0) || ' affected host(s). Overall risk is '
   || severity_label || ' (weighted score: ' || weighted_score || '). The top concern is '
   || CASE rule_id WHEN 'NET-001' THEN 'Port scan detected from ' || entity
+     WHEN 'NET-002' THEN 'Potential DNS tunneling detected: ' || entity
+     WHEN 'NET-006' THEN 'HTTP Anomaly Detected'
      WHEN 'NET-003' THEN 'FTP brute force detected from ' || entity
      WHEN 'NET-004' THEN 'SMTP abuse detected from ' || entity WHEN 'NET-005' THEN 'SYN Flood from ' || entity
      WHEN 'NET-007' THEN 'ICMP Flood from ' || entity

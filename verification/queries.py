@@ -30,6 +30,8 @@ from wiretide.plans.detect import (
 )
 from wiretide.plans.features import Features, Tables
 from wiretide.rules import BUILT_IN, RuleRegistry
+from wiretide.sinks import tables
+from wiretide.sources import dissected
 from wiretide.sources import events as event_source
 from wiretide.streaming import adaptive, windows
 
@@ -124,9 +126,8 @@ def _profile_columns(table: DataFrame, group: str) -> DataFrame:
 
 @query
 def connection_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    packets = _packets(spark, sf)
-    table = profiles.connection_profiles(flows.directed_traffic(packets), flows.flows(packets))
-    return _profile_columns(table, "capture_id")
+    features = Features(Tables(packets=_packets(spark, sf)), keep=False)
+    return _profile_columns(features.profiles, "capture_id")
 
 
 @query
@@ -488,6 +489,76 @@ def capture_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# -- dissector ---------------------------------------------------------------------------------
+def _parsed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    texts = inputs.packet_texts(spark, sf, name)
+    return getattr(dissected.parse_packets(dissected.packets_from_text(texts)), name)
+
+
+@query
+def parsed_packets(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf, "packets").select(
+        "capture_id", "packet_number", _ms("ts", "ts_ms"), "src_ip", "dst_ip", "src_port",
+        "dst_port", "protocol", "length", "tcp_flags",
+    )
+
+
+@query
+def parsed_dns(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf, "dns").select(
+        "capture_id", "seq", "src_ip", "qname", "qtype", "response_code", "query_size_bytes"
+    )
+
+
+@query
+def parsed_http(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf, "http").select(
+        "capture_id", "seq", "src_ip", "method", "host", "uri", "status_code", "user_agent"
+    )
+
+
+@query
+def parsed_ftp(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf, "ftp").select("capture_id", "seq", "src_ip", "command", "response_code")
+
+
+@query
+def parsed_smtp(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf, "smtp").select(
+        "capture_id", "seq", "src_ip", "command", "response_code"
+    )
+
+
+# -- alerts of findings ------------------------------------------------------------------------
+@query
+def severe_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = run_rules(_features(spark, sf)).findings
+    return _flat(assessment.at_least(found, "HIGH"))
+
+
+@query
+def stored_alert_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.alert_rows(run_rules(_features(spark, sf)).findings)
+    return rows.select(
+        "capture_id", "rule_id", "severity", "category", "ai_corroborated",
+        F.get_json_object("evidence", "$.risk_score").cast("int").alias("risk_score"),
+        F.get_json_object("evidence", "$.confidence").alias("confidence"),
+    )
+
+
+@query
+def live_alert_records(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.live_alert_rows(run_rules(_features(spark, sf)).findings, "capture_id")
+    return rows.select("session_id", "rule_id", "severity", "confidence", "risk_score", "status")
+
+
+@query
+def retained_flows(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("capture_id") % 100).cast("int"))
+    stored = _stored(spark, sf).withColumn("day", day)
+    return captures.flow_retention(stored, datetime(2024, 4, 10), 90).select(*FLOW_ID)
+
+
 # -- events ------------------------------------------------------------------------------------
 @query
 def event_validation(spark: SparkSession, sf: str) -> DataFrame:
@@ -498,11 +569,29 @@ def event_validation(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def typed_events(spark: SparkSession, sf: str) -> DataFrame:
     checked = event_source.check_events(inputs.load(spark, sf, "raw_events"))
-    return event_source.valid_events(checked).select(
-        "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets"
+    return event_source.valid_events(checked, F.timestamp_seconds(F.lit(0))).select(
+        "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "bytes",
+        "session_id", _ms("ts", "ts_ms"),
+    )
+
+
+def _valid_events(spark: SparkSession, sf: str) -> DataFrame:
+    checked = event_source.check_events(inputs.load(spark, sf, "raw_events"))
+    return event_source.valid_events(checked, F.timestamp_seconds(F.lit(0)))
+
+
+@query
+def event_http_records(spark: SparkSession, sf: str) -> DataFrame:
+    return event_source.event_http(_valid_events(spark, sf)).select(
+        "session_id", "seq", "method", "host", "uri", "status_code"
     )
 
 
+@query
+def event_dns_records(spark: SparkSession, sf: str) -> DataFrame:
+    return event_source.event_dns(_valid_events(spark, sf)).select("session_id", "seq", "qname", "qtype")
+
+
 @query
 def address_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Public or private, for every address of the packet table."""
@@ -588,6 +677,13 @@ def adaptive_scores_original(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def adaptive_scores_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``adaptive_scores_original``, over many small blocks of flushes."""
+    scores = inputs.load(spark, sf, "scores")
+    return _score_columns(adaptive.adaptive_scores(scores, record="original", block_flushes=50))
+
+
 @query
 def adaptive_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _score_columns(
@@ -595,6 +691,17 @@ def adaptive_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def adaptive_rescored(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk and severity from adapted scores, with one rule's adaptation switched off."""
+    config = adaptive.AdaptiveConfig(disabled_rules=("NET-003",))
+    adapted = adaptive.adaptive_scores(inputs.load(spark, sf, "scores"), config, record="original")
+    return adaptive.rescore(adapted).select(
+        "session_id", "rule_id", "flush_id", "seq", F.round("raw_score", 6).alias("raw_score"),
+        "risk_score", "severity",
+    )
+
+
 @query
 def adaptive_baselines(spark: SparkSession, sf: str) -> DataFrame:
     return adaptive.baseline_stats(inputs.load(spark, sf, "scores")).select(
@@ -622,13 +729,13 @@ def assessment_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def affected_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    found = run_rules(_features(spark, sf, "ftp", "smtp")).findings
+    found = run_rules(_features(spark, sf)).findings
     return assessment.affected_hosts(found)
 
 
 @query
 def template_summary(spark: SparkSession, sf: str) -> DataFrame:
-    features = _features(spark, sf, "ftp", "smtp")
+    features = _features(spark, sf)
     found = run_rules(features, hold=True)
     scores = overall_risk(found.findings, features.totals)
     return assessment.template_summaries(found.findings, scores).select(

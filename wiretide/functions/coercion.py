@@ -25,9 +25,9 @@ def scalar_text(value: Column) -> Column:
 
 
 def scalar_int(value: Column) -> Column:
-    """Whole number or NULL; decimals and junk are NULL."""
+    """Whole number or NULL; decimals, junk and what no bigint holds are NULL."""
     text = F.trim(first_value(value))
-    return F.when(text.rlike(r"^[+-]?[0-9]{1,18}$"), text).try_cast("bigint")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("bigint")
 
 
 def scalar_ip(value: Column) -> Column:

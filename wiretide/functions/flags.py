@@ -12,9 +12,12 @@ ACK_BIT = 0x010
 
 
 def hex_flag_bits(flags: Column) -> Column:
-    """Hex text such as ``0x012`` as a number; NULL when absent or malformed."""
-    digits = F.regexp_extract(flags, r"^\s*(?:0[xX])?([0-9a-fA-F]{1,15})\s*$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint"))
+    """Hex text such as ``0x012`` as a number; NULL when absent or malformed.
+
+    Of longer texts it is the low 60 bits, where all flags are.
+    """
+    digits = F.regexp_extract(flags, r"^\s*(?:0[xX])?([0-9a-fA-F]+)\s*$", 1)
+    return F.when(digits != "", F.conv(F.right(digits, F.lit(15)), 16, 10).try_cast("bigint"))
 
 
 def bit_set(bits: Column, bit: int) -> Column:

@@ -61,14 +61,14 @@ def top_talkers(
 def protocol_distribution(
     stored: DataFrame, by: str | Sequence[str] = "capture_id"
 ) -> DataFrame:
-    """Packets, bytes and share of bytes per protocol, largest first."""
+    """Packets, bytes and share of bytes per protocol, in no order."""
     keys = _keys(by)
     counts = stored.groupBy(*keys, "protocol").agg(*_volume())
     total = F.sum("bytes").over(Window.partitionBy(*keys))
     share = F.round(
         F.col("bytes") / F.when(total == 0, F.lit(1)).otherwise(total) * 100, 2
     )
-    return counts.withColumn("percentage", share).orderBy(*keys, F.desc("bytes"), "protocol")
+    return counts.withColumn("percentage", share)
 
 
 def traffic_timeline(

@@ -124,10 +124,10 @@ def run_rules(
         except (PySparkException, KeyError, TypeError, ValueError):
             failed.append(rule.rule_id)
     for name, candidates in grouped.items():
+        fired = F.filter(F.array(*candidates), lambda c: c["body"].isNotNull())
         parts.append(
             sources[name]
-            .select(by, F.inline(F.array(*candidates)))
-            .where(F.col("body").isNotNull())
+            .select(by, F.inline(fired))
             .select(by, "rule_place", "rule_id", "rule_name", "rule_version", "timed", "body.*")
         )
     if not parts:

@@ -2,7 +2,8 @@
 
 A table is planned when first asked for. Packets or events are read once: they become flow state,
 which is written to the cluster's checkpoint folder because flows, profiles, baseline and totals
-all start from it. Where there is no such folder it is kept on executors (memory, then disk).
+all start from it. Use ``with extract_features(...) as features:`` and write the results inside: what
+was held is dropped at the end. ``keep=False`` holds nothing and plans everything from the records.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +48,7 @@ class Features:
         self.by = by
         self.chunk_rows = chunk_rows
         self._keep = keep
-        self._kept: list[DataFrame | str] = []
+        self._kept: list[str] = []
         self._profile_options = {
             "count_failures": count_failures,
             "initiator_only": initiator_only,
@@ -58,24 +58,22 @@ class Features:
         """A table that several results read, computed once."""
         if not self._keep:
             return table
-        folder = scratch_folder(table.sparkSession)
-        if folder is None:
-            table = table.persist(StorageLevel.MEMORY_AND_DISK)
-            self._kept.append(table)
-            return table
-        table, path = written(table, folder)
+        table, path = written(table, scratch_folder(table.sparkSession))
         self._kept.append(path)
         return table
 
     def release(self) -> None:
         """Drop held tables; call after the results are written."""
-        for held in self._kept:
-            if isinstance(held, str):
-                drop_written(self.tables.packets.sparkSession, held)
-            else:
-                held.unpersist()
+        for path in self._kept:
+            drop_written(self.tables.packets.sparkSession, path)
         self._kept.clear()
 
+    def __enter__(self) -> Features:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     # -- traffic -----------------------------------------------------------------------------
     def _flow_rows(self) -> DataFrame:
         return flows.packet_rows(self.tables.packets, self.by)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -39,18 +40,20 @@ def _local_folder() -> str:
     return folder
 
 
-def scratch_folder(spark: SparkSession) -> str | None:
-    """Where intermediate tables go.
+def scratch_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The shared folder the cluster names in ``spark.checkpoint.dir``; on a local master without
-    that setting a temporary folder of this process; on a cluster without it, nowhere.
+    Only on a local master, where driver and executors are one process, may the setting be missing;
+    then it is a temporary folder of this process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
+    if spark.conf.get("spark.master", "").startswith("local") and not spark.conf.get(
+        "spark.master", ""
+    ).startswith("local-cluster"):
         return f"file://{_local_folder()}"
-    return None
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def written(table: DataFrame, folder: str) -> tuple[DataFrame, str]:
@@ -59,6 +62,9 @@ def written(table: DataFrame, folder: str) -> tuple[DataFrame, str]:
     Cuts the plan, survives lost executors, and lets later steps read only the columns they need.
     """
     path = f"{folder}/wiretide-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_rest)
+    _written[path] = table.sparkSession
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path), path
 
@@ -67,3 +73,14 @@ def drop_written(spark: SparkSession, path: str) -> None:
     """Remove a folder made by ``written``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.pop(path, None)
+
+
+#: Written tables that nobody has dropped yet; the end of the process drops them.
+_written: dict[str, SparkSession] = {}
+
+
+def _drop_rest() -> None:
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session or its process may be gone
+            drop_written(spark, path)

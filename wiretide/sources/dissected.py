@@ -2,8 +2,11 @@
 
 Three layouts are read:
 
-* ``pretty``: one indented JSON array per file, as the dissector prints it. The text source splits
-  files between packets, so a huge file is read by many tasks and a broken packet only loses itself.
+* ``pretty``: a JSON array per file, with packets indented by two spaces as the dissector prints
+  it. The text source splits files between packets, so a huge file is read by many tasks and a broken
+  packet only loses itself. An array on one line, or with any line breaks that do not look like the
+  end of an indented packet, is one record of the text source and is read whole. An array indented
+  by one space would be cut in the wrong places; that is an error, not a loss.
 * ``lines``: one packet object per line.
 * ``array``: any JSON array; Spark's own multi-line reader, one task per file.
 """
@@ -69,6 +72,27 @@ def packet_schema(extra_layers: dict[str, Sequence[str]] | None = None) -> T.Str
     )
 
 
+def packets_from_text(
+    texts: DataFrame,
+    column: str = "value",
+    extra_layers: dict[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """``capture_id`` and ``layers`` of rows that hold one packet object as JSON text each."""
+    parsed = F.from_json(F.col(column), packet_schema(extra_layers), {"mode": "PERMISSIVE"})
+    rows = texts.select("capture_id", parsed["_source"]["layers"].alias("layers"))
+    return rows.where(F.col("layers").isNotNull())
+
+
+def _packets_of_piece(piece: Column, schema: T.StructType) -> Column:
+    """The packets of what lies between two ends of indented packets, as an array."""
+    odd = piece.rlike(r"^\s*\[\s*\n(?: |\t)\{")
+    body = F.regexp_replace(F.regexp_replace(piece, r"^[\s,\[]+", ""), r"\s+$", "")
+    whole = F.endswith(body, F.lit("]")) | (body == "")
+    inner = F.when(whole, F.regexp_replace(body, r"\]$", "")).otherwise(F.concat(body, F.lit("}")))
+    listed = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    return F.when(odd, F.raise_error(F.lit("packets are indented by one sign; read them with layout='array'"))).otherwise(listed)
+
+
 def read_packets(
     spark: SparkSession,
     path: str,
@@ -92,16 +116,13 @@ def read_packets(
             .json(path)
             .select(name.alias("capture_id"), F.col("_source.layers").alias("layers"))
         )
+    elif layout == "lines":
+        rows = packets_from_text(spark.read.text(path).withColumn("capture_id", name), extra_layers=extra_layers)
     else:
         # a packet object closes at two spaces of indent, deeper objects further in
-        reader = spark.read if layout == "lines" else spark.read.option("lineSep", "\n  }")
-        body = F.col("value")
-        if layout == "pretty":
-            body = F.concat(F.regexp_replace(body, r"^[\s,\[]+", ""), F.lit("}"))
-        rows = reader.text(path).select(
-            name.alias("capture_id"),
-            F.from_json(body, schema, {"mode": "PERMISSIVE"})["_source"]["layers"].alias("layers"),
-        )
+        pieces = spark.read.option("lineSep", "\n  }").text(path)
+        rows = pieces.select(name.alias("capture_id"), F.explode(_packets_of_piece(F.col("value"), schema)).alias("p"))
+        rows = rows.select("capture_id", F.col("p._source.layers").alias("layers"))
     rows = rows.where(F.col("layers").isNotNull())
     return rows.where(F.expr(packet_filter)) if packet_filter else rows
 
@@ -123,7 +144,7 @@ def _common() -> list[Column]:
     return [
         F.col("capture_id"),
         F.coalesce(scalar_int(_field("frame", "frame.number")), F.lit(0)).alias("packet_number"),
-        F.timestamp_micros((epoch * 1_000_000).cast("bigint")).alias("ts"),
+        F.timestamp_micros((epoch * 1_000_000).try_cast("bigint")).alias("ts"),
         _ip("src").alias("src_ip"),
         _ip("dst").alias("dst_ip"),
     ]
@@ -144,10 +165,10 @@ def transport_packets(rows: DataFrame) -> DataFrame:
             *_common(),
             by_layer(
                 scalar_int(_field("tcp", "tcp.srcport")), scalar_int(_field("udp", "udp.srcport"))
-            ).cast("int").alias("src_port"),
+            ).try_cast("int").alias("src_port"),
             by_layer(
                 scalar_int(_field("tcp", "tcp.dstport")), scalar_int(_field("udp", "udp.dstport"))
-            ).cast("int").alias("dst_port"),
+            ).try_cast("int").alias("dst_port"),
             F.when(_has("tcp"), "TCP").when(_has("udp"), "UDP").otherwise("ICMP").alias("protocol"),
             F.coalesce(scalar_int(_field("frame", "frame.len")), F.lit(0)).alias("length"),
             scalar_text(F.col(f"layers.`{INFO}`")).alias("info"),
@@ -192,7 +213,7 @@ def http_records(rows: DataFrame) -> DataFrame:
         _text_or_empty("http", "http.request.method").alias("method"),
         _text_or_empty("http", "http.host").alias("host"),
         _text_or_empty("http", "http.request.uri").alias("uri"),
-        scalar_int(_field("http", "http.response.code")).cast("int").alias("status_code"),
+        scalar_int(_field("http", "http.response.code")).try_cast("int").alias("status_code"),
         scalar_text(_field("http", "http.user_agent")).alias("user_agent"),
         scalar_text(_field("http", "http.content_type")).alias("content_type"),
         scalar_int(_field("http", "http.request.full_uri.len")).alias("request_length"),
@@ -205,7 +226,7 @@ def ftp_records(rows: DataFrame) -> DataFrame:
         "ftp",
         _text_or_empty("ftp", "ftp.request.command").alias("command"),
         scalar_text(_field("ftp", "ftp.request.arg")).alias("argument"),
-        scalar_int(_field("ftp", "ftp.response.code")).cast("int").alias("response_code"),
+        scalar_int(_field("ftp", "ftp.response.code")).try_cast("int").alias("response_code"),
         scalar_text(_field("ftp", "ftp.response.arg")).alias("response_message"),
     )
 
@@ -216,7 +237,7 @@ def smtp_records(rows: DataFrame) -> DataFrame:
         "smtp",
         _text_or_empty("smtp", "smtp.command").alias("command"),
         scalar_text(_field("smtp", "smtp.parameter")).alias("argument"),
-        scalar_int(_field("smtp", "smtp.response.code")).cast("int").alias("response_code"),
+        scalar_int(_field("smtp", "smtp.response.code")).try_cast("int").alias("response_code"),
         scalar_text(_field("smtp", "smtp.mail_from")).alias("mail_from"),
         _filled(as_list(_field("smtp", "smtp.rcpt_to"))).alias("rcpt_to"),
     )

@@ -40,6 +40,10 @@ def kafka_events(stream: DataFrame) -> DataFrame:
     )
 
 
+#: The session of events that name none: a value, so that they group and join like any other.
+NO_SESSION = "none"
+
+
 def _whole(name: str) -> Column:
     return F.col(name).cast("string").try_cast("bigint")
 
@@ -60,6 +64,8 @@ def _problems() -> Column:
             reason("src_port", ~_whole("src_port").between(0, MAX_PORT)),
             reason("dst_port", ~_whole("dst_port").between(0, MAX_PORT)),
             reason("protocol", F.trim("protocol") == ""),
+            optional("ts", F.col("ts").try_cast("timestamp").isNull()),
+            optional("bytes", _whole("bytes").isNull()),
             optional("packets", _whole("packets") < 1),
             optional("http_status", ~_whole("http_status").between(*HTTP_STATUS_RANGE)),
             optional("session_id", ~F.col("session_id").rlike(UUID_REGEX)),
@@ -78,14 +84,16 @@ def check_events(raw: DataFrame) -> DataFrame:
     return raw.select("*", *missing).withColumn("rejected_for", _problems())
 
 
-def valid_events(checked: DataFrame) -> DataFrame:
+def valid_events(checked: DataFrame, arrival: Column | None = None) -> DataFrame:
     """Typed events of accepted rows, in the shape of ``schemas.FLOW_EVENTS``.
 
-    ``ts`` may be ISO text or a timestamp. Without a ``seq`` column, arrival order falls back to
-    the event time in microseconds.
+    ``ts`` may be ISO text or a timestamp; an event without one gets ``arrival``, by default the
+    time of the batch. An event without a session belongs to ``NO_SESSION``. Without a ``seq``
+    column, arrival order falls back to the event time in microseconds.
     """
     accepted = checked.where(F.size("rejected_for") == 0)
-    ts = F.col("ts").cast("timestamp")
+    late = F.current_timestamp() if arrival is None else arrival
+    ts = F.coalesce(F.col("ts").try_cast("timestamp"), late)
     typed = {
         "seq": F.col("seq").cast("bigint") if "seq" in checked.columns else F.unix_micros(ts),
         "ts": ts,
@@ -97,6 +105,7 @@ def valid_events(checked: DataFrame) -> DataFrame:
         "bytes": F.coalesce(_whole("bytes"), F.lit(0)),
         "packets": F.coalesce(_whole("packets"), F.lit(1)),
         "http_status": _whole("http_status").cast("int"),
+        "session_id": F.coalesce(F.col("session_id").cast("string"), F.lit(NO_SESSION)),
     }
     return accepted.select(
         *[

@@ -128,7 +128,7 @@ def _fold_batches(
         yield batch.assign(baseline_samples=samples, adapted_score=adapted)
 
 
-def _blocks_with_lead(scores: DataFrame, key: list[str], size: int) -> DataFrame:
+def _blocks_with_lead(scores: DataFrame, key: list[str], size: int, flushes: int) -> DataFrame:
     """Rows with their ``_block`` of flushes, plus copies (``_lead``) of the ``size`` rows before
     each block.
 
@@ -138,7 +138,7 @@ def _blocks_with_lead(scores: DataFrame, key: list[str], size: int) -> DataFrame
     """
     blocked = scores.withColumns(
         {
-            "_block": F.call_function("div", F.col("flush_id"), F.lit(BLOCK_FLUSHES)),
+            "_block": F.call_function("div", F.col("flush_id"), F.lit(flushes)),
             "_lead": F.lit(False),
         }
     )
@@ -184,10 +184,13 @@ def adaptive_scores(
     *,
     record: str = "adapted",
     by: str = "session_id",
+    block_flushes: int = BLOCK_FLUSHES,
 ) -> DataFrame:
     """Add ``baseline_samples`` and ``adapted_score``.
 
     ``scores``: ``by``, rule_id, flush_id (increasing), seq (order inside a flush), raw_score.
+    ``block_flushes`` says how many flushes one task of ``record="original"`` handles of a rule; it
+    has no bearing on the result.
     """
     config = config or AdaptiveConfig()
     if record == "adapted":
@@ -207,11 +210,11 @@ def adaptive_scores(
         .rowsBetween(-config.window_size, -1)
     )
     flush_start = (
-        Window.partitionBy(*key, "flush_id")
+        Window.partitionBy(*key, "_block", "flush_id")
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    with_base = _blocks_with_lead(scores, key, config.window_size).withColumns(
+    with_base = _blocks_with_lead(scores, key, config.window_size, block_flushes).withColumns(
         {
             "_n": F.count("raw_score").over(earlier),
             "_mean": F.avg("raw_score").over(earlier),

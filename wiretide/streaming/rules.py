@@ -17,11 +17,14 @@ from wiretide.operators import alerts
 from wiretide.plans.detect import overall_risk, run_rules
 from wiretide.plans.features import EventFeatures
 from wiretide.rules import RuleRegistry, default_registry
+from wiretide.session import drop_written
 from wiretide.sinks.tables import live_alert_rows
 from wiretide.streaming.adaptive import AdaptiveConfig, adapt_column, baseline_stats, rescore
 
 # Fixed value: flush interval of the live engine.
 FLUSH_INTERVAL = "5 seconds"
+#: Flushes after its last score that a session's history is kept: an hour at the usual interval.
+KEEP_FLUSHES = 720
 
 
 def _adapted(findings: DataFrame, history: DataFrame | None, config: AdaptiveConfig, by: str):
@@ -61,7 +64,9 @@ class RuleStream:
         registry: RuleRegistry | None = None,
         adaptive: AdaptiveConfig | None = None,
         by: str = "session_id",
+        keep_flushes: int = KEEP_FLUSHES,
     ) -> None:
+        self.keep_flushes = keep_flushes
         self.folder = folder.rstrip("/")
         self.registry = registry or default_registry()
         self.adaptive = adaptive
@@ -80,7 +85,10 @@ class RuleStream:
         return batch.sparkSession.read.parquet(self._at("scores", batch_id - 1))
 
     def _snapshot(self, findings: DataFrame, history: DataFrame | None, batch_id: int) -> DataFrame:
-        """The latest ``window_size`` recorded scores per rule after this batch."""
+        """The latest ``window_size`` recorded scores per rule after this batch.
+
+        A session without a score for ``keep_flushes`` flushes has ended and leaves the snapshot.
+        """
         now = findings.select(
             self.by,
             "rule_id",
@@ -90,10 +98,13 @@ class RuleStream:
         )
         scores = now if history is None else history.unionByName(now)
         latest = Window.partitionBy(self.by, "rule_id").orderBy(F.desc("flush_id"), F.desc("seq"))
+        newest = F.max("flush_id").over(Window.partitionBy(self.by, "rule_id"))
         return (
             scores.withColumn("place", F.row_number().over(latest))
             .where(F.col("place") <= self.adaptive.window_size)
-            .drop("place")
+            .withColumn("newest", newest)
+            .where(F.col("newest") > batch_id - self.keep_flushes)
+            .drop("place", "newest")
         )
 
     def flush(self, batch: DataFrame, batch_id: int) -> None:
@@ -120,6 +131,8 @@ class RuleStream:
         )
         if self.adaptive is not None:
             self._write(self._snapshot(findings, history, batch_id), "scores", batch_id)
+            if batch_id > 1:  # a replay reads the snapshot before it, never an older one
+                drop_written(batch.sparkSession, self._at("scores", batch_id - 2))
         features.release()
 
 
