@@ -54,13 +54,14 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
 BLOCK = 64
+THRESHOLD = 0.9
 
 
 def _sets(templates) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, frozenset(alnum_words(text))) for label, text in templates]
 
 
-def _needed(size: int, threshold: float) -> int:
+def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
@@ -88,7 +89,7 @@ _SCHEMA = (
 def _scan(rows: DataFrame, sets, phrases: list[str], threshold: float) -> DataFrame:
     """A row per document, and one more per task with the number of blocks that hold each token."""
     vocabulary = {w: k for k, w in enumerate(sorted(set().union(*(s for _, s in sets))))}
-    least = min((_needed(len(s), threshold) for _, s in sets), default=1)
+    least = min((needed(len(s), threshold) for _, s in sets), default=1)
     split = [p.encode().split() for p in phrases]
     firsts, known = frozenset(p[0] for p in split), frozenset(vocabulary)
     kind = rows.schema["id"].dataType.simpleString()
@@ -132,7 +133,7 @@ def _pairs(scanned: DataFrame, sets, threshold: float) -> DataFrame:
     order = {t: k for k, t in enumerate(sorted(vocabulary.values(), key=lambda t: (frequency.get(t, 0), t)))}
     prefix, sizes = [], []
     for k, (label, words) in enumerate(sets):
-        ranks, need = sorted(order[vocabulary[w]] for w in words), _needed(len(words), threshold)
+        ranks, need = sorted(order[vocabulary[w]] for w in words), needed(len(words), threshold)
         sizes.append((k, label, len(words), need, ranks))
         prefix += [(rank, k, at) for at, rank in enumerate(ranks[: len(words) - need + 1])]
     keys = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, template_at int"))
@@ -170,7 +171,7 @@ def scan(
     text_col: str = "text",
     templates=TEMPLATES,
     phrases: dict[str, str] | None = None,
-    threshold: float = 0.9,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per document row: word and phrase counts, labels of phrases and of both, and a score.
 

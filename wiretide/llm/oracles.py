@@ -1,5 +1,146 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+Left out: language ID and quality rules (learned), packing and substring dedup (their cuts and bins
+follow partitions or places in a text), byte-level BPE. Those are tested against brute force.
+"""
 
 from __future__ import annotations
 
+from wiretide.llm import license_scan
+from wiretide.llm.common import UPPER, alnum_words
+from wiretide.llm.license_scan import BLOCK, PHRASES, TEMPLATES, needed
+
 ORACLES: dict[str, str] = {}
+
+
+def _lower(text: str) -> str:
+    return f"translate({text}, '{UPPER}', '{UPPER.lower()}')"
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _words(text: str, pattern: str = _ALNUM) -> str:
+    whole = f"coalesce({text}, '')"
+    return f"regexp_extract_all({_lower(whole)}, '{pattern}')"
+
+
+# -- url filters -------------------------------------------------------------------------------
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}'))".format
+ORACLES["op1_url_filters"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (SELECT page_id, {_lower("regexp_extract(rest, '^[^/?#]*')")} AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE WHEN {_FITS("www.example.com")} AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN {_FITS("example.com")} AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN {_FITS("com")} AND starts_with(path, '/') THEN 'com/'
+  WHEN {_FITS("net")} AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN {_FITS("net")} AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule FROM h)
+SELECT page_id, host, path, rule,
+ CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+# -- secret scan -------------------------------------------------------------------------------
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(
+    [*map(_any_case, ("password", "passwd", "secret", "token")), f"{_any_case('api')}_?{_any_case('key')}"]
+)
+_KINDS = (
+    ("assign", rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(value) >= 8"),
+    ("access", "(A)(KIA[A-Z0-9]+)", 0, "length(value) >= 16"),
+    ("hex", "[0-9a-f]{32,}", 0, "true"),
+    (
+        "mixed", "[A-Za-z0-9+/_-]{24,}", 0,
+        "regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')",
+    ),
+)
+# starts: the lengths of all pieces between matches and of all matches before
+_FOUND = " UNION ALL ".join(
+    f"""SELECT doc_id, source, '{name}' AS kind, {k} AS place, start, start + length(m) AS past, value FROM (
+  SELECT doc_id, source, m, regexp_extract(m, '{pattern}', {group}) AS value,
+   CAST(sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS start FROM (
+   SELECT doc_id, source, unnest(found) AS m, unnest(pieces[1:len(found)]) AS piece, generate_subscripts(found, 1) AS i
+   FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS found,
+     regexp_split_to_array(text, '{pattern}') AS pieces FROM d) WHERE len(found) > 0)) WHERE {kept}"""
+    for k, (name, pattern, group, kept) in enumerate(_KINDS)
+)
+_SPAN = "kind || ':' || start || ':' || past"
+ORACLES["op3_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+c AS ({_FOUND}),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM c GROUP BY 1),
+s AS (SELECT * FROM c JOIN o USING (value) WHERE place < 3 OR owners <= 2),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg({_SPAN}, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+  string_agg({_SPAN}, ',' ORDER BY start, place) AS spans, count(*) FILTER (owners <= 2) AS n_live FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+ sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (doc_id)"""
+
+# -- decontamination ---------------------------------------------------------------------------
+ORACLES["op7_decontamination"] = f"""
+WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS words FROM benchmark
+  WHERE item_id IS NOT NULL),
+w AS (SELECT DISTINCT item, k, words[p:p + k - 1] AS w FROM (SELECT item, words, least(len(words), 10) AS k,
+  unnest(range(1, CAST(len(words) - least(len(words), 10) + 2 AS BIGINT))) AS p FROM i WHERE len(words) > 0)),
+d AS (SELECT doc_id, {_words("text")} AS words FROM documents),
+n AS (SELECT DISTINCT k FROM w),
+p AS (SELECT doc_id, k, p, words[p:p + k - 1] AS w FROM (SELECT doc_id, words, k,
+  unnest(range(1, CAST(len(words) - k + 2 AS BIGINT))) AS p FROM d, n WHERE len(words) >= k)),
+h AS (SELECT doc_id, p, p.k, item FROM p JOIN w ON p.k = w.k AND p.w = w.w),
+c AS (SELECT doc_id, count(DISTINCT hit) AS n_hit FROM (SELECT doc_id, p + unnest(range(k)) AS hit FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+# -- license scan ------------------------------------------------------------------------------
+_TEMPLATE_WORDS = ", ".join(
+    f"({k}, '{label}', {len(words)}, {needed(len(words), license_scan.THRESHOLD)}, '{word.decode()}')"
+    for k, (label, text) in enumerate(TEMPLATES)
+    for words in [sorted(set(alnum_words(text)))]
+    for word in words
+)
+_PHRASE_ROWS = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
+ORACLES["op9_license_scan"] = f"""
+WITH d AS (SELECT doc_id, {_words("text")} AS words FROM documents),
+f AS (SELECT * FROM (VALUES {_PHRASE_ROWS}) v(phrase, label)),
+a AS (SELECT doc_id, p, label FROM (SELECT doc_id, words, unnest(range(CAST(len(words) AS BIGINT))) AS p FROM d), f
+  WHERE words[p + 1:p + len(phrase)] = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word,
+  list_sort(list(DISTINCT label)) AS base FROM a GROUP BY 1),
+t AS (SELECT * FROM (VALUES {_TEMPLATE_WORDS}) v(template, label, size, need, word)),
+k AS (SELECT doc_id, block, unnest(list_distinct(words[block * {BLOCK // 2} + 1:block * {BLOCK // 2} + {BLOCK}])) AS word
+  FROM (SELECT doc_id, words, unnest(range(greatest(CAST(ceil((len(words) - {BLOCK // 2}) / {BLOCK // 2}.0) AS BIGINT), 1)))
+    AS block FROM d)),
+m AS (SELECT doc_id, block, template, label, count(*) / CAST(any_value(size) AS DOUBLE) AS share FROM k JOIN t USING (word)
+  GROUP BY doc_id, block, template, label HAVING count(*) >= any_value(need)),
+x AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS share, count(DISTINCT block) AS n_blocks FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+ coalesce(array_to_string(base, ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+ CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+# -- near-dedup --------------------------------------------------------------------------------
+ORACLES["op10_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text", _SPACED)} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) > 1
+   THEN [words[i] || ' ' || words[i + 1] for i in range(1, CAST(len(words) AS BIGINT))] ELSE words END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b
+  ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+ least(doc_id, coalesce(least, doc_id)) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
