@@ -110,7 +110,7 @@ def test_alert_sink_and_assessment(found, traffic, tmp_path, spark):
     assert text["flood"].startswith("Detected 2 finding(s) across 2 affected host(s). Overall risk is")
     parts = assessment.prompt_parts(assessment.at_least(found.findings, "nonsense"), overall)
     sections = [r.section for r in parts.where("capture_id = 'flood'").orderBy("section", "place").collect()]
-    assert sections == [0, 1, 2, 2, 3, 4, 4]
+    assert sections == [-1, 0, 1, 2, 2, 3, 4, 4]
 
 
 def test_answers_of_a_model(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions.scoring import HIGH, SEVERITIES
 
-# Template texts, defaults for missing answer fields, and the prompt.
+# Template texts and defaults for missing answer fields.
 CLEAN_SUMMARY = "No findings were detected. The network appears clean."
 SUMMARY = (
     "Detected %d finding(s) across %d affected host(s). Overall risk is %s (weighted score: %d). "
@@ -29,12 +29,12 @@ TEMPLATE_STEPS = (
     ),
 )
 DEFAULT_QUALIFIER, DEFAULT_LIKELIHOOD, DEFAULT_PRIORITY = "medium", 0.5, 3
+#: What a model is told before the parts of a prompt: the answer that ``parse_assessments`` reads.
 SYSTEM_PROMPT = (
-    "You are a senior SOC analyst reviewing network detection results. Answer with one JSON "
-    "object with the keys executive_summary (3-5 sentences for an executive), finding_rationales "
-    "(list of finding_id, explanation, confidence_qualifier high|medium|low, "
-    "false_positive_likelihood 0.0-1.0) and remediation_steps (list of priority 1-5 with 1 the "
-    "highest, action, reason, reference)."
+    "You review the findings of network detection rules for a security team. Reply with a single JSON object: "
+    "executive_summary, a few sentences for readers outside the team; finding_rationales, a list of objects with "
+    "finding_id, explanation, confidence_qualifier (high, medium or low) and false_positive_likelihood (0 to 1); "
+    "remediation_steps, a list of objects with priority (1 is most urgent, 5 least), action, reason and reference."
 )
 
 _STEP_TYPE = "array<struct<priority:int,action:string,reason:string,reference:string>>"
@@ -113,7 +113,7 @@ def template_rationales(findings: DataFrame, by: str = "capture_id") -> DataFram
 
 
 def prompt_parts(findings: DataFrame, overall: DataFrame, by: str = "capture_id") -> DataFrame:
-    """Prompt of each group as ordered rows: section, place, text.
+    """Prompt of each group as ordered rows: section, place, text; section -1 is the system prompt.
 
     A group with a million findings is a million rows spread over tasks; whoever sends the
     prompt reads them in (section, place) order.
@@ -170,8 +170,10 @@ def prompt_parts(findings: DataFrame, overall: DataFrame, by: str = "capture_id"
             F.lit("## Affected Hosts").alias("text"),
         )
     )
-    parts = risk
-    for more in (title, body, host_title, hosts):
+    parts = overall.select(
+        by, F.lit(-1).alias("section"), F.lit("").alias("place"), F.lit(SYSTEM_PROMPT).alias("text")
+    )
+    for more in (risk, title, body, host_title, hosts):
         parts = parts.unionByName(more)
     return parts
 
