@@ -7,22 +7,23 @@
 2. Documents of equal sets are one node, whatever their number: the digest is the node's name.
 3. Nodes that share a band key are a bucket. In each bucket the hub, the node that meets most other
    nodes over all its buckets, is paired with the others (a star: as many pairs as nodes). Pairs
-   whose sketches rule the threshold out go; the rest are confirmed on full sets.
-4. Links make components. In buckets of three nodes or more that still hold several components, the
-   remaining pairs of different components are compared in blocks by their sketches, inside tasks;
-   only those that may be links come out, and are confirmed like the others. Pairs inside one
-   component need no test, so a bucket of thousands of copies that the star has joined ends there.
-5. The links of both rounds make the final components, by the smallest id.
+   whose sketches rule the threshold out go; the others are possible links. Their components are
+   provisional clusters. Buckets that hold nodes of several clusters are compared pair by pair on
+   sketches, in blocks inside tasks, and give out what joins their clusters.
+4. A true link thus lies inside one cluster. In a cluster, blocks of nodes meet each other with their
+   full sets: pairs are tested from the most similar sketches down, and a pair that earlier links
+   have joined needs no test. Links, confirmed exactly, come out as a forest, at most one per node
+   and pair of blocks, so a cluster of thousands of copies is never written out as all its pairs.
+5. The links make the components, by the smallest id.
 
 Bands: two sets of similarity 0.8 share no bucket with probability (1 - 0.8^BAND_ROWS)^BANDS, under
-2e-7 here; an estimate misses a true link by ``MARGIN``, over five standard deviations, about as
-rarely. Confirmation is exact on the sets of 64-bit shingle hashes.
+2e-7 here; an estimate misses a true link by ``MARGIN``, nearly five standard deviations, in about one
+of a million. Confirmation is exact on the sets of 64-bit shingle hashes.
 
-Scale: sketches are made where the texts are read. To confirm, the texts of candidates are read
-again by a join on their ids (Spark broadcasts these where they are few), and a pair carries two
-sets. A
-hot band key is pre-aggregated (counts, hubs), and the blocks of step 4 split it over tasks. No
-links or components reach the driver, only counts. Tables between steps are checkpoints.
+Scale: sketches are made where the texts are read. The texts of nodes in clusters are read again by
+a join on their ids (Spark broadcasts these where they are few). A hot band key is pre-aggregated
+(counts, hubs), a hot cluster is split into pairs of blocks. No links or components reach the
+driver, only counts. Tables between steps are checkpoints.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; with
 fewer words than a shingle, the whole sequence is its one shingle. Every row is judged by its own
@@ -48,9 +49,9 @@ BANDS = 40
 SAMPLES = BAND_ROWS * BANDS
 SKETCH_BITS = 1024
 #: How far below the threshold an estimate may lie before a pair is given up.
-MARGIN = 0.17
-#: Nodes of a bucket that step 4 compares in one task at a time.
-BLOCK = 512
+MARGIN = 0.14
+#: Nodes of a bucket or cluster in one block; a group of rows is two blocks.
+BLOCK = 256
 
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,14 +151,9 @@ def _sketches(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, n long, node binary, bands array<long>, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of nodes (``a``, ``b``) whose full sets are similar enough, exactly.
-
-    Reads the texts of one document per node in a pair again; their sets go to the pairs.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = nodes.join(wanted, "node").select("node", F.col("first").alias("id"))
-    kind = "node binary, shingles binary"
+def _sets(clusters: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``node`` and ``shingles`` (its full set) of clustered nodes, from one document's text each."""
+    first = nodes.join(clusters.select("node"), "node").select("node", F.col("first").alias("id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
@@ -166,21 +162,67 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, p
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
 
     # rows with one id may hold several texts: only the text of the node's own set may speak for it
-    sets = rows.join(first, rows["id"].eqNullSafe(first["id"])).select("node", "text").mapInArrow(work, kind)
-    sets = sets.where(F.col("node") == _digest("shingles")).dropDuplicates(["node"])
+    texts = rows.join(first, rows["id"].eqNullSafe(first["id"])).select("node", "text")
+    sets = texts.mapInArrow(work, "node binary, shingles binary")
+    return sets.where(F.col("node") == _digest("shingles")).dropDuplicates(["node"])
+
+
+class _Forest:
+    """Union-find over places."""
+
+    def __init__(self, count: int) -> None:
+        self.up = list(range(count))
+
+    def root(self, k: int) -> int:
+        up = self.up
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.root(a)] = self.root(b)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+def _in_blocks(table: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """Each row once per pair of blocks that its block is in, with ``low``, ``high`` and ``own``."""
+    dealt = table.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns(
+        {"low": F.least("own", "other"), "high": F.greatest("own", "other")}
+    ).drop("other", "blocks")
+
+
+def _block_count(size: str):
+    return F.ceil(F.col(size) / BLOCK).cast("int").alias("blocks")
+
+
+def _close_pairs(group, most_bits: int):
+    """Places (a, b) of pairs between the group's two blocks, or in its one, with few differing bits.
+
+    Yields them in parts, the fewest bits first in each part.
+    """
+    own = group["own"].to_numpy()
+    first = np.flatnonzero(own == group["low"].iat[0])
+    second = np.flatnonzero(own == group["high"].iat[0])
+    if not len(first) or not len(second):
+        return
+    sketches = np.vstack([np.frombuffer(s, np.uint64) for s in group["sketch"]])
+    same = group["low"].iat[0] == group["high"].iat[0]
+    for start in range(0, len(first), 64):
+        part = first[start : start + 64]
+        bits = np.bitwise_count(sketches[part][:, None, :] ^ sketches[second][None, :, :]).sum(2, dtype=np.int32)
+        if same:
+            bits[part[:, None] >= second[None, :]] = SKETCH_BITS
+        x, y = np.nonzero(bits <= most_bits)
+        order = np.argsort(bits[x, y], kind="stable")
+        yield from zip(part[x[order]].tolist(), second[y[order]].tolist())
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]):
+    import pandas as pd
+
+    return pd.DataFrame({"a": pd.Series([p[0] for p in pairs], dtype=object), "b": pd.Series([p[1] for p in pairs], dtype=object)})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -188,7 +230,7 @@ def _digest(shingles):
     return shingles.map(xxhash.xxh3_128_digest)
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the least ``node`` that links lead to, of nodes that have links.
 
     Every round each node takes the least name among its own, its neighbours' and then that name's
@@ -200,7 +242,6 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node"))
         low = near.agg(F.min("component").alias("low"))
         step = label.join(low, "node").select("node", "component", F.least("component", "low").alias("new"))
-        step = settled(step)
         jump = step.select(F.col("node").alias("new"), F.least("component", "new").alias("far"))
         moved = settled(
             step.join(jump, "new", "left").select(
@@ -213,61 +254,56 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def _rest(members: DataFrame, label: DataFrame, most_bits: int) -> DataFrame:
-    """Pairs of different components in one bucket that sketches do not rule out, in blocks.
-
-    The nodes of a bucket are dealt to blocks by hash; every pair of blocks of the bucket is one
-    group, so a group holds two blocks, and a pair of nodes is given out for its first common band.
-    """
-    named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = (
+def _bridges(members: DataFrame, looks: DataFrame, label: DataFrame, most_bits: int) -> DataFrame:
+    """Possible links between different clusters that meet in a bucket."""
+    named = members.select("key", "node").join(label, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    mixed = (
         named.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        .where("size > 2 AND low < high")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    dealt = named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        "key",
-        F.least("own", "other").alias("low"),
-        F.greatest("own", "other").alias("high"),
-        "own",
-        "node",
-        "component",
-        "bands",
-        "sketch",
+        .where("size > 2 AND low < high")  # of two nodes the star has seen the only pair
+        .select("key", _block_count("size"))
     )
 
     def compare(group):
-        first = group[group["own"] == group["low"].iat[0]]
-        second = group[group["own"] == group["high"].iat[0]]
-        key = group["key"].iat[0]
-        sketch = np.vstack([np.frombuffer(s, np.uint64) for s in second["sketch"]]) if len(second) else None
-        bands = np.vstack(second["bands"]) if len(second) else None
-        component, names = second["component"].to_numpy(), second["node"].to_numpy()
-        out_a, out_b = [], []
-        for row in first.itertuples(index=False):
-            if sketch is None:
-                break
-            bits = np.bitwise_count(sketch ^ np.frombuffer(row.sketch, np.uint64)).sum(1)
-            near = np.flatnonzero((bits <= most_bits) & (component != row.component))
-            if not len(near):
-                continue
-            same = bands[near] == np.asarray(row.bands)
-            own_band = np.flatnonzero(np.asarray(row.bands) == key)[0]
-            for at in near[same.argmax(1) == own_band]:
-                low, high = sorted((row.node, names[at]))
-                out_a.append(low)
-                out_b.append(high)
-        return pd_frame(out_a, out_b)
+        names, parts = group["node"].tolist(), group["component"].tolist()
+        place = {c: k for k, c in enumerate(parts)}
+        forest, out = _Forest(len(names)), []
+        for k, c in enumerate(parts):
+            forest.join(k, place[c])
+        for a, b in _close_pairs(group, most_bits):
+            if forest.root(a) != forest.root(b):
+                forest.join(a, b)
+                out.append((names[a], names[b]))
+        return _edges(out)
+
+    dealt = _in_blocks(named.join(looks, "node"), "key", mixed)
+    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary").distinct()
 
-    def pd_frame(a, b):
-        import pandas as pd
 
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+def _confirmed(
+    label: DataFrame, looks: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, percent: int, most_bits: int
+) -> DataFrame:
+    """Links inside clusters (``node``, ``component``), exact on full sets, as forests of blocks."""
+    whole = label.join(looks, "node").join(_sets(label, nodes, rows, size), "node")
+    blocks = label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select("component", _block_count("size"))
 
-    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary").distinct()
+    def compare(group):
+        names = group["node"].tolist()
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+        forest, out = _Forest(len(names)), []
+        for a, b in _close_pairs(group, most_bits):
+            x, y = sets[a], sets[b]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or forest.root(a) == forest.root(b):
+                continue
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                forest.join(a, b)
+                out.append((names[a], names[b]))
+        return _edges(out)
+
+    dealt = _in_blocks(whole, "component", blocks)
+    return dealt.groupBy("component", "low", "high").applyInPandas(compare, "a binary, b binary")
 
 
 def near_duplicates(
@@ -283,7 +319,7 @@ def near_duplicates(
         made.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
     )
     links = _links(made, nodes, rows, shingle, percent)
-    label = components(links, nodes)
+    label = components(links)
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("node", "least")
@@ -311,16 +347,16 @@ def _links(made: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, per
         .distinct()
     )
     looks = made.where("node IS NOT NULL").join(members.select("node").distinct(), "node", "left_semi")
-    looks = settled(looks.select("node", "bands", "sketch").dropDuplicates(["node"]))
+    looks = settled(looks.select("node", "sketch").dropDuplicates(["node"]))
     one = looks.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
     two = looks.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     near = star.join(one, "a").join(two, "b").where(_differ("x", "y") <= most_bits).select("a", "b")
-    sure = settled(_confirmed(settled(near), nodes, rows, shingle, percent))
-    label = components(sure, nodes)
-    rest = settled(_rest(members.select("key", "node").join(looks, "node"), label, most_bits))
-    if rest.limit(1).count() == 0:
-        return sure
-    return sure.union(_confirmed(rest, nodes, rows, shingle, percent))
+    near = settled(near)
+    label = components(near)
+    bridges = settled(_bridges(members, looks, label, most_bits))
+    if bridges.limit(1).count():
+        label = components(near.union(bridges))
+    return settled(_confirmed(label, looks, nodes, rows, shingle, percent, most_bits))
 
 
 @F.pandas_udf(T.IntegerType())
