@@ -2,7 +2,7 @@
 
 A text is cut into units: paragraphs (at empty lines), lines, or sentences. Sentences find passages
 that stand inside a line: a unit then is a sentence of at least ``MIN_SENTENCE`` words and the
-shorter ones behind it, so where units start depends on the words there alone. A unit is
+shorter ones before it, so where units end depends on the words there alone. A unit is
 normalised (A-Z lower-cased, white space made one space) and digested to 128 bits. Digests are
 grouped over the whole corpus; the occurrence that is first by (rank, id, place) is kept, the rest is
 removed. Neighbouring units to remove are one span, with its offsets in the original text; a span of
@@ -47,16 +47,19 @@ _TYPE = pa.list_(
 def text_units(text: str, unit: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, normalised bytes) of each unit in order."""
     out: list[tuple[int, int, int, bytes]] = []
+    start, held = None, []
     for match in _CUTS[unit].finditer(text):
         words = match[0].encode().translate(LOWER).split()
         if not words:
             continue
-        first, past = match.span()
-        if unit == "sentence" and len(words) < MIN_SENTENCE and out:
-            start, _, count, plain = out[-1]
-            out[-1] = start, past, count + len(words), plain + b" " + b" ".join(words)
-        else:
-            out.append((first, past, len(words), b" ".join(words)))
+        start = match.start() if start is None else start
+        held += words
+        if unit != "sentence" or len(words) >= MIN_SENTENCE:
+            out.append((start, match.end(), len(held), b" ".join(held)))
+            start, held = None, []
+        past = match.end()
+    if held:
+        out.append((start, past, len(held), b" ".join(held)))
     return out
 
 
