@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -48,6 +49,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def text_column(table: DataFrame, text_col: str, kept: tuple[str, ...] | list[str]) -> list[Column]:
+    """The text as a column ``text``, unless a struct of the kept columns holds it as a string already."""
+    if text_col in kept and table.schema[text_col].dataType.simpleString() == "string":
+        return []
+    return [F.col(text_col).cast("string").alias("text")]
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str, *path: str) -> list[str | None]:
+    """The texts of a batch whose columns ``text_column`` has chosen; ``path`` leads to the struct."""
+    if "text" in batch.schema.names:
+        return batch["text"].to_pylist()
+    column = batch[path[0]]
+    for name in (*path[1:], text_col):
+        column = column.field(name)
+    return column.to_pylist()
+
+
 def settled(table: DataFrame) -> DataFrame:
     """The table computed once and kept in the shared folder that the session names.
 
@@ -59,6 +77,15 @@ def settled(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles and checkpoints nothing refers to any more.
+
+    It follows the driver's garbage collection, which a loop of small jobs does not cause by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():

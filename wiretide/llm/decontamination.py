@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import WORD_BYTES, alnum_words, slices
+from wiretide.llm.common import WORD_BYTES, alnum_words, slices, text_column, texts_of
 
 
 class Automaton:
@@ -192,7 +192,7 @@ def matched_rows(
         for b in item_blocks(items, item_col=item_col, text_col=item_text_col, block_words=block_words)
     )
     source = docs.select(
-        F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *text_column(docs, text_col, keep)
     )
     kind = source.schema["row"].dataType.simpleString()
     found_type = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
@@ -204,7 +204,7 @@ def matched_rows(
                 # one at a time where there are several: each block is one fixed-size automaton
                 automata = [Automaton(b.value, window) for b in blocks] if len(blocks) == 1 else []
             counts, spans, items_found = [], [], []
-            texts = [alnum_words(t) for t in batch["text"].to_pylist()]
+            texts = [alnum_words(t) for t in texts_of(batch, text_col, "row")]
             found = [([], set()) for _ in texts]
             for automaton in automata or (Automaton(b.value, window) for b in blocks):
                 for (old_spans, old_items), words in zip(found, texts):

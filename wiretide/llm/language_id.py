@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import slices
+from wiretide.llm.common import slices, text_column, texts_of
 
 UNKNOWN = "und"
 MAX_N = 3
@@ -143,7 +143,8 @@ def predict(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...], text
     """``row`` (struct of the kept columns), ``lang_pred`` and ``score`` from 0 to 1."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        F.when(has_letter(F.col(text_col)), F.col(text_col).cast("string")).alias("text"),
+        has_letter(F.col(text_col)).alias("letters"),
+        *text_column(docs, text_col, keep),
     )
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -152,9 +153,9 @@ def predict(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...], text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            texts = batch["text"].to_pylist()
+            texts = texts_of(batch, text_col, "row")
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            given = [k for k, t in enumerate(texts) if t is not None]
+            given = [k for k, letters in enumerate(batch["letters"].to_pylist()) if letters]
             if given:
                 found = shared.value.scores([texts[k] for k in given])
                 for k, best, value in zip(given, found.argmax(1), found.max(1)):

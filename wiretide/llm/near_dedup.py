@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiretide.llm.common import settled, slices, spaced_words
+from wiretide.llm.common import settled, slices, spaced_words, tidy
 
 BAND_ROWS = 5
 BANDS = 40
@@ -184,17 +184,23 @@ class _Forest:
         self.up[self.root(a)] = self.root(b)
 
 
-def _in_blocks(table: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
-    """Each row once per pair of blocks that its block is in, with ``low``, ``high`` and ``own``."""
-    dealt = table.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _in_blocks(table: DataFrame, last) -> DataFrame:
+    """Each row once per pair of blocks that its block ``own`` is in, as ``low`` and ``high``.
+
+    Its block meets those numbered from 0 to ``last``.
+    """
+    dealt = table.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return dealt.withColumns(
         {"low": F.least("own", "other"), "high": F.greatest("own", "other")}
-    ).drop("other", "blocks")
+    ).drop("other")
+
 
+def _block_count(size):
+    return F.ceil(size / BLOCK).cast("int")
 
-def _block_count(size: str):
-    return F.ceil(F.col(size) / BLOCK).cast("int").alias("blocks")
+
+def _block_of(blocks: str):
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
 def _close_pairs(group, most_bits: int):
@@ -249,6 +255,7 @@ def components(links: DataFrame) -> DataFrame:
             )
         )
         changed = moved.where("new < component").limit(1).count()
+        tidy(both.sparkSession)
         label = moved.select("node", F.col("new").alias("component"))
         if not changed:
             return label
@@ -258,11 +265,20 @@ def _bridges(members: DataFrame, looks: DataFrame, label: DataFrame, most_bits:
     """Possible links between different clusters that meet in a bucket."""
     named = members.select("key", "node").join(label, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
+    # nodes of a bucket's largest cluster need no look at each other: first come the blocks of all
+    # others (rest), then those of the largest; a pair of blocks always has one of the rest
     mixed = (
-        named.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        .where("size > 2 AND low < high")  # of two nodes the star has seen the only pair
-        .select("key", _block_count("size"))
+        named.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"))
+        .where(F.col("size") > F.greatest(F.lit(2), F.col("most.n")))  # of two nodes the star has seen the only pair
+        .select(
+            "key",
+            F.col("most.component").alias("largest"),
+            _block_count(F.col("size") - F.col("most.n")).alias("rest"),
+            _block_count(F.col("most.n")).alias("blocks"),
+        )
     )
 
     def compare(group):
@@ -277,7 +293,11 @@ def _bridges(members: DataFrame, looks: DataFrame, label: DataFrame, most_bits:
                 out.append((names[a], names[b]))
         return _edges(out)
 
-    dealt = _in_blocks(named.join(looks, "node"), "key", mixed)
+    in_rest = F.col("component") != F.col("largest")
+    dealt = named.join(mixed, "key").join(looks, "node")
+    dealt = dealt.withColumn("own", F.when(in_rest, _block_of("rest")).otherwise(F.col("rest") + _block_of("blocks")))
+    dealt = _in_blocks(dealt, F.col("rest") - 1 + F.when(in_rest, F.col("blocks")).otherwise(0))
+    dealt = dealt.select("key", "low", "high", "own", "node", "component", "sketch")
     return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary").distinct()
 
 
@@ -286,7 +306,8 @@ def _confirmed(
 ) -> DataFrame:
     """Links inside clusters (``node``, ``component``), exact on full sets, as forests of blocks."""
     whole = label.join(looks, "node").join(_sets(label, nodes, rows, size), "node")
-    blocks = label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select("component", _block_count("size"))
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select("component", _block_count(F.col("size")).alias("blocks"))
 
     def compare(group):
         names = group["node"].tolist()
@@ -302,7 +323,8 @@ def _confirmed(
                 out.append((names[a], names[b]))
         return _edges(out)
 
-    dealt = _in_blocks(whole, "component", blocks)
+    dealt = whole.join(sizes, "component").withColumn("own", _block_of("blocks"))
+    dealt = _in_blocks(dealt, F.col("blocks") - 1).drop("blocks")
     return dealt.groupBy("component", "low", "high").applyInPandas(compare, "a binary, b binary")
 
 
@@ -319,6 +341,7 @@ def near_duplicates(
         made.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
     )
     links = _links(made, nodes, rows, shingle, percent)
+    tidy(docs.sparkSession)
     label = components(links)
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
@@ -352,6 +375,7 @@ def _links(made: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, per
     two = looks.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     near = star.join(one, "a").join(two, "b").where(_differ("x", "y") <= most_bits).select("a", "b")
     near = settled(near)
+    tidy(near.sparkSession)
     label = components(near)
     bridges = settled(_bridges(members, looks, label, most_bits))
     if bridges.limit(1).count():

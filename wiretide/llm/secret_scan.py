@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiretide.llm.common import settled, slices
+from wiretide.llm.common import settled, slices, text_column, texts_of
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "mixed")
@@ -59,8 +59,8 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda c: (c[1], c[0]))
 
 
-def _scan(rows: DataFrame) -> DataFrame:
-    """``row`` and ``found`` (the candidates, values as digests) of rows with ``row`` and ``text``."""
+def _scan(rows: DataFrame, text_col: str) -> DataFrame:
+    """``row`` and ``found`` (the candidates, values as digests) of what ``_rows`` returns."""
     kind = rows.schema["row"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def _scan(rows: DataFrame) -> DataFrame:
                     {"kind": k, "first": a, "past": b, "digest": xxhash.xxh3_64_intdigest(v.encode()) - 2**63}
                     for k, a, b, v in candidates(text or "")
                 ]
-                for text in batch["text"].to_pylist()
+                for text in texts_of(batch, text_col, "row", "kept")
             ]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, _TYPE)], ["row", "found"])
 
@@ -96,7 +96,7 @@ def _rows(docs: DataFrame, kept: list[str], text_col: str, owner_col: str, repo_
             F.col(owner_col).cast("string").alias("owner"),
             F.col(repo_col).cast("string").alias("repo"),
         ).alias("row"),
-        F.col(text_col).cast("string").alias("text"),
+        *text_column(docs, text_col, kept),
     )
 
 
@@ -132,7 +132,7 @@ def scan(
     ``repos`` and ``live`` (at most ``max_owners`` owners hold the value). It holds all candidates
     of the fixed kinds and the live ones of the fourth.
     """
-    scanned = _numbered(_scan(_rows(docs, list(keep), text_col, owner_col, repo_col)))
+    scanned = _numbered(_scan(_rows(docs, list(keep), text_col, owner_col, repo_col), text_col))
     spans = _judged(scanned.where(F.size("found") > 0), max_owners)
     none = F.array().cast(spans.schema["spans"].dataType)
     return scanned.join(spans, "number", "left").select(
@@ -156,7 +156,7 @@ def mask(
     unchanged. A column ``count_col``, if there is one, gets the new length. The few documents with
     candidates are kept in the shared folder; the others are only read.
     """
-    scanned = _scan(_rows(docs, docs.columns, text_col, owner_col, repo_col))
+    scanned = _scan(_rows(docs, docs.columns, text_col, owner_col, repo_col), text_col)
     plain = scanned.where(F.size("found") == 0).select("row.kept.*")
     rich = _numbered(scanned.where(F.size("found") > 0))
     spans = _judged(rich, max_owners).select("number", F.filter("spans", lambda s: s["live"]).alias("spans"))
