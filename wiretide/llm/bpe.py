@@ -7,7 +7,7 @@ are unnested to token positions, adjacent pairs join the merge table, and the pa
 are decoded by joining the vocabulary and aggregating bytes in order of position.
 
 Ranks are token ids, as in tiktoken rank files, and a piece that is itself a token is that token.
-Memory is bounded: a worker keeps two tables of about ``keep_chunks`` chunks and 16 million
+Memory is bounded: a task keeps two tables of about ``keep_chunks`` chunks and 8 million
 characters each, and runs one DuckDB call over at most ``call_pieces`` pieces. A piece longer than
 ``long_piece`` bytes would take as many recursion steps as it has merges over all its positions;
 it goes through a heap of pairs instead, by the same rule and with the same result.
@@ -23,9 +23,10 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ from wiretide.llm.common import slices
 
 #: Hex digits of one token id in a row of ids; two bytes hold any id below 65,536.
 WIDTH = 4
+#: An id that no token has, between rows that are decoded together.
+SEPARATOR = "f" * WIDTH
 
 ENCODE_SQL = f"""
 WITH RECURSIVE state(piece, ids) AS (
@@ -116,20 +119,20 @@ def contract(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes inside one Python worker, with DuckDB tables of merges and vocabulary."""
+    """Encodes and decodes inside one task, with DuckDB tables of merges and vocabulary."""
 
-    def __init__(self, ranks, pattern, keep_chunks=150_000, call_pieces=20_000, long_piece=128):
-        if max(ranks.values(), default=0) >= 16**WIDTH:
-            raise ValueError(f"token ids must be below {16**WIDTH}")
+    def __init__(self, ranks, pattern, keep_chunks=80_000, call_pieces=8_000, long_piece=128):
+        if max(ranks.values(), default=0) >= 16**WIDTH - 1:
+            raise ValueError(f"token ids must be below {16**WIDTH - 1}")
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.keep_chunks, self.call_pieces, self.long_piece = keep_chunks, call_pieces, long_piece
-        self.hexes = {bytes([b]): f"{ranks[bytes([b])]:0{WIDTH}x}" for b in range(256)}
+        self.hexes = np.array([f"{ranks[bytes([b])]:0{WIDTH}x}".encode() for b in range(256)])
         self.decimal = {f"{r:0{WIDTH}x}": b"%d" % r for r in ranks.values()}
         self.ids: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.held = 0
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
         merges = {
             f"{ranks[a]:0{WIDTH}x}{ranks[b]:0{WIDTH}x}": rank
             for token, rank in ranks.items()
@@ -142,6 +145,7 @@ class Codec:
             id=[f"{r:0{WIDTH}x}" for r in ranks.values()],
             bytes=[t.hex() for t in ranks],
         )
+        self.db.execute("INSERT INTO vocabulary VALUES (?, '|')", [SEPARATOR])
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -167,46 +171,64 @@ class Codec:
                 new.append((piece, raw))
         for start in range(0, len(new), self.call_pieces):
             part = new[start : start + self.call_pieces]
-            hexes = self.hexes
-            rows = ["".join([hexes[raw[i : i + 1]] for i in range(len(raw))]) for _, raw in part]
+            ids = self.hexes[np.frombuffer(b"".join([raw for _, raw in part]), np.uint8)].tobytes().decode()
+            ends = [0, *accumulate([len(raw) * WIDTH for _, raw in part])]
+            rows = [ids[a:b] for a, b in zip(ends, ends[1:])]
             for k, ids in self._query(ENCODE_SQL, "new_pieces", "piece", rows):
                 known[part[k][0]] = ids
         return known
 
-    def decode(self, coded: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each row of ids (hex text) the ids in decimal, comma-joined, and their bytes."""
-        out = [(b"", b"")] * len(coded)
+    def decode(self, coded: list[str]) -> list[bytes]:
+        """Bytes of each row of ids (hex text); sixteen at a time make one row for DuckDB, with separators."""
+        out: list[bytes] = []
         for start in range(0, len(coded), self.call_pieces):
-            for k, raw in self._query(DECODE_SQL, "coded", "row", coded[start : start + self.call_pieces]):
-                ids, decimal = coded[start + k], self.decimal
-                numbers = [decimal[ids[i : i + WIDTH]] for i in range(0, len(ids), WIDTH)]
-                out[start + k] = b",".join(numbers), bytes.fromhex(raw)
+            part = coded[start : start + self.call_pieces]
+            joined = [SEPARATOR.join(part[k : k + 16]) for k in range(0, len(part), 16)]
+            texts = dict(self._query(DECODE_SQL, "coded", "row", joined))
+            out += [bytes.fromhex(x) for k in range(len(joined)) for x in texts.get(k, "").split("|")]
         return out
 
+    def numbers(self, ids: str) -> bytes:
+        """Ids in hex text as decimal numbers, comma-joined."""
+        decimal = self.decimal
+        return b",".join([decimal[ids[i : i + WIDTH]] for i in range(0, len(ids), WIDTH)])
+
     def learn(self, texts: list[list[str]]) -> None:
         """Encode and decode what the given chunked texts hold and the young table lacks.
 
         Two generations: a full young table becomes the old one, which is dropped at the next
         change; what is met again moves to the young one, so that frequent chunks stay.
         """
-        if len(self.ids) > self.keep_chunks or self.held > 16_000_000:
+        if len(self.ids) > self.keep_chunks or self.held > 8_000_000:
             self.old, self.ids, self.raw, self.held = (self.ids, self.raw), {}, {}, 0
         old_ids, old_raw = self.old
         missing = set().union(*texts).difference(self.ids)
         for chunk in missing.intersection(old_ids):
             self.ids[chunk], self.raw[chunk] = old_ids[chunk], old_raw[chunk]
         missing.difference_update(old_ids)
-        split = {c: self.pattern.findall(c) for c in missing}
+        # letters behind at most one space are a piece
+        split = {c: [c] if c[c[0] == " " :].isalpha() else self.pattern.findall(c) for c in missing}
         new = list(set().union(*split.values()))
         ids = self.encode_pieces(new)
-        known = dict(zip(new, self.decode([ids[p] for p in new])))
+        coded = [ids[p] for p in new]
+        known = dict(zip(new, zip(map(self.numbers, coded), self.decode(coded))))
         self.held += sum(map(len, missing))
+        ids_of, raw_of = self.ids, self.raw
         for chunk, pieces in split.items():
             if len(pieces) == 1:
-                self.ids[chunk], self.raw[chunk] = known[pieces[0]]
+                ids_of[chunk], raw_of[chunk] = known[pieces[0]]
             else:
-                self.ids[chunk] = b",".join([known[p][0] for p in pieces])
-                self.raw[chunk] = b"".join([known[p][1] for p in pieces])
+                both = [known[p] for p in pieces]
+                ids_of[chunk] = b",".join([b[0] for b in both])
+                raw_of[chunk] = b"".join([b[1] for b in both])
+
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Give all memory back: the worker goes on to other tasks."""
+        self.db.close()
+        self.__dict__.clear()
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids (decimal, comma-joined) and the bytes that these ids decode to."""
@@ -216,26 +238,10 @@ class Codec:
             yield b",".join(map(self.ids.__getitem__, text)), b"".join(map(self.raw.__getitem__, text))
 
 
-@lru_cache(maxsize=2)
-def _codec(key: str, pattern: str) -> Codec:
-    return Codec(_RANKS[key], pattern)
-
-
-_RANKS: dict[str, dict[bytes, int]] = {}
-
-
-def _worker_codec(shared) -> Codec:
-    """The codec of this Python worker; its tables serve all tasks that the worker runs."""
-    key, pattern, ranks = shared.value
-    _RANKS.setdefault(key, ranks)
-    return _codec(key, pattern)
-
-
 def _shared(spark: SparkSession, path: str, pattern: str):
-    """The rank table as a broadcast; its size is that of the vocabulary, at most 65,536 tokens."""
+    """The rank table as a broadcast; its size is that of the vocabulary, at most 65,535 tokens."""
     ranks = read_ranks(path)
-    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-    return spark.sparkContext.broadcast((key, pattern, ranks))
+    return spark.sparkContext.broadcast((ranks, pattern))
 
 
 def encode(
@@ -272,14 +278,14 @@ def encode(
     id_type = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(shared)
-        for batch in slices(batches):
-            columns = [[] for _ in out]
-            for ids, raw in codec.batch(batch["text"].to_pylist()):
-                for name, column in zip(out, columns):
-                    column.append(make[name](ids, raw))
-            arrays = [pa.array(c, kinds[n][1]) for n, c in zip(out, columns)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *arrays], ["id", *out])
+        with Codec(*shared.value) as codec:
+            for batch in slices(batches, 256):
+                columns = [[] for _ in out]
+                for ids, raw in codec.batch(batch["text"].to_pylist()):
+                    for name, column in zip(out, columns):
+                        column.append(make[name](ids, raw))
+                arrays = [pa.array(c, kinds[n][1]) for n, c in zip(out, columns)]
+                yield pa.RecordBatch.from_arrays([batch["id"], *arrays], ["id", *out])
 
     schema = ", ".join([f"id {id_type}", *(f"{n} {kinds[n][0]}" for n in out)])
     return source.mapInArrow(work, schema).withColumnRenamed("id", id_col)
@@ -292,10 +298,10 @@ def decode(coded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str
     id_type = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(shared)
-        for batch in slices(batches, 64):
-            rows = ["".join(f"{i:0{WIDTH}x}" for i in ids or []) for ids in batch["ids"].to_pylist()]
-            raw = pa.array([raw for _, raw in codec.decode(rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["id"], raw], ["id", "decoded"])
+        with Codec(*shared.value) as codec:
+            for batch in slices(batches, 64):
+                rows = ["".join(f"{i:0{WIDTH}x}" for i in ids or []) for ids in batch["ids"].to_pylist()]
+                raw = pa.array(codec.decode(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["id"], raw], ["id", "decoded"])
 
     return source.mapInArrow(work, f"id {id_type}, decoded binary").withColumnRenamed("id", id_col)
