@@ -705,7 +705,7 @@ ORACLES["adaptive_scores_blocks"] = ORACLES["adaptive_scores_original"]
 ORACLES["adaptive_rescored"] = ORACLES["adaptive_scores_original"][
     : ORACLES["adaptive_scores_original"].rindex("SELECT session_id")
 ] + """, a AS (SELECT *, CASE WHEN bn < 10 OR rule_id = 'NET-003' THEN raw_score
-   ELSE least(greatest(raw_score * (1.0 + z * 0.15), 0.0), 1.0) END AS adapted FROM z),
+   ELSE round(least(greatest(raw_score * (1.0 + z * 0.15), 0.0), 1.0), 9) END AS adapted FROM z),
 s AS (SELECT *, CAST(floor(adapted * 100) AS INT) AS risk_score FROM a)
 SELECT session_id, rule_id, flush_id, seq, round(adapted, 6) AS raw_score, risk_score, CASE
  WHEN risk_score >= 76 THEN 'CRITICAL' WHEN risk_score >= 51 THEN 'HIGH' WHEN risk_score >= 26 THEN 'MEDIUM'
