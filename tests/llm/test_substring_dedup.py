@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 from wiretide.llm import substring_dedup
+from wiretide.llm.queries import op2_substring_dedup
 from wiretide.llm.substring_dedup import duplicate_spans, remove_spans, text_units
 
 
@@ -54,3 +55,40 @@ def test_odd_documents(odd_documents, no_documents):
     assert remove_spans(odd_documents, spans).count() == odd_documents.count()
     assert duplicate_spans(no_documents).collect() == []
     assert substring_dedup.MIN_SENTENCE == 4
+
+
+def test_query_finds_whole_passages_that_begin_and_end_inside_sentences(spark, tmp_path):
+    dice = random.Random(21)
+    words = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    rows, passages = [], {}
+    for k in range(25):
+        middle = dice.randint(4, 12)
+        ends = dice.randint(51, 100) - middle
+        head = dice.randint(20, ends - 20) if ends > 40 else ends // 2
+        whole = [*words(middle - 1), f"w{k}."]
+        if k % 5 == 0:
+            whole[0] += "."  # a short sentence at the border of units
+        passage = " ".join([*words(head - 1), f"h{k}.", *whole, *words(ends - head)])
+        passages[100 + k] = passage
+        for doc in (k, 100 + k):
+            rows.append((doc, f"{' '.join(words(9))}. {' '.join(words(3))} {passage} {' '.join(words(5))}. {' '.join(words(6))}."))
+    short = "Released under the terms of that license."
+    rows += [(200, f"{' '.join(words(8))}. {short} {' '.join(words(8))}."), (201, f"{' '.join(words(7))}. {short} {' '.join(words(9))}.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op2_substring_dedup(spark, str(tmp_path)).collect()
+    texts = dict(rows)
+    assert {r.doc_id: texts[r.doc_id][r.start : r.end] for r in got} == passages
+    assert all(r.n_words == len(passages[r.doc_id].split()) and r.first_id == r.doc_id - 100 for r in got)
+    assert len(got) == len(passages)
+
+
+def test_extension_of_odd_documents(spark, odd_documents, no_documents):
+    spans = duplicate_spans(odd_documents, min_words=1, extend=True)
+    assert {(r.doc_id, r.first_id) for r in spans.collect()} >= {(6, 5), (11, 10)}
+    assert remove_spans(odd_documents, spans).count() == odd_documents.count()
+    assert duplicate_spans(no_documents, extend=True).collect() == []
+    # sides that overlap in the gap are one span, its words counted once
+    rows = [(1, "a b c d e f g. One two three four."), (2, "Five six seven eight. p q c d e r."), (3, "x y z. One two three four.")]
+    rows += [(4, "Five six seven eight. p q a b c d e f g. One two three four.")]
+    got = duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1, extend=True)
+    assert [(r.start, r.end, r.n_words) for r in got.where("doc_id = 4").collect()] == [(0, len(rows[3][1]), 17)]

@@ -48,7 +48,7 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.duplicate_spans(table(spark, folder, "documents"))
+    return substring_dedup.duplicate_spans(table(spark, folder, "documents"), extend=True)
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
