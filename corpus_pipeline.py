@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from wiretide.llm import bpe, decontamination, language_id, near_dedup, secret_scan
 from wiretide.session import scratch_folder
 
-#: A document scored below this for its best language is in none that the model knows.
-LEAST_SCORE = 0.25
 #: A document of which more than this share is benchmark text goes; of others the passages go.
 MOST_CONTAMINATED = 0.5
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,8 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in one of the languages of the labelled ones; rejected ones go."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     judged = language_id.predict(docs, model, keep=tuple(docs.columns))
-    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select("row.*")
+    return judged.where("known").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -51,3 +51,22 @@ def test_odd_documents(odd_documents, no_documents):
     assert language_id.fit(no_documents) is None
     assert {r.lang_pred for r in language_id.predict(odd_documents, None, keep=("doc_id",)).collect()} == {"und"}
     assert language_id.predict(no_documents, model, keep=("doc_id",)).collect() == []
+
+
+def test_unlearned_script_and_letter_among_symbols_are_rejected(spark):
+    dice = np.random.default_rng(5)
+    odd = [
+        (1000, "река дом вода письмо сад музыка зима мост рынок серебро и ещё немного слов", "ru"),
+        (1001, "家 水 手紙 庭 音楽 冬 橋 市場 銀 言葉", "ja"),
+        (1002, "| 12 | 34 | a | 56 | 78 | + - * / = 90 |", "en"),
+        (1003, " ".join(dice.choice("qxz jvk wqy xkq zzv kjx".split(), 30)), "xx"),
+        (1004, "the house", "en"),
+        (1005, "Das Haus und der Schuh", "de"),
+    ]
+    clean = texts(400, 6)
+    docs = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 300"), per_language=60, landmarks=40)
+    got = {r.doc_id: r for r in language_id.predict(docs, model, keep=("doc_id",)).select("row.doc_id", "score", "known").collect()}
+    assert all(got[k].score >= 1 / 3 - 1e-6 for k in (1000, 1001, 1002, 1003))  # no score can reject
+    assert not any(got[k].known for k in (1000, 1001, 1002, 1003))
+    assert got[1004].known and all(got[r[0]].known for r in clean)
