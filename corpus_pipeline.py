@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates, by five-word shingles at 0.8."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, single=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

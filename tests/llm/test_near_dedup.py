@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from wiretide.llm import near_dedup
 
 
@@ -75,3 +76,24 @@ def test_odd_documents(odd_documents, no_documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 8, 9, 10]
     assert near_dedup.near_duplicates(no_documents).collect() == []
     assert near_dedup.keep_one(no_documents).collect() == []
+
+
+def test_one_row_of_a_group_stays_where_ids_are_repeated(spark, odd_documents, no_documents):
+    dice = random.Random(33)
+    prose = lambda: " ".join(f"w{dice.randrange(10**6)}" for _ in range(60))
+    one, two, three, four = prose(), prose(), prose(), prose()
+    near = one + " tail"
+    rows = [
+        (1, one, 1), (1, one, 2), (2, one, 3), (2, two, 4),  # 2: a copy of 1 beside a text of its own
+        (3, three, 5), (3, three, 6), (3, near, 7), (4, four, 8), (5, four, 9), (None, four, 10), (None, "", 11), (None, "", 12),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number long").repartition(5)
+    got = near_dedup.keep_one(docs, single=True)
+    kept = sorted(r.number for r in got.collect())
+    assert got.columns == docs.columns
+    assert len(kept) == 6 and set(kept) - {1, 2, 5, 6} == {4, 8, 11, 12}
+    assert len(set(kept) & {1, 2}) == 1 and len(set(kept) & {5, 6}) == 1
+    twice = corpus_pipeline.near_duplicates(spark, docs.where("number IN (8, 9)").union(docs.where("number IN (8, 9)")), "")
+    assert [r.number for r in twice.collect()] == [8]
+    assert sorted(r.doc_id or 0 for r in near_dedup.keep_one(odd_documents, single=True).collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
+    assert near_dedup.keep_one(no_documents, single=True).collect() == []

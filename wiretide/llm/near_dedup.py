@@ -335,18 +335,30 @@ def near_duplicates(
 
     Documents are linked if their sets share ``percent`` of a hundred of their union.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    made, named = _judged(_texts(docs, id_col, text_col), shingle, percent)
+    return _verdicts(made, named, id_col)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _judged(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and per node its ``component`` and the ``least`` id of that."""
     made = settled(_sketches(rows, shingle))
     nodes = settled(
         made.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
     )
     links = _links(made, nodes, rows, shingle, percent)
-    tidy(docs.sparkSession)
+    tidy(rows.sparkSession)
     label = components(links)
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    named = named.join(least, "component").select("node", "least")
-    out = made.select("id", "n", "node").join(named, "node", "left")
+    return made, named.join(least, "component").select("node", "component", "least")
+
+
+def _verdicts(made: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
+    out = made.select("id", "n", "node").join(named.select("node", "least"), "node", "left")
     component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col),
@@ -394,11 +406,42 @@ def _differ(x, y):
     return pd.Series(np.bitwise_count(first ^ second).sum(1).astype(np.int32))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    single: bool = False,
+) -> DataFrame:
     """The documents that are the first of their component, all columns as they were.
 
     Rows with one id stay or go together: they stay if one of them is the first of its component.
+    With ``single``, one row of each component stays, also where ids are repeated: of the rows with
+    its least id the first by a settled number.
     """
-    judged = near_duplicates(docs, id_col=id_col, **how)
+    made, named = _judged(_texts(docs, id_col, text_col), shingle, percent)
+    judged = _verdicts(made, named, id_col)
     gone = judged.groupBy(F.col(id_col).alias("gone")).agg(F.max("kept").alias("kept")).where("NOT kept")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    apart = docs
+    if single:
+        twice = settled(made.groupBy(F.col("id").alias("twice")).count().where("count > 1").select("twice"))
+        again = docs[id_col].eqNullSafe(twice["twice"])
+        if not twice.limit(1).count():
+            single = False
+        else:
+            apart = docs.join(twice, again, "left_anti")
+    left = apart.join(gone, apart[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    if not single:
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.join(twice, again, "left_semi").select(row, F.monotonically_increasing_id().alias("number"))
+    held = settled(held)
+    numbers = held.select(F.col("number").alias("id"), F.col("row")[text_col].cast("string").alias("text"))
+    place = _sketches(numbers, shingle).select(F.col("id").alias("number"), "node").join(named, "node", "left")
+    place = held.select("number", F.col("row")[id_col].alias("id")).join(place, "number")
+    first = place.where(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("least")))
+    first = first.groupBy("component").agg(F.min("number").alias("number")).select("number")
+    stay = first.union(place.where("node IS NULL").select("number"))
+    return left.union(held.join(stay, "number", "left_semi").select("row.*"))
