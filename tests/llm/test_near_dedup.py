@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from wiretide.llm import near_dedup
@@ -97,3 +98,9 @@ def test_one_row_of_a_group_stays_where_ids_are_repeated(spark, odd_documents, n
     assert [r.number for r in twice.collect()] == [8]
     assert sorted(r.doc_id or 0 for r in near_dedup.keep_one(odd_documents, single=True).collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
     assert near_dedup.keep_one(no_documents, single=True).collect() == []
+
+
+def test_thresholds_that_bands_would_miss_are_refused():
+    for percent in (50, 79, 101):
+        with pytest.raises(ValueError, match="percent"):
+            near_dedup._judged(None, 5, percent)

@@ -50,6 +50,8 @@ SAMPLES = BAND_ROWS * BANDS
 SKETCH_BITS = 1024
 #: How far below the threshold an estimate may lie before a pair is given up.
 MARGIN = 0.14
+#: The lowest threshold for which bands and margin keep the chances stated above.
+LEAST_PERCENT = 80
 #: Nodes of a bucket or cluster in one block; a group of rows is two blocks.
 BLOCK = 256
 
@@ -345,6 +347,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _judged(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and per node its ``component`` and the ``least`` id of that."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is {percent}; bands and sketches find links from {LEAST_PERCENT} to 100 only")
     made = settled(_sketches(rows, shingle))
     nodes = settled(
         made.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
