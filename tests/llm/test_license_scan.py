@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from wiretide.llm import license_scan
 
 
@@ -57,3 +59,10 @@ def test_odd_documents(odd_documents, no_documents):
     got = license_scan.scan(odd_documents).collect()
     assert len(got) == odd_documents.count() and not any(r.labels for r in got)
     assert license_scan.scan(no_documents).collect() == []
+
+
+def test_templates_longer_than_half_a_block_are_refused():
+    assert len(license_scan._sets(license_scan.TEMPLATES)) == len(license_scan.TEMPLATES)
+    long_text = " ".join(f"w{k}" for k in range(33))
+    with pytest.raises(ValueError, match="33 words"):
+        license_scan._sets([("mit", long_text)])

@@ -58,6 +58,9 @@ THRESHOLD = 0.9
 
 
 def _sets(templates) -> list[tuple[str, frozenset[bytes]]]:
+    for label, text in templates:
+        if (size := len(alnum_words(text))) > BLOCK // 2:
+            raise ValueError(f"a template of {label} has {size} words; only {BLOCK // 2} lie whole in some block")
     return [(label, frozenset(alnum_words(text))) for label, text in templates]
 
 
