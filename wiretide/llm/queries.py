@@ -11,6 +11,7 @@ from wiretide.llm import (
     decontamination,
     language_id,
     license_scan,
+    merkle_manifest,
     near_dedup,
     packing,
     quality_rules,
@@ -87,6 +88,13 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")  # no overflow
+    return merkle_manifest.audit(docs, tampered, {"n_chars": more})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,5 +108,6 @@ QUERIES = {
         op8_byte_bpe,
         op9_license_scan,
         op10_near_dedup,
+        op11_merkle_manifest,
     )
 }
