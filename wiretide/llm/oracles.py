@@ -144,3 +144,90 @@ c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
  least(doc_id, coalesce(least, doc_id)) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+# -- CRC-32 ------------------------------------------------------------------------------------
+# bitwise, by a table of 256 remainders of the reversed polynomial
+_CRC_TABLE = """crc_bits(i, k, x) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY i) AS crc FROM crc_bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """Of ASCII text, where ``crc`` is the table."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda p: CAST(ord({text}[p]) AS BIGINT))"
+    step = "xor(crc[xor(c, b) % 256 + 1], c >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+# -- Merkle manifest ---------------------------------------------------------------------------
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of the trees over ``leaves`` (g, place, digest, n): g, level, place, digest, n (nodes of the level)."""
+    return f"""{name}(g, level, place, digest, n) AS (SELECT g, 0, place, digest, n FROM {leaves} UNION ALL
+  SELECT g, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM {name} WHERE n > 1
+  GROUP BY g, level, place // 2, n)"""
+
+
+def _steps(tree: str, leaves: str, key: str) -> str:
+    """Per leaf its siblings up the tree: L before, R after, - none."""
+    return f"""SELECT l.{key}, list(CASE WHEN s.digest IS NULL THEN '-' WHEN s.place % 2 = 0 THEN 'L' || s.digest
+   ELSE 'R' || s.digest END ORDER BY t.level) FILTER (t.level IS NOT NULL) AS steps
+  FROM {leaves} l LEFT JOIN (SELECT DISTINCT g, level, n FROM {tree} WHERE n > 1) t ON t.g = l.g
+  LEFT JOIN {tree} s ON s.g = l.g AND s.level = t.level AND s.place = xor(l.place // (1 << t.level), 1)
+  GROUP BY l.{key}"""
+
+
+_FOLD = """list_reduce(list_prepend(start, steps), lambda a, x: CASE left(x, 1) WHEN 'L' THEN sha256(substr(x, 2) || a)
+   WHEN 'R' THEN sha256(a || substr(x, 2)) ELSE sha256(a) END)"""
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS number, doc_id, coalesce('=' || lang, '-') AS g, {_leaf("n_chars")} AS digest,
+  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS changed
+  FROM documents, crc_table),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS place,
+  count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree("t", "l")},
+s AS (SELECT g AS lang_key, '' AS g, digest, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+{_tree("u", "s")},
+a AS ({_steps("t", "l", "number")}),
+b AS ({_steps("u", "s", "lang_key")}),
+p AS (SELECT doc_id, l.digest AS leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root,
+  coalesce(changed, l.digest) AS start, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM l JOIN s ON s.lang_key = l.g JOIN a USING (number) JOIN b USING (lang_key)),
+f AS (SELECT *, {_FOLD} AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root,
+ sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256, folded_root,
+ folded_root = root AS verified FROM f"""
+
+# -- prefix trie -------------------------------------------------------------------------------
+ORACLES["op13_prefix_trie"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+r AS (SELECT conv_id, {{'role': role, 'text': text}} AS said, row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) - 1 AS rank FROM o),
+w AS (SELECT conv_id, list(said ORDER BY rank) AS said FROM r GROUP BY 1),
+h AS (SELECT conv_id, said, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM w, crc_table),
+c AS (SELECT x.conv_id, list_concat(coalesce(b.said[:x.h], []), x.said[x.h + 1:]) AS said
+  FROM h x LEFT JOIN w b ON b.conv_id = x.conv_id - x.conv_id % 5),
+p AS (SELECT conv_id, d, said[:d] AS path, len(said) = d AS last FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM c)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(path[-1].text) END AS own,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT path[:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+t AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.own) AS saved
+  FROM (SELECT path, path[:a.d] AS up, own, n_children FROM m, (SELECT DISTINCT d FROM m) a WHERE a.d <= m.d) b
+  JOIN m a ON a.path = b.up GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN t USING (path) LEFT JOIN n u ON m.d > 0 AND u.d = m.d - 1 AND u.path = m.path[:m.d - 1]"""

@@ -14,6 +14,8 @@ from wiretide.llm import (
     merkle_manifest,
     near_dedup,
     packing,
+    pii,
+    prefix_trie,
     quality_rules,
     secret_scan,
     substring_dedup,
@@ -95,6 +97,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.audit(docs, tampered, {"n_chars": more})
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.scan(table(spark, folder, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -109,5 +120,7 @@ QUERIES = {
         op9_license_scan,
         op10_near_dedup,
         op11_merkle_manifest,
+        op12_pii,
+        op13_prefix_trie,
     )
 }
