@@ -39,7 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# an address starts at the start of a run of digits or not at all, so no other start need be tried
+# an address lies in a run of digits and dots, and starts where digits start
+_NUMBERS = re.compile(r"[0-9][0-9.]{6,}")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -61,7 +62,10 @@ _PLAIN |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 _PLAIN |= {
     chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, sys.maxunicode + 1) if chr(c).isdecimal()
 }
-_GLYPH = re.compile("[" + "".join(map(re.escape, sorted(_PLAIN))) + "]")
+_GLYPHS = frozenset(_PLAIN)
+_TO_PLAIN = str.maketrans(_PLAIN)
+#: Characters that show nothing.
+_UNSEEN = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
 #: Digits spelled out in English, French, German and Spanish.
 DIGITS = (
@@ -83,10 +87,13 @@ _UNIT = re.compile(
     rf"""(?P<digits>\b(?:plus\x20)?{_WORD}(?:(?:\x20dot\x20|[\x20-]){_WORD}){{2,}}\b)
     |(?P<at>\x20?[\[({{<]\x20?(?:at|@)\x20?[\])}}>]\x20?|(?<=[a-z0-9])\x20at\x20(?=[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]))
     |(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))
-    |(?P<none>[\u00ad\u200b\u200c\u200d\u2060\ufeff]+)""",
-    re.VERBOSE | re.IGNORECASE,
+    |(?P<none>[{"".join(sorted(_UNSEEN))}]+)""",
+    re.VERBOSE,
 )
-_SPELLED = re.compile(rf"(?P<plus>plus\x20)|(?P<word>{_WORD})|(?P<dot>\x20dot\x20)|[\x20-]", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?P<plus>plus\x20)|(?P<word>{_WORD})|(?P<dot>\x20dot\x20)|[\x20-]")
+# of three or more digits spelled out in a row some stand between separators
+_BETWEEN = [f" {word} " for word in _VALUE]
+_BRACKETED = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]")
 
 _SPANS = "array<struct<first:int,kind:int,past:int,base:boolean>>"
 _TYPE = pa.list_(
@@ -116,10 +123,11 @@ def _luhn(digits: list[str]) -> bool:
 def detected(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of plain personal data, by start and then kind."""
     out = [(a, 0, b) for a, b in _emails(text)]
-    for m in _IP.finditer(text):
-        parts = [p.lstrip("0") for p in m[0].split(".")]
-        if all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in parts):
-            out.append((m.start(), 1, m.end()))
+    for run in _NUMBERS.finditer(text):
+        for m in _IP.finditer(text, run.start(), run.end()):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in parts):
+                out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 13:
             digits = _DIGIT.findall(m[0])
@@ -140,28 +148,38 @@ class Rewritten:
 
     def __init__(self, source: str) -> None:
         self.touched: list[int] = []
-        if not source.isascii() and _GLYPH.search(source):
-            self.touched = [m.start() for m in _GLYPH.finditer(source)]
-            source = _GLYPH.sub(lambda m: _PLAIN[m[0]], source)
+        odd = frozenset() if source.isascii() else frozenset(source)
+        if not odd.isdisjoint(_GLYPHS):
+            self.touched = [k for k, c in enumerate(source) if c in _GLYPHS]
+            source = source.translate(_TO_PLAIN)
+        low = source.lower()  # as long as the source: the one letter for which it is not is a glyph
         self.places, self.firsts, self.pasts = [], [], []
         self.copied: list[bool] = []
         self._parts: list[str] = []
         self._size = at = 0
-        for unit in _UNIT.finditer(source):
+        for unit in _UNIT.finditer(low) if self._hidden(low, odd) else ():
             self._add(source[at : unit.start()], at, unit.start(), True)
             at = unit.end()
             self.touched.append(unit.start())
             if unit.lastgroup != "digits":
                 self._add({"at": "@", "dot": ".", "none": ""}[unit.lastgroup], unit.start(), at, False)
                 continue
-            for m in _SPELLED.finditer(source, unit.start(), at):
-                plain = _VALUE[m[0].lower()] if m["word"] else "+" if m["plus"] else "." if m["dot"] else ""
+            for m in _SPELLED.finditer(low, unit.start(), at):
+                plain = _VALUE[m[0]] if m["word"] else "+" if m["plus"] else "." if m["dot"] else ""
                 self._add(plain, m.start(), m.end(), False)
         if self._parts or self.touched:
             self._add(source[at:], at, len(source), True)
         self.touched.sort()
         self.text = "".join(self._parts)
 
+    @staticmethod
+    def _hidden(low: str, odd: frozenset[str]) -> bool:
+        """Can there be a unit at all? Much faster than looking for one."""
+        if not odd.isdisjoint(_UNSEEN) or " dot " in low or _BRACKETED.search(low):
+            return True
+        spaced = low.replace("-", " ")
+        return any(word in spaced for word in _BETWEEN)
+
     def _add(self, text: str, first: int, past: int, copied: bool) -> None:
         if text:
             self.places.append(self._size)
