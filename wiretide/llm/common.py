@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 from collections.abc import Iterator
@@ -42,11 +43,25 @@ def sha256(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system; Spark reuses workers, and they never shrink else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most so many rows, so that work memory stays small."""
+    """The batches in pieces of at most so many rows, so that work memory stays small.
+
+    What earlier tasks of the worker have left is given back first.
+    """
+    give_back()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def text_column(table: DataFrame, text_col: str, kept: tuple[str, ...] | list[str]) -> list[Column]:

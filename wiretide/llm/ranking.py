@@ -1,4 +1,4 @@
-"""Places of rows within their groups, also where one group holds most rows."""
+"""Places of rows in their groups and lookups by key, also where one key holds most rows."""
 
 from __future__ import annotations
 
@@ -47,3 +47,16 @@ def ranked(
     return placed.join(runs, [*by, "part"]).select(
         *table.columns, (F.col("at") - F.col("first") + F.col("before")).alias("rank"), "total", *extra
     )
+
+
+def spread_lookup(
+    rows: DataFrame, key: str, table: DataFrame, salt: str, how: str = "inner", salts: int = 64
+) -> DataFrame:
+    """The rows joined with ``table``, which has each ``key`` once, where a key may hold most rows.
+
+    Rows of a key are dealt by their column ``salt``; the table is joined with the distinct (key, salt)
+    first, at most ``salts`` rows a key, so no task of the large join gets more than a share.
+    """
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    found = dealt.select(key, "salt_").distinct().join(table, key)
+    return dealt.join(found, [key, "salt_"], how).drop("salt_")
