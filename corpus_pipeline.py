@@ -6,14 +6,12 @@ the columns of ``documents``. A stage sees what the one before it kept.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretide.llm import bpe, decontamination, language_id, near_dedup, secret_scan
-from wiretide.session import scratch_folder
+from wiretide.session import drop_written, scratch_folder, written
 
 #: A document of which more than this share is benchmark text goes; of others the passages go.
 MOST_CONTAMINATED = 0.5
@@ -62,13 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """The last stage's rows; what stages hand on is Parquet in the shared folder."""
-    shared = scratch_folder(spark)
-    if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    base = f"{shared}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, folder).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    """The last stage's rows; what stages hand on is Parquet in the shared folder.
+
+    A stage's table is dropped once the next one is written; the last is dropped when the process ends.
+    """
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs, here = written(stage(spark, docs, folder), scratch_folder(spark))
+        if before:
+            drop_written(spark, before)
+        before = here
     return STAGES[-1][1](spark, docs, folder)
