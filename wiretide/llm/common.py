@@ -105,10 +105,7 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = scratch_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(scratch_folder(spark))
 
 
 def with_columns(schema: str, table: DataFrame, *names: str) -> str:
