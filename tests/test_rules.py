@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiretide.operators import assessment, evaluation
+from wiretide.plans import isolation
 from wiretide.plans.detect import overall_risk, overall_risk_worst_first, run_rules
 from wiretide.plans.features import Features, Tables
-from wiretide.rules import BUILT_IN, SUSPICIOUS_VOLUME, Rule, RuleRegistry, default_registry
+from wiretide.rules import BUILT_IN, SUSPICIOUS_VOLUME, Rule, RuleRegistry, default_registry, evidence, make_finding
 from wiretide.schemas import PACKETS
 from wiretide.sinks import tables as sinks
 
@@ -90,6 +91,41 @@ def test_a_rule_that_cannot_be_planned_is_named(traffic):
     assert result.findings.count() == 8
 
 
+def fragile(fails_at):
+    """A rule over flows that divides by zero where the source port is ``fails_at``, and fires elsewhere."""
+    port = F.col("src_port")
+    return lambda: make_finding(
+        1 / (port - fails_at) != 7, entity=F.col("src_ip"), subject=F.col("src_ip"), raw=F.lit(0.5), confidence=F.lit(1),
+        title=F.lit("t"), description=F.lit("d"), recommendation=F.lit("r"), evidences=[evidence("port", port, 1)],
+        entities=F.array("src_ip"), start=F.col("start_time"), end=F.col("end_time"), snapshot={"port": port},
+    )
+
+
+def test_a_rule_that_fails_while_running_fails_only_where_it_does(traffic, found):
+    no_plan = Rule("BAD-1", "Broken", "flows", lambda: F.struct(F.col("no_such_column").alias("x")))
+    registry = RuleRegistry([no_plan, Rule("BAD-2", "Fragile", "flows", fragile(50003)), *BUILT_IN])
+    got = isolation.run_rules_isolated(traffic, registry)
+    lost = {(r.capture_id, r.rule_id, r.stage, r.error) for r in got.failures.collect()}
+    captures = {"beacon", "ping", "bulk", "flood", "quiet"}
+    assert lost == {(c, "BAD-1", "plan", "NOT_PLANNED") for c in captures} | {("bulk", "BAD-2", "run", "DIVIDE_BY_ZERO")}
+    hits = got.findings.collect()
+    assert {r.capture_id for r in hits if r.rule_id == "BAD-2"} == captures - {"bulk"}
+    built_in = {(r.finding_id, r.risk_score, r.rule_place - 2) for r in hits if r.rule_id.startswith("NET")}
+    assert built_in == {(r.finding_id, r.risk_score, r.rule_place) for r in found.findings.collect()}
+    risk = {r.capture_id: r.failed_rules for r in overall_risk(got.findings, traffic.totals, failures=got.failures).collect()}
+    assert risk["bulk"] == ["BAD-1", "BAD-2"] and risk["quiet"] == ["BAD-1"]
+
+
+def test_isolation_is_bounded_and_free_where_nothing_fails(traffic, found):
+    all_lost = Rule("BAD-3", "Everywhere", "flows", lambda: fragile(0)().withField("raw", F.raise_error(F.lit("no")).cast("double")))
+    registry = RuleRegistry([all_lost, *BUILT_IN])
+    got = isolation.run_rules_isolated(traffic, registry, most_trials=1)
+    assert {r.capture_id for r in got.failures.collect()} == {"beacon", "ping", "bulk", "flood", "quiet"}
+    assert {r.finding_id for r in got.findings.collect()} == {r.finding_id for r in found.findings.collect()}
+    fine = isolation.run_rules_isolated(traffic)
+    assert fine.failures.collect() == [] and fine.findings.count() == found.findings.count()
+
+
 def test_own_rule_and_optional_rule(traffic):
     volume = run_rules(traffic, RuleRegistry([SUSPICIOUS_VOLUME])).findings.collect()
     assert {r.capture_id for r in volume} >= {"bulk"}

@@ -117,7 +117,7 @@ def planning(spark, request):
         spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("record, block", [("adapted", 10_000), ("original", 1), ("original", 5), ("original", 20)])
+@pytest.mark.parametrize("record, block", [("adapted", 10_000), ("adapted", 10), ("adapted", 1), ("original", 1), ("original", 5), ("original", 20)])
 def test_adaptive_scores_equal_the_walked_result(spark, planning, record, block):
     dice = random.Random(3)
     rows = [(f"s{dice.randint(0, 1)}", f"r{dice.randint(0, 2)}", n // 7, n, dice.choice([0.2, 0.5, 0.8, 0.81]))
@@ -200,6 +200,86 @@ def test_idle_flows_join_across_slices(spark):
     assert sorted((r.session_id, r.packets) for r in got) == sorted(want)
 
 
+def test_guessed_windows_that_are_wrong_are_folded_again(spark, monkeypatch):
+    """Without rows before a block to guess from, every guess but the first is wrong."""
+    monkeypatch.setattr(adaptive, "LEAD_WINDOWS", 0.04)
+    dice = random.Random(9)
+    rows = [("s", "r0", n // 5, n, dice.random()) for n in range(700)] + [("s", "r1", n, n, 0.5) for n in range(30)]
+    config = adaptive.AdaptiveConfig(window_size=25, min_samples=5)
+    table = spark.createDataFrame(rows, "session_id string, rule_id string, flush_id long, seq long, raw_score double")
+    want = {(w[1], w[3]): w[4] for w in walk(rows, config, "adapted")}
+    for rounds in (5, 50):  # most blocks are walked through in the end, or all are folded again
+        monkeypatch.setattr(adaptive, "ROUNDS", rounds)
+        got = adaptive.adaptive_scores(table, config, block_flushes=20).collect()
+        assert {(r.rule_id, r.seq): round(r.adapted_score, 9) for r in got} == want and len(got) == len(rows)
+
+
+def cut_by_hand(rows, seconds):
+    """Flows of (stamp, from the left, bytes) in time order, opened and closed one event at a time."""
+    out = []
+    for at, left, size in rows:
+        if not out or at - out[-1][0] >= seconds:
+            out.append([at, at, 0, 0, 0, []])
+        flow = out[-1]
+        flow[1], flow[2], flow[3 if left else 4] = at, flow[2] + 1, flow[3 if left else 4] + size
+        flow[5].append(at)
+    return out
+
+
+def flow_numbers(table):
+    start = T0.replace(tzinfo=None)
+    return sorted(
+        ((r.start_time - start).total_seconds(), (r.end_time - start).total_seconds(), r.packets_total, r.src_ip,
+         r.src_bytes, r.dst_bytes, r.inter_packet_interval_ms, r.inter_packet_interval_variance_ms)
+        for r in table.collect()
+    )
+
+
+def by_hand(rows, seconds):
+    out = []
+    for (opened, last, n, left, right, stamps), first in zip(cut_by_hand(rows, seconds), [r for r in rows if r[0] in {f[0] for f in cut_by_hand(rows, seconds)}]):
+        gaps = [b - a for a, b in zip(stamps, stamps[1:])]
+        mean = sum(gaps) / len(gaps) if gaps else 0.0
+        spread = sum((g - mean) ** 2 for g in gaps) / (len(gaps) - 1) if len(gaps) > 1 else 0.0
+        out.append((opened, last, n, "10.0.0.1" if first[1] else "10.0.0.2", left if first[1] else right,
+                    right if first[1] else left, pytest.approx(mean * 1000, abs=1e-3), pytest.approx(spread * 1e6, abs=1e-2)))
+    return sorted(out, key=lambda f: f[0])
+
+
+def both_ways(rows):
+    return [event(n, "10.0.0.1", 1, "10.0.0.2", 2, size, at) if left else event(n, "10.0.0.2", 2, "10.0.0.1", 1, size, at)
+            for n, (at, left, size) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("slice_seconds", [3, 10, 64, 10_000])
+def test_active_expiry_at_rest_equals_a_walk(spark, slice_seconds):
+    dice, at, rows = random.Random(21), 0.0, []
+    for _ in range(400):
+        at += dice.choice([0.25, 0.5, 1, 2.5, 9.75, 10, 31])
+        rows.append((at, dice.random() < 0.5, dice.randint(1, 99)))
+    other = [event(900 + n, "10.0.0.8", 1, "10.0.0.9", 2, 5, n) for n in range(9)]
+    table = spark.createDataFrame(both_ways(rows), FLOW_EVENTS)
+    assert flow_numbers(expiry.active_flows(table, 10, slice_seconds=slice_seconds)) == by_hand(rows, 10)
+    short = expiry.active_flows(spark.createDataFrame(other, FLOW_EVENTS), 10, slice_seconds=slice_seconds).collect()
+    assert [r.packets_total for r in short] == [9]
+
+
+def test_active_expiry_of_a_stream_equals_a_walk(spark, tmp_path):
+    dice, at, rows = random.Random(22), 0.0, []
+    for _ in range(120):
+        at += dice.choice([0.25, 0.5, 1, 2.5, 9.75, 10, 31])
+        rows.append((at, dice.random() < 0.5, dice.randint(1, 99)))
+    events = both_ways(rows) + [event(999, "10.0.0.9", 1, "10.0.0.8", 2, 10, at + 500)]
+    for k in range(0, len(events), 40):  # several micro-batches, with flows open between them
+        spark.createDataFrame(events[k : k + 40], FLOW_EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FLOW_EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    (expiry.active_flows(stream, 10).writeStream.format("parquet").outputMode("append")
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+     .start(str(tmp_path / "out")).awaitTermination())
+    got = flow_numbers(spark.read.parquet(str(tmp_path / "out")))
+    assert got == by_hand(rows, 10)
+
+
 def test_active_expiry_cuts_busy_flows(spark, tmp_path):
     rows = [event(i, "10.0.0.1", 1, "10.0.0.2", 2, 10, i) for i in range(25)]
     rows.append(event(99, "10.0.0.9", 1, "10.0.0.8", 2, 10, 500))
@@ -208,5 +288,5 @@ def test_active_expiry_cuts_busy_flows(spark, tmp_path):
     (expiry.active_flows(stream, 10).writeStream.format("parquet").outputMode("append")
      .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
      .start(str(tmp_path / "out")).awaitTermination())
-    got = sorted((r.start_time.second, r.packets) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    got = sorted((r.start_time.second, r.packets_total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, 10), (10, 10), (20, 5)]

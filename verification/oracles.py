@@ -689,6 +689,27 @@ SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, protocol, left_
  right_port, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes
 FROM s GROUP BY {_SESSION_KEY}, part"""
 
+ORACLES["rule_failures"] = f"""{FLOWS}
+SELECT DISTINCT capture_id, 'BAD-001' AS rule_id, 'run' AS stage, 'DIVIDE_BY_ZERO' AS error FROM flow WHERE dst_port = 300"""
+ORACLES["isolated_findings"] = ORACLES["findings_all"]
+
+# a walk from opening to opening, one recursion step per closed flow; then flows of (session, opening)
+_OPENINGS = cte("packets").replace("WITH packets AS", "WITH RECURSIVE raw AS") + """,
+k AS (SELECT *, CASE WHEN src_ip < dst_ip OR (src_ip = dst_ip AND coalesce(src_port, 0) <= coalesce(dst_port, 0))
+   THEN concat_ws('|', capture_id, protocol, src_ip, coalesce(src_port, 0), dst_ip, coalesce(dst_port, 0))
+   ELSE concat_ws('|', capture_id, protocol, dst_ip, coalesce(dst_port, 0), src_ip, coalesce(src_port, 0)) END AS flow_id
+   FROM raw),
+o(flow_id, opened) AS (SELECT flow_id, min(ts_ms) FROM k GROUP BY 1 UNION ALL
+  SELECT o.flow_id, min(k.ts_ms) FROM o JOIN k ON k.flow_id = o.flow_id AND k.ts_ms >= o.opened + 30000
+  GROUP BY o.flow_id, o.opened),
+packets AS (SELECT k.* REPLACE (concat(k.capture_id, '@', o.opened) AS capture_id)
+  FROM k ASOF JOIN o ON k.flow_id = o.flow_id AND k.ts_ms >= o.opened)"""
+ORACLES["active_flows"] = f"""{_OPENINGS},{_flow_cte("session_id", directed_icmp=False)}
+SELECT CAST(split_part(session_id, '@', 1) AS BIGINT) AS session_id, src_ip, src_port, dst_ip, dst_port, protocol,
+ packets_total, bytes_total, src_bytes, dst_bytes, start_ms, end_ms, duration_ms, syn_count, rst_count, ack_count,
+ protocol = 'TCP' AND rst_count > 0 AND bytes_total <= 200 AS is_failed_flow, inter_packet_interval_ms,
+ inter_packet_interval_variance_ms FROM flow"""
+
 # -- adaptive scores ---------------------------------------------------------------------------
 ORACLES["adaptive_scores_original"] = f"""{cte("scores")},
 w AS (SELECT *, count(raw_score) OVER prev AS n, avg(raw_score) OVER prev AS mu,
@@ -731,6 +752,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY session_id, rule_id ORDER BY flu
 SELECT session_id, rule_id, count(*) AS samples, round(avg(raw_score), 6) AS mean,
  round(stddev_pop(raw_score), 6) AS std_dev FROM r WHERE place <= 100 GROUP BY ALL"""
 
+ORACLES["adaptive_scores_speculated"] = ORACLES["adaptive_scores"]
+
 # -- assessment --------------------------------------------------------------------------------
 ORACLES["assessment_parse"] = """
 WITH r AS (SELECT *, event_id % 17 <> 0 AND event_id % 13 <> 0 AS ok FROM events)

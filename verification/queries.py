@@ -22,18 +22,19 @@ from wiretide.operators import (
     profiles,
     talkers,
 )
-from wiretide.plans import context
+from wiretide.plans import context, isolation
 from wiretide.plans.detect import (
     overall_risk,
     overall_risk_worst_first,
     run_rules,
 )
 from wiretide.plans.features import Features, Tables
-from wiretide.rules import BUILT_IN, RuleRegistry
+from wiretide.rules import BUILT_IN, Rule, RuleRegistry
+from wiretide.rules.base import evidence, make_finding
 from wiretide.sinks import tables
 from wiretide.sources import dissected
 from wiretide.sources import events as event_source
-from wiretide.streaming import adaptive, windows
+from wiretide.streaming import adaptive, expiry, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -430,6 +431,33 @@ def findings_all(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(run_rules(_features(spark, sf)).findings)
 
 
+def _fragile() -> Column:
+    """A rule that divides by the distance of the destination port from 300."""
+    port = F.col("dst_port")
+    return make_finding(
+        1 / (port - 300) > 2, entity=F.col("dst_ip"), subject=F.col("dst_ip"), raw=F.lit(0.5), confidence=F.lit(1),
+        title=F.lit("t"), description=F.lit("d"), recommendation=F.lit("r"), evidences=[evidence("port", port, 300)],
+        entities=F.array("dst_ip"), start=F.col("start_time"), end=F.col("end_time"), snapshot={"port": port},
+    )
+
+
+def _isolated(spark: SparkSession, sf: str) -> isolation.Isolated:
+    registry = RuleRegistry([Rule("BAD-001", "Fragile", "flows", _fragile), *BUILT_IN])
+    return isolation.run_rules_isolated(_features(spark, sf), registry)
+
+
+@query
+def rule_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Which captures a rule fails on that divides by zero on some of their flows."""
+    return _isolated(spark, sf).failures
+
+
+@query
+def isolated_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """What the other rules find beside one that fails on some captures."""
+    return _flat(_isolated(spark, sf).findings)
+
+
 @query
 def overall_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     features = _features(spark, sf)
@@ -662,6 +690,17 @@ def session_flows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def active_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows closed 30 s after they opened; slices of 100 s, so that long flows cross many."""
+    return expiry.active_flows(_flow_events(spark, sf), 30.0, slice_seconds=100.0).select(
+        "session_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "packets_total", "bytes_total",
+        "src_bytes", "dst_bytes", _ms("start_time", "start_ms"), _ms("end_time", "end_ms"), "duration_ms",
+        "syn_count", "rst_count", "ack_count", "is_failed_flow", "inter_packet_interval_ms",
+        "inter_packet_interval_variance_ms",
+    )
+
+
 # -- adaptive scores ---------------------------------------------------------------------------
 def _score_columns(table: DataFrame) -> DataFrame:
     return table.select(
@@ -691,6 +730,13 @@ def adaptive_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def adaptive_scores_speculated(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``adaptive_scores``, over many small blocks of flushes."""
+    scores = inputs.load(spark, sf, "scores")
+    return _score_columns(adaptive.adaptive_scores(scores, record="adapted", block_flushes=300))
+
+
 @query
 def adaptive_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """Risk and severity from adapted scores, with one rule's adaptation switched off."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -86,11 +87,17 @@ def _candidate(rule: Rule, place: int):
 
 
 def run_rules(
-    features: Features, registry: RuleRegistry | None = None, *, hold: bool = False
+    features: Features,
+    registry: RuleRegistry | None = None,
+    *,
+    hold: bool = False,
+    only: Container[str] | None = None,
 ) -> Detection:
     """Evaluate every rule, one pass per feature table.
 
-    ``hold=True`` computes the findings once for several outputs. A rule whose plan Spark refuses is left out and named; errors while running fail the job.
+    ``hold=True`` computes the findings once for several outputs. ``only`` names the rules to run, in
+    their places among all. A rule whose plan Spark refuses is left out and named; errors while running
+    fail the job (``isolation.run_rules_isolated`` contains them).
     """
     by = features.by
     registry = registry or default_registry()
@@ -99,6 +106,8 @@ def run_rules(
     grouped: dict[str, list] = {}
     sources: dict[str, DataFrame | None] = {}
     for place, rule in enumerate(registry.get_all()):
+        if only is not None and rule.rule_id not in only:
+            continue
         try:
             if rule.plan is not None:
                 parts.append(
@@ -144,8 +153,12 @@ def overall_risk(
     groups: DataFrame,
     by: str = "capture_id",
     failed_rules: tuple[str, ...] = (),
+    failures: DataFrame | None = None,
 ) -> DataFrame:
-    """Risk summary of every group in ``groups`` (one row each); no findings means zero."""
+    """Risk summary of every group in ``groups`` (one row each); no findings means zero.
+
+    ``failed_rules`` failed on every group; ``failures`` (group, ``rule_id``) says which failed where.
+    """
     weight, score = F.col("severity_code"), F.col("risk_score")
     counts = [
         F.count_if(weight == code).alias(f"n_{name}") for code, name in enumerate(SEVERITIES, 1)
@@ -174,11 +187,14 @@ def overall_risk(
         ),
         lambda _, n: n > 0,
     )
+    everywhere = F.array(*[F.lit(r) for r in failed_rules]).cast("array<string>")
+    known = groups.select(by).join(summary, by, "left").join(top, by, "left")
+    if failures is not None:
+        lost = failures.groupBy(by).agg(F.array_sort(F.collect_set("rule_id")).alias("lost_rules"))
+        known = known.join(lost, by, "left")
+        everywhere = F.array_union(everywhere, F.coalesce("lost_rules", everywhere))
     return (
-        groups.select(by)
-        .join(summary, by, "left")
-        .join(top, by, "left")
-        .select(
+        known.select(
             by,
             F.coalesce("max_score", F.lit(0)).alias("max_score"),
             weighted.alias("weighted_score"),
@@ -188,9 +204,7 @@ def overall_risk(
             F.coalesce(
                 F.transform("top", lambda t: t["finding_id"]), F.array().cast("array<string>")
             ).alias("top_finding_ids"),
-            F.array(*[F.lit(r) for r in failed_rules])
-            .cast("array<string>")
-            .alias("failed_rules"),
+            everywhere.alias("failed_rules"),
         )
     )
 

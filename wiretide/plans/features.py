@@ -8,10 +8,11 @@ was held is dropped at the end. ``keep=False`` holds nothing and plans everythin
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from copy import copy
+from dataclasses import dataclass, fields
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretide.operators import applications, baseline, dns, flows, profiles
@@ -68,6 +69,25 @@ class Features:
             drop_written(self.tables.packets.sparkSession, path)
         self._kept.clear()
 
+    def keep_until_release(self, path: str) -> None:
+        """Count a folder made by ``session.written`` among what ``release`` drops."""
+        self._kept.append(path)
+
+    def only(self, groups: Column) -> Features:
+        """The same features of those groups for which a condition on ``by`` holds; holds nothing itself."""
+        part = copy(self)
+        for kind in type(self).__mro__:
+            for name, value in vars(kind).items():
+                if isinstance(value, cached_property):
+                    part.__dict__.pop(name, None)
+        part._keep, part._kept = False, []
+        tables = {f.name: getattr(self.tables, f.name) for f in fields(Tables)}
+        part.tables = Tables(**{n: None if t is None else t.where(groups) for n, t in tables.items()})
+        part.flow_state = self.flow_state.where(groups)
+        if self.dns_cells is not None:
+            part.dns_cells = self.dns_cells.where(groups)
+        return part
+
     def __enter__(self) -> Features:
         return self
 

@@ -5,8 +5,11 @@ the baseline are boosted and scores below it damped, in proportion to their dist
 deviations.
 
 * ``record="adapted"`` records the adapted score, as the live engine does. Each score then depends
-  on all earlier ones, so one (session, rule) is a sequence by definition: rows are sorted on
-  executors and folded batch by batch, holding ``window_size`` numbers and never a whole history.
+  on all earlier ones. Blocks of flushes are folded at once, each from a guess: the window that the rows
+  before it lead to, folded from nothing. Where the guess is not the window that the block before
+  really ends with, the block is folded again from that; influence fades with every window, so
+  few blocks are. What a few rounds do not settle is walked through in order, by session and rule,
+  holding ``window_size`` numbers and never a whole history. The result is the walk's, to the bit.
 * ``record="original"`` records the raw score. Nothing is recursive; built-in windows do it, over
   blocks of flushes that each carry a copy of the ``window_size`` scores before them, so a rule
   with most of the findings is spread over tasks.
@@ -18,6 +21,7 @@ import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,10 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiretide.functions.scoring import risk_score, severity_code, severity_name
+from wiretide.session import scratch_folder, written
 
 
-# Flushes per block of ``record="original"``.
+# Flushes per block.
 BLOCK_FLUSHES = 10_000
+#: Windows of rows before a block that its first guess is folded from.
+LEAD_WINDOWS = 20
+#: How often blocks are folded again before what is left is walked through in order.
+ROUNDS = 5
 
 
 @dataclass(frozen=True)
@@ -128,6 +137,83 @@ def _fold_batches(
         yield batch.assign(baseline_samples=samples, adapted_score=adapted)
 
 
+def _fold_block(rows: pd.DataFrame, key: tuple, start: list[float], config: AdaptiveConfig):
+    """Adapted scores, baseline sizes and the window at the end of sorted rows that ``start`` precedes."""
+    fold = _Fold(config)
+    fold.key = key
+    fold.adapting = config.enabled and key[1] not in config.disabled_rules
+    fold.history.extend(start)
+    adapted, samples = np.empty(len(rows)), np.empty(len(rows), dtype="int64")
+    for place, (flush, raw) in enumerate(zip(rows["flush_id"].tolist(), rows["raw_score"].tolist())):
+        adapted[place] = fold.score(key, flush, raw)
+        samples[place] = fold.base[0]
+    fold.history.extend(fold.pending)
+    return adapted, samples, list(fold.history)
+
+
+def _folded(rows: pd.DataFrame, by: str, start: list[float], config: AdaptiveConfig) -> pd.DataFrame:
+    """A block's rows with their scores, and one more row with its windows at start and end."""
+    adapted, samples, end = _fold_block(rows, (rows[by].iat[0], rows["rule_id"].iat[0]), start, config)
+    done = rows.assign(baseline_samples=pd.array(samples, "Int64"), adapted_score=adapted)
+    border = done.iloc[:1].assign(_start=[start], _end=[end])
+    return pd.concat([done.assign(_start=None, _end=None), border], ignore_index=True)
+
+
+def _adapted_in_blocks(scores: DataFrame, config: AdaptiveConfig, by: str, flushes: int) -> DataFrame:
+    """``record="adapted"``: blocks from guessed windows, until every guess is right."""
+    key, spark = [by, "rule_id"], scores.sparkSession
+    place = [*key, "_block"]
+    blocked = _blocks_with_lead(scores, key, int(LEAD_WINDOWS * config.window_size), flushes)
+    schema = T.StructType([*scores.schema.fields, T.StructField("_block", T.LongType())])
+    schema = schema.add("baseline_samples", T.LongType()).add("adapted_score", T.DoubleType())
+    for name in ("_start", "_end"):
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
+
+    def guess(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["flush_id", "seq"])
+        lead = frame["_lead"].to_numpy(bool)
+        rows, before = frame[~lead].drop(columns="_lead"), frame[lead]
+        start = _fold_block(before, (rows[by].iat[0], rows["rule_id"].iat[0]), [], config)[2] if len(before) else []
+        return _folded(rows, by, start, config)
+
+    def again(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return _folded(frame.sort_values(["flush_id", "seq"]), by, np.asarray(known["_true"].iat[0]).tolist(), config)
+
+    def kept(table: DataFrame) -> DataFrame:
+        return written(table, scratch_folder(spark))[0]
+
+    parts = [kept(blocked.groupBy(*place).applyInPandas(guess, schema))]
+    rows = blocked.where("NOT _lead").drop("_lead")
+    empty = F.array().cast("array<double>")
+    before = F.coalesce(F.lag("_end").over(Window.partitionBy(*key).orderBy("_block")), empty)
+    borders = parts[0].where("_end IS NOT NULL").select(*place, "_start", "_end", F.lit(0).alias("_round"))
+    for turn in range(1, ROUNDS + 1):
+        wrong = kept(borders.withColumn("_true", before).where("_start <> _true").select(*place, "_true"))
+        if not wrong.limit(1).count():
+            break
+        told = rows.join(wrong, place, "left_semi").groupBy(*place).cogroup(wrong.groupBy(*place))
+        parts.append(kept(told.applyInPandas(again, schema)))
+        new = parts[-1].where("_end IS NOT NULL").select(*place, "_start", "_end", F.lit(turn).alias("_round"))
+        borders = kept(borders.join(wrong, place, "left_anti").unionByName(new))
+    late = borders.withColumn("_true", before).where("_start <> _true").select(*key).distinct()
+    valid = borders.join(late, key, "left_anti").select(*place, "_round")
+    done = [
+        part.where("_end IS NULL").withColumn("_round", F.lit(turn)).join(valid, [*place, "_round"], "left_semi")
+        for turn, part in enumerate(parts)
+    ]
+    columns = [*scores.columns, "baseline_samples", "adapted_score"]
+    settled = reduce(DataFrame.unionByName, (part.select(*columns) for part in done))
+    return settled.unionByName(_walked(scores.join(late, key, "left_semi"), config, by))
+
+
+def _walked(scores: DataFrame, config: AdaptiveConfig, by: str) -> DataFrame:
+    """``record="adapted"`` in order, one task per (group, rule) at a time."""
+    schema = T.StructType(scores.schema.fields[:])
+    schema = schema.add("baseline_samples", T.LongType()).add("adapted_score", T.DoubleType())
+    ordered = scores.repartition(by, "rule_id").sortWithinPartitions(by, "rule_id", "flush_id", "seq")
+    return ordered.mapInPandas(lambda batches: _fold_batches(batches, by, config), schema)
+
+
 def _blocks_with_lead(scores: DataFrame, key: list[str], size: int, flushes: int) -> DataFrame:
     """Rows with their ``_block`` of flushes, plus copies (``_lead``) of the ``size`` rows before
     each block.
@@ -189,17 +275,11 @@ def adaptive_scores(
     """Add ``baseline_samples`` and ``adapted_score``.
 
     ``scores``: ``by``, rule_id, flush_id (increasing), seq (order inside a flush), raw_score.
-    ``block_flushes`` says how many flushes one task of ``record="original"`` handles of a rule; it
-    has no bearing on the result.
+    ``block_flushes`` says how many flushes one task handles of a rule; it has no bearing on the result.
     """
     config = config or AdaptiveConfig()
     if record == "adapted":
-        schema = T.StructType(scores.schema.fields[:])
-        schema = schema.add("baseline_samples", T.LongType()).add("adapted_score", T.DoubleType())
-        ordered = scores.repartition(by, "rule_id").sortWithinPartitions(
-            by, "rule_id", "flush_id", "seq"
-        )
-        return ordered.mapInPandas(lambda batches: _fold_batches(batches, by, config), schema)
+        return _adapted_in_blocks(scores, config, by, block_flushes)
     if record != "original":
         raise ValueError(f"record must be 'adapted' or 'original', not {record!r}")
 

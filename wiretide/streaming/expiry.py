@@ -1,76 +1,236 @@
 """Active flow expiry: a flow is closed a fixed time after its first event, however busy it is.
 
-Closing restarts the flow, so borders depend on earlier borders and need state; idle expiry is
-``windows.idle_flows`` and needs none.
+Closing restarts the flow: the first event at or after the end of one opens the next. Borders depend
+on earlier borders; idle expiry is ``windows.idle_flows`` and needs no walk.
+
+At rest, a flow's life is cut into time slices. For each slice a task works out, for every moment a
+flow may still have been open at its start, which flow is open at its end; that is a step function,
+as later openings never overtake earlier ones. A walk over these functions, a few steps per slice,
+gives the flow open at each slice's start, and then all slices are cut at once. So one busy flow is
+spread over as many tasks as it has slices, and only its steps meet in one. Flows shorter than the
+expiry time, nearly all, need none of this.
+
+On a stream the open flow of a key is state: the numbers of ``flows.flow_state``, which merge. A
+micro-batch is cut by binary searches and added up by segments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wiretide.operators.flows import FLOW_KEY, event_rows
+from wiretide.operators.flows import FLOW_KEY, event_rows, flow_state, flows_from_state
 from wiretide.streaming.windows import WATERMARK
 
-_COUNTS = ("packets", "bytes", "syn", "rst", "ack")
+#: Seconds per time slice of a flow at rest; no bearing on the result.
+SLICE_SECONDS = 3600.0
+
+_SUMS = ("left_packets", "left_bytes", "right_packets", "right_bytes", "syn", "rst", "ack", "stamps")
+_LEAST = ("opener", "left_first", "right_first")
+_MOST = ("left_last", "right_last")
+#: What is kept per open flow. Squares of gaps are text, as they outgrow 64 bits.
 _STATE = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("opened_us", "last_us", *_COUNTS)]
+    [
+        *[T.StructField(n, T.LongType()) for n in ("opened_us", *_SUMS, *_LEAST, *_MOST, "first_stamp", "last_stamp")],
+        T.StructField("gap_squares", T.StringType()),
+    ]
 )
 
 
 def active_flows(
-    events: DataFrame, seconds: float, by: str = "session_id", watermark: str = WATERMARK
+    events: DataFrame,
+    seconds: float,
+    by: str = "session_id",
+    watermark: str = WATERMARK,
+    slice_seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
-    """Flows of a stream cut ``seconds`` after they opened; the rest of a flow opens the next.
+    """Flow records (as ``flows.event_flows``) cut ``seconds`` after they opened; the rest opens the next.
+
+    Events without a time belong to no flow. On a stream an event that is older than the open flow,
+    but not older than the watermark, counts for it.
+    """
+    if seconds <= 0 or slice_seconds <= 0:
+        raise ValueError("expiry and slice time must be positive")
+    width = round(seconds * 1_000_000)
+    timed = events.where(F.col("ts").isNotNull())
+    if not events.isStreaming:
+        cut = _opened(event_rows(timed, by), [by, *FLOW_KEY], width, round(slice_seconds * 1_000_000))
+        return flows_from_state(flow_state(cut, [by, "opened_us"]), by)
+    keep = timed.withWatermark("ts", watermark).select("*", F.col("ts").alias("event_time"))
+    return flows_from_state(_streamed(event_rows(keep, [by, "event_time"]), [by, *FLOW_KEY], width), by)
+
+
+# -- at rest -----------------------------------------------------------------------------------
+def _steps(stamps: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice's step function: (``upto``, ``opened``), ascending.
+
+    If the flow open at the slice's start ends by ``upto[k]``, and after ``upto[k - 1]``, the flow open
+    at the slice's end has opened at ``opened[k]``; if it ends after the last, it is still open then.
+    """
+    after = np.searchsorted(stamps, stamps + width)
+    here = np.arange(len(stamps))
+    to = np.where(after < len(stamps), after, here)
+    while not np.array_equal(to, to[to]):  # twice as many flows a turn
+        to = to[to]
+    last = np.append(np.flatnonzero(np.diff(to)), len(stamps) - 1)
+    return stamps[last], stamps[to[last]]
+
+
+def _openings(stamps: np.ndarray, carried: int | None, width: int) -> np.ndarray:
+    """The moments at which flows open, the carried one first."""
+    opened = [] if carried is None else [carried]
+    at = 0 if carried is None else int(np.searchsorted(stamps, carried + width))
+    while at < len(stamps):
+        opened.append(int(stamps[at]))
+        at = int(np.searchsorted(stamps, stamps[at] + width))
+    return np.array(opened, np.int64)
+
+
+def _same(rows: DataFrame, table: DataFrame, key: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``table`` on equal keys, nulls too; its key columns are left out."""
+    other = table.select(*(F.col(c).alias(f"{c}_") for c in key), *(c for c in table.columns if c not in key))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in key))
+    return rows.join(other, same, how).drop(*(f"{c}_" for c in key))
 
-    State is seven numbers per open flow.
+
+def _opened(rows: DataFrame, key: list[str], width: int, slice_us: int) -> DataFrame:
+    """The rows with ``opened_us``, when the flow they belong to opened."""
+    spans = rows.groupBy(*key).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    long_keys = spans.where(F.col("last_us") - F.col("first_us") >= width).select(*key, F.lit(True).alias("long"))
+    marked = _same(rows, long_keys, key, "left")
+    # a short flow is one, whenever it opened
+    whole = marked.where(F.col("long").isNull()).select(*rows.columns, F.lit(None).cast("long").alias("opened_us"))
+    long = marked.where("long").select(*rows.columns)
+    long = long.withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in key)
+
+    def steps(frame: pd.DataFrame) -> pd.DataFrame:
+        upto, opened = _steps(np.sort(frame["ts_us"].to_numpy()), width)
+        own = frame[[*key, "slice"]].iloc[[0] * len(upto)].reset_index(drop=True)
+        return own.assign(upto=upto, opened=opened)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["slice", "upto"])
+        slices, starts = np.unique(frame["slice"].to_numpy(), return_index=True)
+        upto, opened = frame["upto"].to_numpy(), frame["opened"].to_numpy()
+        carried, out = None, []
+        for start, past in zip(starts, np.append(starts[1:], len(frame))):
+            out.append(carried)
+            at = start if carried is None else start + int(np.searchsorted(upto[start:past], carried + width))
+            if at < past:
+                carried = int(opened[at])
+        own = frame[key].iloc[[0] * len(slices)].reset_index(drop=True)
+        return own.assign(slice=slices, carried=pd.array(out, dtype="Int64"))
+
+    stamps = long.select(*key, "slice", "ts_us").distinct()
+    made = stamps.groupBy(*key, "slice").applyInPandas(steps, f"{keys}, slice long, upto long, opened long")
+    carried = made.groupBy(*key).applyInPandas(walk, f"{keys}, slice long, carried long")
+    schema = ", ".join(f"{n} {k}" for n, k in kinds.items() if n != "slice") + ", opened_us long"
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["ts_us"].to_numpy()
+        before = frame["carried"].iat[0]
+        opened = _openings(np.unique(own), None if pd.isna(before) else int(before), width)
+        place = np.searchsorted(opened, own, side="right") - 1
+        return frame.drop(columns=["slice", "carried"]).assign(opened_us=opened[place])
+
+    ready = _same(long, carried, [*key, "slice"], "inner").select(*long.columns, "carried")
+    return whole.unionByName(ready.groupBy(*key, "slice").applyInPandas(cut, schema))
+
+
+# -- stream ------------------------------------------------------------------------------------
+def _segments(frame: pd.DataFrame, opened: int | None, width: int) -> list[dict]:
+    """The numbers of ``_STATE`` of each flow that a key's sorted events are cut into.
+
+    The first continues the flow that opened at ``opened``, if one is open and not over.
     """
-    if seconds <= 0:
-        raise ValueError("expiry time must be positive")
-    width = int(seconds * 1_000_000)
-    keep = events.withWatermark("ts", watermark).select("*", F.col("ts").alias("event_time"))
-    rows = event_rows(keep, [by, "event_time"])
-    key_schema = [rows.schema[c] for c in (by, *FLOW_KEY)]
-    out = T.StructType(
-        [*key_schema, T.StructField("start_time", T.TimestampType()),
-         T.StructField("end_time", T.TimestampType()),
-         *[T.StructField(n, T.LongType()) for n in _COUNTS]]
+    stamps = frame["ts_us"].to_numpy()
+    starts = _openings(stamps, opened, width)
+    at = np.searchsorted(stamps, starts) if opened is None else np.append(0, np.searchsorted(stamps, starts[1:]))
+    # a carried flow without events of its own has nothing to add
+    some = np.append(at[1:], len(stamps)) > at
+    starts, at = starts[some], at[some]
+    left = frame["from_left"].to_numpy()
+    number = {c: frame[c].to_numpy(np.int64) for c in ("packets", "bytes", "syn", "rst", "ack", "seq")}
+    high, low = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    sums = {n: number[n] for n in ("syn", "rst", "ack")} | {"stamps": np.ones(len(stamps), np.int64)}
+    least, most = {"opener": number["seq"] * 2 + ~left}, {}
+    for side, mine in (("left", left), ("right", ~left)):
+        for name in ("packets", "bytes"):
+            sums[f"{side}_{name}"] = np.where(mine, number[name], 0)
+        least[f"{side}_first"] = np.where(mine, stamps, high)
+        most[f"{side}_last"] = np.where(mine, stamps, low)
+    gaps = np.diff(stamps, prepend=stamps[:1]).astype(object)
+    gaps[at] = 0
+    found = {n: np.add.reduceat(v, at) for n, v in sums.items()}
+    found |= {n: np.minimum.reduceat(v, at) for n, v in least.items()}
+    found |= {n: np.maximum.reduceat(v, at) for n, v in most.items()}
+    found["gap_squares"] = np.add.reduceat(gaps * gaps, at)
+    found |= {"opened_us": starts, "first_stamp": stamps[at], "last_stamp": stamps[np.append(at[1:], len(stamps)) - 1]}
+    none = {high, low}
+    return [
+        {n: None if (x := int(v[k])) in none and n.startswith(("left_", "right_")) else x for n, v in found.items()}
+        for k in range(len(at))
+    ]
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """One flow of an earlier and a later part."""
+    some = lambda pick, x, y: x if y is None else y if x is None else pick(x, y)
+    gap = b["first_stamp"] - a["last_stamp"]
+    return (
+        {n: a[n] + b[n] for n in _SUMS}
+        | {n: some(min, a[n], b[n]) for n in _LEAST}
+        | {n: some(max, a[n], b[n]) for n in _MOST}
+        | {"opened_us": a["opened_us"], "first_stamp": a["first_stamp"], "last_stamp": b["last_stamp"]}
+        | {"gap_squares": a["gap_squares"] + b["gap_squares"] + gap * gap}
     )
 
-    def emit(key: tuple, closed: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([[*key, *row] for row in closed], columns=out.fieldNames())
-        for name in ("start_time", "end_time"):
-            frame[name] = pd.to_datetime(frame[name], unit="us")
+
+def _streamed(rows: DataFrame, key: list[str], width: int) -> DataFrame:
+    """Closed flows of a stream as ``flows.flow_state`` rows."""
+    out = T.StructType([*[rows.schema[c] for c in key], *_STATE.fields])
+    names = _STATE.fieldNames()
+
+    def emit(own: tuple, closed: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame([[*own, *(flow[n] for n in names)] for flow in closed], columns=out.fieldNames())
+        frame["gap_squares"] = frame["gap_squares"].map(str)
+        for n in names[:-1]:
+            frame[n] = frame[n].astype("Int64")
         return frame
 
-    def step(key: tuple, batches, state: GroupState):
+    def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current = dict(zip(names, state.get)) if state.exists else None
+        if current is not None:
+            current["gap_squares"] = int(current["gap_squares"])
         if state.hasTimedOut:
-            closed = [tuple(state.get)]
             state.remove()
-            yield emit(key, closed)
+            yield emit(own, [current])
             return
-        current = list(state.get) if state.exists else None
-        closed: list[tuple] = []
-        # one (flow, batch) is walked in time order; a micro-batch bounds it
-        parts = [b[["ts_us", *_COUNTS]] for b in batches]
-        for ts, *counts in pd.concat(parts).sort_values("ts_us").itertuples(index=False):
-            if current is not None and ts - current[0] >= width:
-                closed.append(tuple(current))
-                current = None
-            if current is None:
-                current = [ts, ts, *([0] * len(_COUNTS))]
-            current[1] = max(current[1], ts)
-            for place, count in enumerate(counts, start=2):
-                current[place] += count
-        state.update(tuple(int(x) for x in current))
-        due = (current[0] + width) // 1000
+        closed = []
+        # a flow's part of one micro-batch, in time order
+        frame = pd.concat(batches).sort_values(["ts_us", "seq"], kind="stable")
+        for flow in _segments(frame, current and current["opened_us"], width):
+            if current is not None and flow["opened_us"] == current["opened_us"]:
+                current = _merged(current, flow)
+                continue
+            if current is not None:
+                closed.append(current)
+            current = flow
+        state.update(tuple(current[n] if n != "gap_squares" else str(current[n]) for n in names))
+        due = (current["opened_us"] + width) // 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if closed:
-            yield emit(key, closed)
+            yield emit(own, closed)
 
-    return rows.groupBy(by, *FLOW_KEY).applyInPandasWithState(
-        step, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    cut = rows.groupBy(*key).applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return cut.withColumn("gap_squares", F.col("gap_squares").cast("decimal(38,0)"))
