@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.sources import dissected, events, labels
+from wiretide.sources import arrays, dissected, events, labels
 
 
 def dissect(number, layers, **ips):
@@ -31,12 +31,13 @@ def pretty(packets):
     return "[\n" + ",\n".join(blocks) + "\n]\n"
 
 
-@pytest.fixture(params=["pretty", "lines", "array"])
+@pytest.fixture(params=["pretty", "lines", "array", "split"])
 def capture(request, tmp_path):
     text = {
         "pretty": pretty(CAPTURE),
         "lines": "\n".join(json.dumps(p) for p in CAPTURE),
         "array": json.dumps(CAPTURE),
+        "split": json.dumps(CAPTURE),
     }[request.param]
     (tmp_path / "scan-1.json").write_text(text)
     return request.param, str(tmp_path)
@@ -80,6 +81,38 @@ def test_default_layout_reads_every_packet_of_any_array(spark, tmp_path, text):
     assert rows.count() == len(CAPTURE)
 
 
+@pytest.fixture(params=[7, 64, 4096])
+def split_bytes(spark, request):
+    names = {"spark.sql.files.maxPartitionBytes": str(request.param), "spark.sql.files.openCostInBytes": "0"}
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_one_line_arrays_are_read_by_many_tasks(spark, tmp_path, split_bytes):
+    tricky = [
+        {"a": 'a } in { a "string" \\', "b": {"c": [{}, {"d": "}}"}]}}, {}, {"é": "\u007b \\\"} {", "n": None},
+        {"long": "x{" * 40, "deep": {"deep": {"deep": {"end": "\""}}}}, {"k": "end"},
+    ]
+    (tmp_path / "one.json").write_text(json.dumps(tricky))
+    (tmp_path / "two.json").write_text(json.dumps(tricky[:2], indent=1, ensure_ascii=False) + "\n")
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "cut.json").write_text(json.dumps(tricky)[:-30])
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, tricky)))
+    got = {}
+    for row in arrays.array_objects(spark, str(tmp_path)).collect():
+        got.setdefault(row.name, []).append(json.dumps(json.loads(row.value), sort_keys=True))
+    text = lambda items: sorted(json.dumps(i, sort_keys=True) for i in items)
+    assert {n: sorted(v) for n, v in got.items()} == {
+        "one.json": text(tricky), "two.json": text(tricky[:2]), "cut.json": text(tricky[:3]), "lines.json": text(tricky)
+    }
+    if split_bytes < 4096:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 3
+
+
 def test_array_that_would_be_cut_wrongly_is_an_error(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(CAPTURE, indent=1))
     with pytest.raises(Exception, match="layout='array'"):

@@ -1,6 +1,6 @@
 """Dissected packets (JSON of a packet dissector) as typed record tables.
 
-Three layouts are read:
+Four layouts are read:
 
 * ``pretty``: a JSON array per file, with packets indented by two spaces as the dissector prints
   it. The text source splits files between packets, so a huge file is read by many tasks and a broken
@@ -9,6 +9,7 @@ Three layouts are read:
   by one space would be cut in the wrong places; that is an error, not a loss.
 * ``lines``: one packet object per line.
 * ``array``: any JSON array; Spark's own multi-line reader, one task per file.
+* ``split``: any JSON array, on one line too, read by many tasks (``sources.arrays``).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from wiretide.functions.coercion import as_list, scalar_int, scalar_ip, scalar_text
 from wiretide.plans.features import Tables
+from wiretide.sources.arrays import array_objects
 
 # Layers and the fields read from them. Every field is text; lists arrive as JSON.
 LAYERS = {
@@ -52,7 +54,7 @@ DNS_ANSWERS = (
     "dns.resp.name", "dns.a", "dns.aaaa", "dns.cname", "dns.mx", "dns.ns", "dns.txt", "dns.soa",
     "dns.ptr",
 )
-LAYOUTS = ("pretty", "lines", "array")
+LAYOUTS = ("pretty", "lines", "array", "split")
 
 
 def packet_schema(extra_layers: dict[str, Sequence[str]] | None = None) -> T.StructType:
@@ -116,6 +118,9 @@ def read_packets(
             .json(path)
             .select(name.alias("capture_id"), F.col("_source.layers").alias("layers"))
         )
+    elif layout == "split":
+        stem = F.regexp_replace("name", r"(\.[A-Za-z0-9]+)+$", "")
+        rows = packets_from_text(array_objects(spark, path).withColumn("capture_id", stem), extra_layers=extra_layers)
     elif layout == "lines":
         rows = packets_from_text(spark.read.text(path).withColumn("capture_id", name), extra_layers=extra_layers)
     else:
