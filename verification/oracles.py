@@ -339,6 +339,7 @@ st AS (SELECT rule_id, session_id, count(*) AS evaluations, count(*) FILTER (tri
    CAST(max(risk_score) AS DOUBLE) AS max_risk_score, epoch_us(max(evaluated_at)) AS last_us
    FROM evaluations GROUP BY ALL)"""
 ORACLES["rule_stats"] = f"{cte('evaluations')},{_STATS} SELECT * FROM st"
+ORACLES["stream_rule_stats"] = ORACLES["rule_stats"]
 ORACLES["rule_stat_list"] = f"""{cte("evaluations")},{_STATS}
 SELECT rule_id, session_id, evaluations, hits, miss, round(hits / CAST(evaluations AS DOUBLE), 4)
  AS hit_ratio, last_us FROM st ORDER BY last_us DESC, rule_id, session_id LIMIT 100"""
@@ -608,6 +609,7 @@ ORACLES["parsed_packets"] = _parsed(
     "CASE WHEN protocol <> 'ICMP' THEN dst_port END AS dst_port",
     "packet_number",
 )
+ORACLES["packets_from_array"] = ORACLES["parsed_packets"]
 ORACLES["parsed_dns"] = _parsed(
     "dns",
     "qname, qtype, response_code, "
@@ -753,6 +755,9 @@ SELECT session_id, rule_id, count(*) AS samples, round(avg(raw_score), 6) AS mea
  round(stddev_pop(raw_score), 6) AS std_dev FROM r WHERE place <= 100 GROUP BY ALL"""
 
 ORACLES["adaptive_scores_speculated"] = ORACLES["adaptive_scores"]
+ORACLES["stream_scores"] = ORACLES["adaptive_scores"].replace(
+    "CAST((event_id - event_id % 10) / 10 AS BIGINT) AS flush_id", "event_id // 500 AS flush_id"
+)
 
 # -- assessment --------------------------------------------------------------------------------
 ORACLES["assessment_parse"] = """

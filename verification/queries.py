@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -31,10 +32,11 @@ from wiretide.plans.detect import (
 from wiretide.plans.features import Features, Tables
 from wiretide.rules import BUILT_IN, Rule, RuleRegistry
 from wiretide.rules.base import evidence, make_finding
+from wiretide.session import scratch_folder
 from wiretide.sinks import tables
-from wiretide.sources import dissected
+from wiretide.sources import arrays, dissected
 from wiretide.sources import events as event_source
-from wiretide.streaming import adaptive, expiry, windows
+from wiretide.streaming import adaptive, expiry, upsert, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -321,6 +323,23 @@ def _stats(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.rule_stats(inputs.load(spark, sf, "evaluations"))
 
 
+@query
+def stream_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule statistics kept up over eight micro-batches, some of them replayed."""
+    kinds = "rule_id string, session_id bigint, evaluations bigint, hits bigint, risk_sum bigint, max_risk bigint, last_evaluation_at timestamp"
+    folder = f"{scratch_folder(spark)}/rule-stats-{uuid.uuid4().hex}"
+    totals = upsert.RunningTotals(spark, folder, ["rule_id", "session_id"], upsert.RULE_TOTALS, parts=8)
+    batches = inputs.load(spark, sf, "evaluations").withColumn("batch", F.col("flush_id") % 8)
+    for batch in range(8):
+        rows = upsert.rule_totals(batches.where(F.col("batch") == batch))
+        for _ in range(1 + batch % 2):  # every other one again
+            totals.upsert(rows, batch)
+    return upsert.rule_stats_of(totals.table(kinds)).select(
+        "rule_id", "session_id", "evaluations", "hits", "miss", F.round("avg_risk_score", 6).alias("avg_risk_score"),
+        "max_risk_score", F.unix_micros("last_evaluation_at").alias("last_us"),
+    )
+
+
 @query
 def rule_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(spark, sf).select(
@@ -518,6 +537,13 @@ def capture_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- dissector ---------------------------------------------------------------------------------
+def _packet_columns(packets: DataFrame) -> DataFrame:
+    return packets.select(
+        "capture_id", "packet_number", _ms("ts", "ts_ms"), "src_ip", "dst_ip", "src_port",
+        "dst_port", "protocol", "length", "tcp_flags",
+    )
+
+
 def _parsed(spark: SparkSession, sf: str, name: str) -> DataFrame:
     texts = inputs.packet_texts(spark, sf, name)
     return getattr(dissected.parse_packets(dissected.packets_from_text(texts)), name)
@@ -525,10 +551,18 @@ def _parsed(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def parsed_packets(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf, "packets").select(
-        "capture_id", "packet_number", _ms("ts", "ts_ms"), "src_ip", "dst_ip", "src_port",
-        "dst_port", "protocol", "length", "tcp_flags",
-    )
+    return _packet_columns(_parsed(spark, sf, "packets"))
+
+
+@query
+def packets_from_array(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``parsed_packets``, from files that hold all packets of a task and capture on one line."""
+    folder = f"{scratch_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    texts = inputs.packet_texts(spark, sf, "packets").select("capture_id", "value")
+    texts.write.option("lineSep", ",").partitionBy("capture_id").text(folder)
+    capture = F.regexp_extract("file", "capture_id=([0-9]+)", 1).cast("bigint").alias("capture_id")
+    packets = dissected.packets_from_text(arrays.array_objects(spark, folder).select(capture, "value"))
+    return _packet_columns(dissected.parse_packets(packets).packets)
 
 
 @query
@@ -737,6 +771,20 @@ def adaptive_scores_speculated(spark: SparkSession, sf: str) -> DataFrame:
     return _score_columns(adaptive.adaptive_scores(scores, record="adapted", block_flushes=300))
 
 
+@query
+def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores adapted on a stream, one micro-batch per 500 events."""
+    folder = f"{scratch_folder(spark)}/scores-{uuid.uuid4().hex}"
+    scores = inputs.load(spark, sf, "scores").withColumn("flush_id", F.expr("seq div 500"))
+    for flush in range(scores.agg(F.max("flush_id")).first()[0] + 1):  # files in the order of their flushes
+        scores.where(F.col("flush_id") == flush).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    adapted = adaptive.stream_adaptive_scores(stream).writeStream.format("parquet").outputMode("append")
+    adapted = adapted.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    adapted.start(f"{folder}/out").awaitTermination()
+    return _score_columns(spark.read.parquet(f"{folder}/out"))
+
+
 @query
 def adaptive_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """Risk and severity from adapted scores, with one rule's adaptation switched off."""

@@ -92,11 +92,13 @@ def run_rules(
     *,
     hold: bool = False,
     only: Container[str] | None = None,
+    known: set[str] | None = None,
 ) -> Detection:
     """Evaluate every rule, one pass per feature table.
 
     ``hold=True`` computes the findings once for several outputs. ``only`` names the rules to run, in
-    their places among all. A rule whose plan Spark refuses is left out and named; errors while running
+    their places among all. ``known`` names rules that need no trial planning, as they have been planned over
+    the same feature tables; it gains those that pass. A rule whose plan Spark refuses is left out and named; errors while running
     fail the job (``isolation.run_rules_isolated`` contains them).
     """
     by = features.by
@@ -128,7 +130,10 @@ def run_rules(
             if source is None:
                 continue
             candidate = _candidate(rule, place)
-            source.select(candidate).schema  # analysis only: is the rule plannable?
+            if known is None or rule.rule_id not in known:
+                source.select(candidate).schema  # analysis only: is the rule plannable?
+            if known is not None:
+                known.add(rule.rule_id)
             grouped.setdefault(rule.source, []).append(candidate)
         except (PySparkException, KeyError, TypeError, ValueError):
             failed.append(rule.rule_id)

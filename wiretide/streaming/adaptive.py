@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from wiretide.functions.scoring import risk_score, severity_code, severity_name
 from wiretide.session import scratch_folder, written
@@ -366,11 +367,16 @@ STATE_SCHEMA = T.StructType([T.StructField("history", T.ArrayType(T.DoubleType()
 
 
 def stream_adaptive_scores(
-    scores: DataFrame, config: AdaptiveConfig | None = None, by: Sequence[str] = ("session_id",)
+    scores: DataFrame,
+    config: AdaptiveConfig | None = None,
+    by: Sequence[str] = ("session_id",),
+    keep_seconds: float | None = None,
 ) -> DataFrame:
     """Stateful twin of ``adaptive_scores`` for a stream: each micro-batch is one flush.
 
-    The state of a key is its last ``window_size`` adapted scores.
+    The state of a key is its last ``window_size`` adapted scores. With ``keep_seconds`` it ends so much
+    wall-clock time after the key's last score; Spark then goes on making micro-batches without data, so a
+    stream that is to drain its source and end (``availableNow``) must do without.
     """
     config = config or AdaptiveConfig()
     schema = T.StructType(scores.schema.fields[:])
@@ -378,6 +384,9 @@ def stream_adaptive_scores(
     rule_at = len(by)
 
     def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         fold = _Fold(config)
         fold.key = (key[:rule_at], key[rule_at])
         fold.pending.extend(state.get[0] if state.exists else ())
@@ -390,7 +399,8 @@ def stream_adaptive_scores(
             yield batch.assign(baseline_samples=fold.base[0], adapted_score=adapted)
         fold.history.extend(score for _, score in newest)
         state.update((list(fold.history),))
+        if keep_seconds is not None:
+            state.setTimeoutDuration(max(1, int(keep_seconds * 1000)))
 
-    return scores.groupBy(*by, "rule_id").applyInPandasWithState(
-        step, schema, STATE_SCHEMA, "append", "NoTimeout"
-    )
+    timeout = GroupStateTimeout.NoTimeout if keep_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return scores.groupBy(*by, "rule_id").applyInPandasWithState(step, schema, STATE_SCHEMA, "append", timeout)

@@ -8,8 +8,11 @@ a snapshot of its latest scores: bounded by ``window_size`` rows per (session, r
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +26,8 @@ from wiretide.streaming.adaptive import AdaptiveConfig, adapt_column, baseline_s
 
 # Fixed value: flush interval of the live engine.
 FLUSH_INTERVAL = "5 seconds"
+#: Session settings for flushes of up to some 100,000 events: no exchange is worth more than one task.
+SMALL_FLUSHES = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
 #: Flushes after its last score that a session's history is kept: an hour at the usual interval.
 KEEP_FLUSHES = 720
 
@@ -71,6 +76,7 @@ class RuleStream:
         self.registry = registry or default_registry()
         self.adaptive = adaptive
         self.by = by
+        self._planned: set[str] = set()
 
     def _at(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch_id={batch_id}"
@@ -110,32 +116,40 @@ class RuleStream:
     def flush(self, batch: DataFrame, batch_id: int) -> None:
         """Features, rules, scores and statistics of one micro-batch."""
         features = EventFeatures(batch, self.by)
-        found = run_rules(features, self.registry)
-        history = self._history(batch, batch_id)
-        findings = found.findings
-        if self.adaptive is not None:
-            findings = _adapted(findings, history, self.adaptive, self.by)
-        findings = features.hold(findings)
-        self._write(live_alert_rows(findings, self.by), "alerts", batch_id)
-        risk = overall_risk(findings, features.totals, self.by, found.failed_rules)
-        self._write(risk, "risk", batch_id)
-        flushes = features.totals.select(
-            self.by,
-            F.lit(batch_id).cast("bigint").alias("flush_id"),
-            F.col("window_end").alias("evaluated_at"),
-        )
-        rule_ids = [r.rule_id for r in self.registry.get_all()]
-        hits = findings.withColumn("flush_id", F.lit(batch_id).cast("bigint"))
-        self._write(
-            alerts.evaluation_rows(flushes, hits, rule_ids, self.by), "evaluations", batch_id
-        )
-        if self.adaptive is not None:
-            self._write(self._snapshot(findings, history, batch_id), "scores", batch_id)
-            if batch_id > 1:  # a replay reads the snapshot before it, never an older one
-                drop_written(batch.sparkSession, self._at("scores", batch_id - 2))
+        with ThreadPoolExecutor(4) as pool:
+            # what the plans start from is written at the same time, and so are the results
+            together(pool, batch.sparkSession, [lambda: features.flow_state, lambda: features.dns_cells])
+            found = run_rules(features, self.registry, known=self._planned)
+            history = self._history(batch, batch_id)
+            findings = found.findings
+            if self.adaptive is not None:
+                findings = _adapted(findings, history, self.adaptive, self.by)
+            findings = features.hold(findings)
+            risk = overall_risk(findings, features.totals, self.by, found.failed_rules)
+            flushes = features.totals.select(
+                self.by,
+                F.lit(batch_id).cast("bigint").alias("flush_id"),
+                F.col("window_end").alias("evaluated_at"),
+            )
+            rule_ids = [r.rule_id for r in self.registry.get_all()]
+            hits = findings.withColumn("flush_id", F.lit(batch_id).cast("bigint"))
+            evaluations = alerts.evaluation_rows(flushes, hits, rule_ids, self.by)
+            results = {"alerts": live_alert_rows(findings, self.by), "risk": risk, "evaluations": evaluations}
+            if self.adaptive is not None:
+                results["scores"] = self._snapshot(findings, history, batch_id)
+            together(pool, batch.sparkSession, [partial(self._write, table, name, batch_id) for name, table in results.items()])
+        if self.adaptive is not None and batch_id > 1:
+            # a replay reads the snapshot before it, never an older one
+            drop_written(batch.sparkSession, self._at("scores", batch_id - 2))
         features.release()
 
 
+def together(pool: ThreadPoolExecutor, spark: SparkSession, tasks: list[Callable[[], object]]) -> None:
+    """Run tasks in threads that belong to the caller's Spark job; the first error is raised."""
+    for done in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]:
+        done.result()
+
+
 def start_rule_stream(
     events: DataFrame,
     folder: str,
@@ -144,10 +158,21 @@ def start_rule_stream(
     adaptive: AdaptiveConfig | None = None,
     interval: str | None = FLUSH_INTERVAL,
     by: str = "session_id",
+    settings: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Run rules on every micro-batch of valid events. ``interval=None`` drains what is there."""
+    """Run rules on every micro-batch of valid events. ``interval=None`` drains what is there.
+
+    ``settings`` hold in the stream's own copy of the session only; ``SMALL_FLUSHES`` suits flushes that
+    one task can work on.
+    """
     handler = RuleStream(folder, registry, adaptive, by)
-    writer = events.writeStream.foreachBatch(handler.flush).option("checkpointLocation", checkpoint)
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        for name, value in (settings or {}).items():
+            batch.sparkSession.conf.set(name, value)
+        handler.flush(batch, batch_id)
+
+    writer = events.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     writer = (
         writer.trigger(availableNow=True) if interval is None
         else writer.trigger(processingTime=interval)
