@@ -635,6 +635,15 @@ ORACLES["retained_flows"] = f"""{FLOWS}
 SELECT capture_id, src_ip, nullif(src_port, 0) AS src_port, dst_ip, nullif(dst_port, 0) AS dst_port, protocol
 FROM flow WHERE DATE '2024-01-01' + CAST(capture_id % 100 AS INT) >= DATE '2024-01-11'"""
 
+ORACLES["flow_rollup"] = f"""{FLOWS},
+s AS (SELECT capture_id, src_ip, dst_ip, nullif(dst_port, 0) AS dst_port, protocol, packets_total, src_bytes,
+  dst_bytes, start_ms - start_ms % 3600000 AS hour_ms, capture_id % 10 < 3 AS summed FROM flow)
+SELECT capture_id, src_ip, dst_ip, dst_port, protocol, count(*) AS flows, CAST(sum(packets_total) AS BIGINT) AS packets,
+ CAST(sum(src_bytes) AS BIGINT) AS bytes_sent, CAST(sum(dst_bytes) AS BIGINT) AS bytes_recv, hour_ms, summed
+FROM s WHERE summed GROUP BY ALL
+UNION ALL SELECT capture_id, src_ip, dst_ip, dst_port, protocol, 1, packets_total, src_bytes, dst_bytes, NULL, summed
+FROM s WHERE NOT summed"""
+
 # -- events ------------------------------------------------------------------------------------
 _BAD = {
     "src_ip": "src_ip = '' OR src_ip = '10.0.0.256'",

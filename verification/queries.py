@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ from wiretide.plans.features import Features, Tables
 from wiretide.rules import BUILT_IN, Rule, RuleRegistry
 from wiretide.rules.base import evidence, make_finding
 from wiretide.session import scratch_folder
-from wiretide.sinks import tables
+from wiretide.sinks import retention, tables
 from wiretide.sources import arrays, dissected
 from wiretide.sources import events as event_source
 from wiretide.streaming import adaptive, expiry, upsert, windows
@@ -621,6 +621,20 @@ def retained_flows(spark: SparkSession, sf: str) -> DataFrame:
     return captures.flow_retention(stored, datetime(2024, 4, 10), 90).select(*FLOW_ID)
 
 
+@query
+def flow_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Flows of ten days after upkeep on the eleventh: hourly sums of the first three, and the rest as flows."""
+    folder = f"{scratch_folder(spark)}/flows-{uuid.uuid4().hex}"
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("capture_id") % 10).cast("int"))
+    _stored(spark, sf).withColumn("day", day).write.partitionBy("day").parquet(f"{folder}/flows")
+    retention.FlowStore(spark, f"{folder}/flows", f"{folder}/sums").maintain(date(2024, 1, 11))
+    columns = ["capture_id", "src_ip", "dst_ip", "dst_port", "protocol", "flows", "packets", "bytes_sent", "bytes_recv"]
+    sums = spark.read.parquet(f"{folder}/sums")
+    left = spark.read.parquet(f"{folder}/flows").withColumns({"flows": F.lit(1).cast("long"), "packets": F.col("packets_count")})
+    rows = sums.select(*columns, _ms("hour", "hour_ms"), F.lit(True).alias("summed"))
+    return rows.unionByName(left.select(*columns, F.lit(None).cast("long").alias("hour_ms"), F.lit(False).alias("summed")))
+
+
 # -- events ------------------------------------------------------------------------------------
 @query
 def event_validation(spark: SparkSession, sf: str) -> DataFrame:
