@@ -71,3 +71,32 @@ def test_without_labels_only_the_base_rule_counts(spark, odd_documents, no_docum
     for row in quality_rules.judge(odd_documents, none).collect():
         assert row.kept == (not row.base_failed)
     assert quality_rules.judge(no_documents, none).collect() == []
+
+
+def sprinkled(dice, symbols):
+    """Forty words of ten letters, so many of them signs."""
+    letters = [dice.choice("abcdefgh") for _ in range(400)]
+    for k in dice.sample(range(400), symbols):
+        letters[k] = "%"
+    return " ".join("".join(letters[k : k + 10]) for k in range(0, 400, 10))
+
+
+def test_a_share_that_few_texts_have_gets_real_thresholds(spark):
+    """Most texts hold no sign, good ones up to 4 %, bad ones 6 % or more: only a threshold between will do."""
+    dice = random.Random(12)
+    rows, labels, shares = [], [], []
+    for k in range(500):
+        bad = k % 4 == 0
+        symbols = dice.randint(24, 80) if bad else dice.choice([0, 0, 0, 0, dice.randint(1, 16)])
+        rows.append((k, sprinkled(dice, symbols)))
+        labels.append((k, int(not bad)))
+        shares.append((symbols / 400, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    quality = spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality_rules.learn(quality_rules.counts(docs), quality)
+    assert [(c.feature, c.above) for rule in rules for c in rule] == [("symbol_share", True)]
+    # exhaustively: the best of all single thresholds
+    wrong = lambda t: sum((share > t) != bad for share, bad in shares)
+    assert wrong(rules[0][0].threshold) == min(wrong(t) for t, _ in shares) == 0
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, quality).collect()}
+    assert all(kept[k] == bool(good) for k, good in labels)

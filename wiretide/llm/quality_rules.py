@@ -7,9 +7,11 @@ grows by the condition of best gain on one part of the labelled documents, is pr
 other part, and is taken if it is precise there; what it covers is set aside and the next rule
 grows. The rules come out as one ordered conditional expression that Spark evaluates per row.
 
-Learning needs counts only: features are coded by quantile thresholds and the labelled documents
-are grouped to cells of equal codes, at most (``QUANTILES`` + 1) ^ (number of features) a part,
-whatever the number of documents. Those cells go to the driver.
+Learning needs counts only: features are coded by thresholds and the labelled documents are grouped
+to cells of equal codes, at most 9 ^ (number of features) a part, whatever the number of
+documents. Those cells go to the driver. Thresholds are zero, quartiles of the values above zero,
+of bad and of good documents apart, and the largest value of a good one: a feature that is zero
+in most documents has as many thresholds as any other.
 
 Scale: texts are read once, nothing of them is shuffled; a row's work is proportional to its words
 (windows are compared through a hash set, and sorted only in a text with repeats). The table of
@@ -32,7 +34,8 @@ from wiretide.llm.common import settled
 
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-QUANTILES = 8
+#: Shares of the values above zero at which thresholds lie, for bad and for good documents.
+BAD_SHARES, GOOD_SHARES = (0.25, 0.5, 0.75), (0.25, 0.5, 0.75, 1.0)
 #: Features of the list: name and expression over the counts.
 FEATURES = {
     "word_length": "word_chars / greatest(n_words, 1)",
@@ -150,12 +153,17 @@ def learn(
         (F.col("label") == 0).cast("int").alias("bad"),
         *(F.expr(e).alias(n) for n, e in FEATURES.items()),
     )
-    shares = [(k + 1) / (QUANTILES + 1) for k in range(QUANTILES)]
-    cut = known.agg(*(F.percentile_approx(n, shares, 10_000).alias(n) for n in FEATURES)).first()
-    cuts = {n: sorted(set(cut[n] or ())) for n in FEATURES}
-    code = lambda n: sum((F.col(n) > t).cast("int") for t in cuts[n]) if cuts[n] else F.lit(0)
+    at = lambda n, bad, shares: F.percentile_approx(
+        F.when((F.col("bad") == bad) & (F.col(n) > 0), F.col(n)), list(shares), 10_000
+    )
+    found = known.agg(
+        *(at(n, 1, BAD_SHARES).alias(f"{n}_bad") for n in FEATURES),
+        *(at(n, 0, GOOD_SHARES).alias(f"{n}_good") for n in FEATURES),
+    ).first()
+    cuts = {n: sorted({0.0, *(found[f"{n}_bad"] or ()), *(found[f"{n}_good"] or ())}) for n in FEATURES}
+    code = lambda n: sum((F.col(n) > t).cast("int") for t in cuts[n])
     rows = (
-        known.select("part", "bad", *(F.lit(0).alias(n) if not cuts[n] else code(n).alias(n) for n in FEATURES))
+        known.select("part", "bad", *(code(n).alias(n) for n in FEATURES))
         .groupBy("part", *FEATURES)
         .agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
         .collect()
