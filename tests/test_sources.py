@@ -64,6 +64,23 @@ def test_every_layout_gives_the_same_tables(spark, capture):
     assert tables.smtp.collect()[0].rcpt_to == ["<a@b.c>"]
 
 
+def test_records_are_parsed_once_and_read_by_kind(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "scan-1.json").write_text(json.dumps(CAPTURE))
+    rows = dissected.read_packets(spark, str(tmp_path / "in"))
+    stored, counts = dissected.store_records(rows, str(tmp_path / "records"))
+    plain = dissected.parse_packets(rows)
+    for kind in ("packets", "dns", "http", "ftp", "smtp"):
+        table, want = getattr(stored, kind), getattr(plain, kind)
+        assert table.columns == want.columns and [f.dataType for f in table.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(repr, table.collect())) == sorted(map(repr, want.collect()))
+        assert counts[kind] == want.count()
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "from_json" not in plan and f"(kind#" in plan.split("PartitionFilters")[1] and f"= {kind})" in plan
+    none, counts = dissected.store_records(rows.limit(0), str(tmp_path / "none"))
+    assert none.packets.collect() == [] and set(counts.values()) <= {0}
+
+
 def test_broken_packet_loses_only_itself(spark, tmp_path):
     text = pretty(CAPTURE[:3]).replace('"udp.srcport": "40961"', '"udp.srcport": 53 53')
     (tmp_path / "bad.json").write_text(text)

@@ -609,6 +609,12 @@ ORACLES["parsed_packets"] = _parsed(
     "CASE WHEN protocol <> 'ICMP' THEN dst_port END AS dst_port",
     "packet_number",
 )
+_NUMBERED = " UNION ALL ".join(
+    f"SELECT capture_id, '{k}' AS kind, {'packet_number' if k == 'packets' else 'seq'} AS number FROM {k}"
+    for k in ("packets", "dns", "http", "ftp", "smtp")
+)
+ORACLES["stored_records"] = f"""{cte("packets", "dns", "http", "ftp", "smtp")}
+SELECT capture_id, kind, count(*) AS records FROM ({_NUMBERED}) WHERE number % 13 <> 0 GROUP BY ALL"""
 ORACLES["packets_from_array"] = ORACLES["parsed_packets"]
 ORACLES["parsed_dns"] = _parsed(
     "dns",

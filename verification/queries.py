@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -554,6 +555,20 @@ def parsed_packets(spark: SparkSession, sf: str) -> DataFrame:
     return _packet_columns(_parsed(spark, sf, "packets"))
 
 
+@query
+def stored_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records per capture of all kinds of packets, parsed in one pass."""
+    kinds = ("packets", "dns", "http", "ftp", "smtp")
+    texts = [inputs.packet_texts(spark, sf, k).select("capture_id", "value") for k in kinds]
+    rows = dissected.packets_from_text(reduce(DataFrame.unionByName, texts))
+    found, _ = dissected.store_records(rows, f"{scratch_folder(spark)}/records-{uuid.uuid4().hex}")
+    counted = [
+        getattr(found, k).groupBy("capture_id").agg(F.count(F.lit(1)).alias("records")).withColumn("kind", F.lit(k))
+        for k in kinds
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def packets_from_array(spark: SparkSession, sf: str) -> DataFrame:
     """As ``parsed_packets``, from files that hold all packets of a task and capture on one line."""

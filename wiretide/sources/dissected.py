@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,32 +160,41 @@ def _addressed(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
 
 
-def transport_packets(rows: DataFrame) -> DataFrame:
-    """TCP, UDP and ICMP packets; the first present layer in that order names the protocol."""
+#: A kind of record: which packets hold one, and its columns.
+Kind = tuple[Column, list[Column]]
+
 
+def _transport() -> Kind:
     def by_layer(tcp: Column, udp: Column) -> Column:
         return F.when(_has("tcp"), tcp).when(_has("udp"), udp)
 
-    return _addressed(
-        rows.where(_has("tcp") | _has("udp") | _has("icmp")).select(
-            *_common(),
-            by_layer(
-                scalar_int(_field("tcp", "tcp.srcport")), scalar_int(_field("udp", "udp.srcport"))
-            ).try_cast("int").alias("src_port"),
-            by_layer(
-                scalar_int(_field("tcp", "tcp.dstport")), scalar_int(_field("udp", "udp.dstport"))
-            ).try_cast("int").alias("dst_port"),
-            F.when(_has("tcp"), "TCP").when(_has("udp"), "UDP").otherwise("ICMP").alias("protocol"),
-            F.coalesce(scalar_int(_field("frame", "frame.len")), F.lit(0)).alias("length"),
-            scalar_text(F.col(f"layers.`{INFO}`")).alias("info"),
-            F.when(_has("tcp"), scalar_text(_field("tcp", "tcp.flags"))).alias("tcp_flags"),
-        )
-    )
+    return _has("tcp") | _has("udp") | _has("icmp"), [
+        *_common(),
+        by_layer(
+            scalar_int(_field("tcp", "tcp.srcport")), scalar_int(_field("udp", "udp.srcport"))
+        ).try_cast("int").alias("src_port"),
+        by_layer(
+            scalar_int(_field("tcp", "tcp.dstport")), scalar_int(_field("udp", "udp.dstport"))
+        ).try_cast("int").alias("dst_port"),
+        F.when(_has("tcp"), "TCP").when(_has("udp"), "UDP").otherwise("ICMP").alias("protocol"),
+        F.coalesce(scalar_int(_field("frame", "frame.len")), F.lit(0)).alias("length"),
+        scalar_text(F.col(f"layers.`{INFO}`")).alias("info"),
+        F.when(_has("tcp"), scalar_text(_field("tcp", "tcp.flags"))).alias("tcp_flags"),
+    ]
+
+
+def _records(rows: DataFrame, kind: Kind) -> DataFrame:
+    return _addressed(rows.where(kind[0]).select(*kind[1]))
+
+
+def transport_packets(rows: DataFrame) -> DataFrame:
+    """TCP, UDP and ICMP packets; the first present layer in that order names the protocol."""
+    return _records(rows, _transport())
 
 
-def _application(rows: DataFrame, layer: str, *columns: Column) -> DataFrame:
-    records = rows.where(_has(layer)).select(*_common(), *columns)
-    return _addressed(records).withColumnRenamed("packet_number", "seq")
+def _application(layer: str, *columns: Column) -> Kind:
+    capture, number, *ends = _common()
+    return _has(layer), [capture, number.alias("seq"), *ends, *columns]
 
 
 def _text_or_empty(layer: str, name: str) -> Column:
@@ -195,13 +205,12 @@ def _filled(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
-def dns_records(rows: DataFrame) -> DataFrame:
+def _dns() -> Kind:
     empty = F.array().cast("array<string>")
     answers = reduce(
         F.concat, [F.coalesce(as_list(_field("dns", name)), empty) for name in DNS_ANSWERS]
     )
     return _application(
-        rows,
         "dns",
         _text_or_empty("dns", "dns.qry.name").alias("qname"),
         _text_or_empty("dns", "dns.qry.type").alias("qtype"),
@@ -211,9 +220,8 @@ def dns_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def http_records(rows: DataFrame) -> DataFrame:
+def _http() -> Kind:
     return _application(
-        rows,
         "http",
         _text_or_empty("http", "http.request.method").alias("method"),
         _text_or_empty("http", "http.host").alias("host"),
@@ -225,9 +233,8 @@ def http_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def ftp_records(rows: DataFrame) -> DataFrame:
+def _ftp() -> Kind:
     return _application(
-        rows,
         "ftp",
         _text_or_empty("ftp", "ftp.request.command").alias("command"),
         scalar_text(_field("ftp", "ftp.request.arg")).alias("argument"),
@@ -236,9 +243,8 @@ def ftp_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def smtp_records(rows: DataFrame) -> DataFrame:
+def _smtp() -> Kind:
     return _application(
-        rows,
         "smtp",
         _text_or_empty("smtp", "smtp.command").alias("command"),
         scalar_text(_field("smtp", "smtp.parameter")).alias("argument"),
@@ -248,8 +254,27 @@ def smtp_records(rows: DataFrame) -> DataFrame:
     )
 
 
+def dns_records(rows: DataFrame) -> DataFrame:
+    return _records(rows, _dns())
+
+
+def http_records(rows: DataFrame) -> DataFrame:
+    return _records(rows, _http())
+
+
+def ftp_records(rows: DataFrame) -> DataFrame:
+    return _records(rows, _ftp())
+
+
+def smtp_records(rows: DataFrame) -> DataFrame:
+    return _records(rows, _smtp())
+
+
 def parse_packets(rows: DataFrame) -> Tables:
-    """All record tables of read packets; a packet can feed a transport and several applications."""
+    """All record tables of read packets; a packet can feed a transport and several applications.
+
+    Each table reads the packets by itself; ``store_records`` reads them once.
+    """
     return Tables(
         packets=transport_packets(rows),
         dns=dns_records(rows),
@@ -259,6 +284,28 @@ def parse_packets(rows: DataFrame) -> Tables:
     )
 
 
+def store_records(rows: DataFrame, folder: str) -> tuple[Tables, dict[str, int]]:
+    """The tables of ``parse_packets``, read and parsed in one pass, and the number of records per kind.
+
+    Typed records lie under ``folder`` by ``kind``; each table reads the files of its kind only.
+    """
+    kinds = {"packets": _transport(), "dns": _dns(), "http": _http(), "ftp": _ftp(), "smtp": _smtp()}
+    src, dst = _ip("src"), _ip("dst")
+    known = src.isNotNull() & dst.isNotNull()
+    typed = rows.select(*(F.when(known & c, F.struct(*columns)).alias(k) for k, (c, columns) in kinds.items()))
+    one = lambda kind: F.struct(
+        F.lit(kind).alias("kind"),
+        *((F.col(k) if k == kind else F.lit(None).cast(typed.schema[k].dataType)).alias(k) for k in kinds),
+    )
+    found = F.filter(F.array(*map(one, kinds)), lambda r: reduce(or_, (r[k].isNotNull() for k in kinds)))
+    seen = Observation()
+    wide = typed.select(F.inline(found)).observe(seen, *(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    wide.write.partitionBy("kind").parquet(folder)
+    stored = rows.sparkSession.read.schema(wide.schema).parquet(folder)
+    tables = {k: stored.where(F.col("kind") == k).select(f"{k}.*") for k in kinds}
+    return Tables(**tables), dict(seen.get)
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Capture files with their content hash, for deduplication."""
     files = spark.read.format("binaryFile").load(path)
