@@ -70,6 +70,20 @@ def test_rule_stream_equals_batch_and_replays_safely(spark, tmp_path):
     assert stats["s", "NET-001"] == (1, 1) and stats["t", "NET-001"] == (1, 0)
 
 
+def test_settings_of_small_flushes_hold_in_the_stream_only(spark, tmp_path):
+    before = {n: spark.conf.get(n) for n in rules.SMALL_FLUSHES}
+    table = spark.createDataFrame(scan(40), FLOW_EVENTS)
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(FLOW_EVENTS).parquet(str(tmp_path / "in"))
+    out, point = str(tmp_path / "out"), str(tmp_path / "cp")
+    one = RuleRegistry(FEW_RULES.get_all()[:1])
+    rules.start_rule_stream(stream, out, point, one, interval=None, settings=rules.SMALL_FLUSHES).awaitTermination()
+    got = spark.read.parquet(f"{out}/alerts").collect()
+    want = run_rules(EventFeatures(table), one).findings.collect()
+    assert [(r.rule_id, r.risk_score) for r in got] == [(r.rule_id, r.risk_score) for r in want] != []
+    assert {n: spark.conf.get(n) for n in before} == before
+
+
 def test_rule_stream_adapts_to_earlier_batches(spark, tmp_path):
     config = adaptive.AdaptiveConfig(min_samples=2, window_size=3)
     handler = rules.RuleStream(str(tmp_path), RuleRegistry(FEW_RULES.get_all()[:1]), config)

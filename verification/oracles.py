@@ -708,6 +708,10 @@ FROM s GROUP BY {_SESSION_KEY}, part"""
 
 ORACLES["rule_failures"] = f"""{FLOWS}
 SELECT DISTINCT capture_id, 'BAD-001' AS rule_id, 'run' AS stage, 'DIVIDE_BY_ZERO' AS error FROM flow WHERE dst_port = 300"""
+_EVENT_RULES = " UNION ALL ".join(f"({RULE_SQL[r]})" for r in ("NET-005", "NET-007", "NET-008", "NET-009", "NET-011"))
+ORACLES["stream_findings"] = f"""{cte("packets")},{_flow_cte("capture_id", directed_icmp=False)},{_PROFILE},{_BASE}
+SELECT CAST(capture_id AS VARCHAR) AS session_id, rule_id, risk_score, lower(severity) AS severity,
+ lower(confidence) AS confidence, raw_score FROM ({_EVENT_RULES})"""
 ORACLES["isolated_findings"] = ORACLES["findings_all"]
 
 # a walk from opening to opening, one recursion step per closed flow; then flows of (session, opening)

@@ -33,11 +33,13 @@ from wiretide.plans.detect import (
 from wiretide.plans.features import Features, Tables
 from wiretide.rules import BUILT_IN, Rule, RuleRegistry
 from wiretide.rules.base import evidence, make_finding
+from wiretide.schemas import FLOW_EVENTS
 from wiretide.session import scratch_folder
 from wiretide.sinks import retention, tables
 from wiretide.sources import arrays, dissected
 from wiretide.sources import events as event_source
 from wiretide.streaming import adaptive, expiry, upsert, windows
+from wiretide.streaming import rules as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -341,6 +343,22 @@ def stream_rule_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of the flow rules from a stream that brings the whole packet table as one flush."""
+    folder = f"{scratch_folder(spark)}/live-{uuid.uuid4().hex}"
+    events = _flow_events(spark, sf)
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in FLOW_EVENTS.fields if f.name not in events.columns]
+    typed = events.select("*", *empty).select(*(F.col(f.name).cast(f.dataType) for f in FLOW_EVENTS.fields))
+    typed.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(FLOW_EVENTS).parquet(f"{folder}/in")
+    registry = RuleRegistry([r for r in BUILT_IN if r.source == "flows"])
+    live.start_rule_stream(stream, f"{folder}/out", f"{folder}/checkpoint", registry, interval=None).awaitTermination()
+    return spark.read.parquet(f"{folder}/out/alerts").select(
+        "session_id", "rule_id", "risk_score", "severity", "confidence", F.round("raw_score", 4).alias("raw_score")
+    )
+
+
 @query
 def rule_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _stats(spark, sf).select(
