@@ -78,7 +78,7 @@ def test_queries_equal_their_sql(spark, name):
 
     base = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{base}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, base).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
