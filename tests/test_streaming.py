@@ -304,3 +304,15 @@ def test_active_expiry_cuts_busy_flows(spark, tmp_path):
      .start(str(tmp_path / "out")).awaitTermination())
     got = sorted((r.start_time.second, r.packets_total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, 10), (10, 10), (20, 5)]
+
+
+def test_active_expiry_at_rest_cuts_many_slices_in_one_python_call(spark):
+    """A group without a number beside ids that a double cannot hold; many flows in one batch of rows."""
+    big, rows = 2**53 + 1, [(0.5 * n, True, 1) for n in range(60)]
+    events = [event(n, f"10.0.0.{k}", 1, "10.0.1.1", 2, 1, at) for k in range(9) for n, (at, _, _) in enumerate(rows)]
+    table = spark.createDataFrame(events, FLOW_EVENTS).drop("session_id")
+    ids = F.explode(F.array(F.lit(big), F.lit(None).cast("long"), F.lit(big + 1)))
+    found = expiry.active_flows(table.withColumn("session_id", ids).coalesce(1), 10, slice_seconds=2)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {(r.session_id, r.src_ip, r.start_time.second, r.packets_total) for r in found.collect()}
+    assert got == {(i, f"10.0.0.{k}", s, 20) for i in (big, None, big + 1) for k in range(9) for s in (0, 10, 20)}

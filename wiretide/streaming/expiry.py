@@ -16,12 +16,15 @@ micro-batch is cut by binary searches and added up by segments.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,19 +72,56 @@ def active_flows(
 
 
 # -- at rest -----------------------------------------------------------------------------------
-def _steps(stamps: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slice's step function: (``upto``, ``opened``), ascending.
-
-    If the flow open at the slice's start ends by ``upto[k]``, and after ``upto[k - 1]``, the flow open
-    at the slice's end has opened at ``opened[k]``; if it ends after the last, it is still open then.
+def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where, among sorted rows, the columns take other values; null is a value."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in columns:
+        codes = pc.dictionary_encode(table[name].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, cut only where the columns take other values."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        last = int(_starts(table, columns)[-1])
+        if last:
+            yield pa.concat_tables([*held, table.slice(0, last)])
+            held = []
+        elif held and len(_starts(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table.slice(0, 1)]), columns)) > 1:
+            yield pa.concat_tables(held)
+            held = []
+        held.append(table.slice(last))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _steps(stamps: np.ndarray, slices: np.ndarray, starts: np.ndarray, width: int, slice_us: int):
+    """Step functions of many slices at once: where among the sorted stamps a step ends, and where it leads.
+
+    ``starts`` says where the slices begin. If the flow open at a slice's start ends by the stamp where a
+    step ends, and after the step before, the flow open at the slice's end has opened at the
+    stamp that the step leads to; if it ends after the last, it is still open then.
     """
-    after = np.searchsorted(stamps, stamps + width)
     here = np.arange(len(stamps))
-    to = np.where(after < len(stamps), after, here)
+    group = np.searchsorted(starts, here, side="right") - 1
+    # one scale for all slices, too wide for a step to lead from one into the next
+    scale = group * (slice_us + width) + (stamps - slices * slice_us)
+    after = np.searchsorted(scale, scale + width)
+    to = np.where(after < np.append(starts[1:], len(stamps))[group], after, here)
     while not np.array_equal(to, to[to]):  # twice as many flows a turn
         to = to[to]
     last = np.append(np.flatnonzero(np.diff(to)), len(stamps) - 1)
-    return stamps[last], stamps[to[last]]
+    return last, to[last]
 
 
 def _openings(stamps: np.ndarray, carried: int | None, width: int) -> np.ndarray:
@@ -110,41 +150,61 @@ def _opened(rows: DataFrame, key: list[str], width: int, slice_us: int) -> DataF
     whole = marked.where(F.col("long").isNull()).select(*rows.columns, F.lit(None).cast("long").alias("opened_us"))
     long = marked.where("long").select(*rows.columns)
     long = long.withColumn("slice", F.floor(F.col("ts_us") / slice_us))
-    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    keys = ", ".join(f"{c} {kinds[c]}" for c in key)
-
-    def steps(frame: pd.DataFrame) -> pd.DataFrame:
-        upto, opened = _steps(np.sort(frame["ts_us"].to_numpy()), width)
-        own = frame[[*key, "slice"]].iloc[[0] * len(upto)].reset_index(drop=True)
-        return own.assign(upto=upto, opened=opened)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["slice", "upto"])
-        slices, starts = np.unique(frame["slice"].to_numpy(), return_index=True)
-        upto, opened = frame["upto"].to_numpy(), frame["opened"].to_numpy()
-        carried, out = None, []
-        for start, past in zip(starts, np.append(starts[1:], len(frame))):
-            out.append(carried)
-            at = start if carried is None else start + int(np.searchsorted(upto[start:past], carried + width))
-            if at < past:
-                carried = int(opened[at])
-        own = frame[key].iloc[[0] * len(slices)].reset_index(drop=True)
-        return own.assign(slice=slices, carried=pd.array(out, dtype="Int64"))
-
-    stamps = long.select(*key, "slice", "ts_us").distinct()
-    made = stamps.groupBy(*key, "slice").applyInPandas(steps, f"{keys}, slice long, upto long, opened long")
-    carried = made.groupBy(*key).applyInPandas(walk, f"{keys}, slice long, carried long")
-    schema = ", ".join(f"{n} {k}" for n, k in kinds.items() if n != "slice") + ", opened_us long"
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame["ts_us"].to_numpy()
-        before = frame["carried"].iat[0]
-        opened = _openings(np.unique(own), None if pd.isna(before) else int(before), width)
-        place = np.searchsorted(opened, own, side="right") - 1
-        return frame.drop(columns=["slice", "carried"]).assign(opened_us=opened[place])
-
-    ready = _same(long, carried, [*key, "slice"], "inner").select(*long.columns, "carried")
-    return whole.unionByName(ready.groupBy(*key, "slice").applyInPandas(cut, schema))
+    place, columns = [*key, "slice"], rows.columns
+    fields = {f.name: f for f in long.schema.fields}
+    number = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    # many slices are cut at once: most hold few events
+    gathered = lambda table, by, order: table.repartition(*by).sortWithinPartitions(*place, order)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, place):
+            stamps = _numbers(table, "ts_us")
+            last, to = _steps(stamps, _numbers(table, "slice"), _starts(table, place), width, slice_us)
+            own = table.select(place).take(pa.array(last))
+            yield from own.append_column("upto", pa.array(stamps[last])).append_column("opened", pa.array(stamps[to])).to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, key):
+            starts = _starts(table, place)
+            first = np.isin(starts, _starts(table, key))
+            upto, opened = _numbers(table, "upto").tolist(), _numbers(table, "opened").tolist()
+            out: list[int | None] = []
+            carried = None
+            for start, past, new in zip(starts.tolist(), [*starts[1:].tolist(), len(upto)], first.tolist()):
+                carried = None if new else carried
+                out.append(carried)
+                at = start if carried is None else bisect_left(upto, carried + width, start, past)
+                if at < past:
+                    carried = opened[at]
+            yield from table.select(place).take(pa.array(starts)).append_column("carried", pa.array(out, pa.int64())).to_batches()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, place):
+            starts = _starts(table, place).tolist()
+            known = table["ts_us"].is_valid().to_numpy()
+            carried = table["carried"].to_pylist() if not known.all() else None
+            stamps = table["ts_us"].fill_null(0).to_pylist()
+            found = np.empty(len(stamps), np.int64)
+            for at, past in zip(starts, [*starts[1:], len(stamps)]):
+                opened = None
+                if not known[at]:  # the slice's first row names the flow open at its start
+                    opened, at = carried[at], at + 1
+                while at < past:
+                    if opened is None or stamps[at] >= opened + width:
+                        opened = stamps[at]
+                    to = bisect_left(stamps, opened + width, at, past)
+                    found[at:to] = opened
+                    at = to
+            done = table.select(columns).append_column("opened_us", pa.array(found))
+            yield from done.filter(pa.array(known)).to_batches()
+
+    stamps = gathered(long.select(*place, "ts_us").distinct(), place, "ts_us")
+    made = stamps.mapInArrow(steps, T.StructType([*[fields[c] for c in place], *number("upto", "opened")]))
+    walked = gathered(made, key, "upto").mapInArrow(walk, T.StructType([*[fields[c] for c in place], *number("carried")]))
+    ready = long.unionByName(walked.where("carried IS NOT NULL"), allowMissingColumns=True)
+    schema = T.StructType([*[fields[c] for c in columns], *number("opened_us")])
+    # nulls, the carried flows, come first
+    return whole.unionByName(gathered(ready, place, "ts_us").mapInArrow(cut, schema))
 
 
 # -- stream ------------------------------------------------------------------------------------
