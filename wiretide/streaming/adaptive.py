@@ -372,8 +372,9 @@ def stream_adaptive_scores(
     by: Sequence[str] = ("session_id",),
     keep_seconds: float | None = None,
 ) -> DataFrame:
-    """Stateful twin of ``adaptive_scores`` for a stream: each micro-batch is one flush.
+    """Stateful twin of ``adaptive_scores`` for a stream: a micro-batch holds one or more flushes.
 
+    Flushes arrive in the order of ``flush_id``; one that two micro-batches share counts as two.
     The state of a key is its last ``window_size`` adapted scores. With ``keep_seconds`` it ends so much
     wall-clock time after the key's last score; Spark then goes on making micro-batches without data, so a
     stream that is to drain its source and end (``availableNow``) must do without.
@@ -391,13 +392,15 @@ def stream_adaptive_scores(
         fold.key = (key[:rule_at], key[rule_at])
         fold.pending.extend(state.get[0] if state.exists else ())
         fold.adapting = config.enabled and key[rule_at] not in config.disabled_rules
-        newest: list[tuple] = []
-        for batch in batches:
-            raw = batch["raw_score"].tolist()
-            adapted = [fold.score(fold.key, "batch", r) for r in raw]
-            newest = sorted([*newest, *zip(batch["seq"].tolist(), adapted)])[-config.window_size:]
-            yield batch.assign(baseline_samples=fold.base[0], adapted_score=adapted)
-        fold.history.extend(score for _, score in newest)
+        # a rule's part of one micro-batch, flush after flush
+        frame = pd.concat(batches).sort_values(["flush_id", "seq"], kind="stable")
+        flushes = pd.factorize(frame["flush_id"], use_na_sentinel=False)[0].tolist()
+        adapted, samples = [], []
+        for flush, raw in zip(flushes, frame["raw_score"].tolist()):
+            adapted.append(fold.score(fold.key, flush, raw))
+            samples.append(fold.base[0])
+        fold.history.extend(fold.pending)
+        yield frame.assign(baseline_samples=samples, adapted_score=adapted)
         state.update((list(fold.history),))
         if keep_seconds is not None:
             state.setTimeoutDuration(max(1, int(keep_seconds * 1000)))
