@@ -316,3 +316,28 @@ def test_active_expiry_at_rest_cuts_many_slices_in_one_python_call(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     got = {(r.session_id, r.src_ip, r.start_time.second, r.packets_total) for r in found.collect()}
     assert got == {(i, f"10.0.0.{k}", s, 20) for i in (big, None, big + 1) for k in range(9) for s in (0, 10, 20)}
+
+
+def test_a_micro_batch_of_several_flushes_equals_batch_scores(spark, tmp_path):
+    dice = random.Random(6)
+    rows = [("s", f"r{n % 2}", n // 20, n, dice.random()) for n in range(240)]
+    schema = "session_id string, rule_id string, flush_id long, seq long, raw_score double"
+    table = spark.createDataFrame(dice.sample(rows, len(rows)), schema)
+    for first in (0, 4):  # flushes 0 to 3, and 4 to 11
+        part = table.where(F.col("flush_id").between(first, 2 * first + 3))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    config = adaptive.AdaptiveConfig(window_size=15, min_samples=5)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    (adaptive.stream_adaptive_scores(stream, config).writeStream.format("parquet").outputMode("append")
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+     .start(str(tmp_path / "out")).awaitTermination())
+    numbers = lambda found: {r.seq: (r.baseline_samples, round(r.adapted_score, 9)) for r in found.collect()}
+    assert numbers(spark.read.parquet(str(tmp_path / "out"))) == numbers(adaptive.adaptive_scores(table, config))
+
+
+def test_copies_before_small_blocks_stay_in_proportion(spark):
+    rows = [(None if n % 2 else 1, "r", n, n, 0.5) for n in range(2000)]
+    table = spark.createDataFrame(rows, "session_id long, rule_id string, flush_id long, seq long, raw_score double")
+    found = adaptive._blocks_with_lead(table, ["session_id", "rule_id"], 100, 5)
+    counts = {r._lead: r["count"] for r in found.groupBy("_lead").count().collect()}
+    assert counts[False] == 2000 and 0 < counts[True] <= 4000

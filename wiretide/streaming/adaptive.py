@@ -22,6 +22,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -215,6 +216,21 @@ def _walked(scores: DataFrame, config: AdaptiveConfig, by: str) -> DataFrame:
     return ordered.mapInPandas(lambda batches: _fold_batches(batches, by, config), schema)
 
 
+def _blocks(scores: DataFrame, key: list[str], rows: int, flushes: int) -> DataFrame:
+    """Rows with the ``_block`` of ``flushes`` flushes they belong to; blocks that hold few rows of a rule
+    are put together up to about ``rows``, so that copies made for each block stay in proportion."""
+    place = [*key, "_block"]
+    blocked = scores.withColumn("_block", F.call_function("div", F.col("flush_id"), F.lit(flushes)))
+    cells = blocked.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    runs = cells.select(
+        *(F.col(c).alias(f"{c}_") for c in place), F.call_function("div", so_far, F.lit(max(1, rows))).alias("_run")
+    )
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in place))
+    return blocked.join(runs, same).select(*scores.columns, F.col("_run").alias("_block"))
+
+
 def _blocks_with_lead(scores: DataFrame, key: list[str], size: int, flushes: int) -> DataFrame:
     """Rows with their ``_block`` of flushes, plus copies (``_lead``) of the ``size`` rows before
     each block.
@@ -223,12 +239,7 @@ def _blocks_with_lead(scores: DataFrame, key: list[str], size: int, flushes: int
     the rows before a block are the ``size`` numbers below its first one; joining on number
     ranges of that width finds them without comparing all pairs.
     """
-    blocked = scores.withColumns(
-        {
-            "_block": F.call_function("div", F.col("flush_id"), F.lit(flushes)),
-            "_lead": F.lit(False),
-        }
-    )
+    blocked = _blocks(scores, key, size // 2, flushes).withColumn("_lead", F.lit(False))
     newest = Window.partitionBy(*key, "_block").orderBy(F.desc("flush_id"), F.desc("seq"))
     tails = (
         blocked.withColumn("_place", F.row_number().over(newest))
@@ -276,7 +287,7 @@ def adaptive_scores(
     """Add ``baseline_samples`` and ``adapted_score``.
 
     ``scores``: ``by``, rule_id, flush_id (increasing), seq (order inside a flush), raw_score.
-    ``block_flushes`` says how many flushes one task handles of a rule; it has no bearing on the result.
+    ``block_flushes`` says how many flushes, at least, one task handles of a rule; it has no bearing on the result.
     """
     config = config or AdaptiveConfig()
     if record == "adapted":
