@@ -126,6 +126,26 @@ def test_isolation_is_bounded_and_free_where_nothing_fails(traffic, found):
     assert fine.failures.collect() == [] and fine.findings.count() == found.findings.count()
 
 
+def test_failing_groups_and_their_errors_are_found_without_splitting(traffic, found):
+    def finding():
+        size = F.when(F.col("protocol") == "ICMP", F.lit("many")).otherwise(F.lit("3")).cast("int")
+        raw = 1 / (F.col("src_port") - 50003)
+        return fragile(7)().withField("raw", F.when(F.col("src_ip") != "10.9.0.1", raw + raw * size).otherwise(raw + size))
+
+    registry = RuleRegistry([Rule("BAD-4", "Two errors", "flows", finding), Rule("BAD-2", "Fragile", "flows", fragile(50004)), *BUILT_IN])
+    got = isolation.run_rules_isolated(traffic, registry, most_trials=0)
+    lost = {(r.capture_id, r.rule_id, r.stage, r.error) for r in got.failures.collect()}
+    assert lost == {
+        ("bulk", "BAD-4", "run", "DIVIDE_BY_ZERO"), ("ping", "BAD-4", "run", "CAST_INVALID_INPUT"),
+        ("flood", "BAD-2", "run", "DIVIDE_BY_ZERO"),
+    }
+    hits = {(r.capture_id, r.rule_id) for r in got.findings.collect()}
+    assert {c for c, r in hits if r == "BAD-4"} == {"beacon", "flood", "quiet"}
+    assert {r.finding_id for r in got.findings.collect() if r.rule_id.startswith("NET")} == {
+        r.finding_id for r in found.findings.collect()
+    }
+
+
 def test_own_rule_and_optional_rule(traffic):
     volume = run_rules(traffic, RuleRegistry([SUSPICIOUS_VOLUME])).findings.collect()
     assert {r.capture_id for r in volume} >= {"bulk"}

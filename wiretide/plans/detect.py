@@ -6,7 +6,7 @@ from collections.abc import Container
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretide.functions.scoring import (
@@ -75,17 +75,24 @@ def _identified(raw: DataFrame, by: str) -> DataFrame:
     )
 
 
-def _candidate(rule: Rule, place: int):
+def _candidate(rule: Rule, place: int, skip: Column | None = None):
+    body = rule.column()
     return F.struct(
         F.lit(place).alias("rule_place"),
         F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.rule_name).alias("rule_name"),
         F.lit(rule.version).alias("rule_version"),
         F.lit(rule.source == "flows").alias("timed"),
-        rule.column().alias("body"),
+        (body if skip is None else F.when(~skip, body)).alias("body"),
     )
 
 
+def _without_lost(source: DataFrame, lost: DataFrame, by: str) -> DataFrame:
+    """The feature table with ``lost_rules``, the rules that are not evaluated on the row's group."""
+    rules = lost.groupBy(F.col(by).alias("lost_group")).agg(F.collect_set("rule_id").alias("lost_rules"))
+    return source.join(rules, F.col(by).eqNullSafe(F.col("lost_group")), "left").drop("lost_group")
+
+
 def run_rules(
     features: Features,
     registry: RuleRegistry | None = None,
@@ -93,12 +100,14 @@ def run_rules(
     hold: bool = False,
     only: Container[str] | None = None,
     known: set[str] | None = None,
+    lost: DataFrame | None = None,
 ) -> Detection:
     """Evaluate every rule, one pass per feature table.
 
     ``hold=True`` computes the findings once for several outputs. ``only`` names the rules to run, in
     their places among all. ``known`` names rules that need no trial planning, as they have been planned over
-    the same feature tables; it gains those that pass. A rule whose plan Spark refuses is left out and named; errors while running
+    the same feature tables; it gains those that pass. ``lost`` (group, ``rule_id``) names rules over feature tables that are
+    not evaluated on some groups. A rule whose plan Spark refuses is left out and named; errors while running
     fail the job (``isolation.run_rules_isolated`` contains them).
     """
     by = features.by
@@ -126,10 +135,15 @@ def run_rules(
                 continue
             if rule.source not in sources:
                 sources[rule.source] = features.table(rule.source)
+                if lost is not None and sources[rule.source] is not None:
+                    sources[rule.source] = _without_lost(sources[rule.source], lost, by)
             source = sources[rule.source]
             if source is None:
                 continue
-            candidate = _candidate(rule, place)
+            skip = None
+            if lost is not None:
+                skip = F.coalesce(F.array_contains("lost_rules", rule.rule_id), F.lit(False))
+            candidate = _candidate(rule, place, skip)
             if known is None or rule.rule_id not in known:
                 source.select(candidate).schema  # analysis only: is the rule plannable?
             if known is not None:
