@@ -130,6 +130,15 @@ def test_one_line_arrays_are_read_by_many_tasks(spark, tmp_path, split_bytes):
         assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 3
 
 
+def test_text_of_arrays_is_not_shuffled(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(CAPTURE * 50))
+    objects = arrays.array_objects(spark, str(tmp_path)).select("value")
+    plan = objects._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "hashpartitioning(file" in shuffles[0]  # parts that cross a border, two a split at most
+    assert objects.count() == 50 * len(CAPTURE)
+
+
 def test_array_that_would_be_cut_wrongly_is_an_error(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(CAPTURE, indent=1))
     with pytest.raises(Exception, match="layout='array'"):

@@ -7,19 +7,29 @@ numbers per split, added up over the file, then say how each split really starts
 split is cut into objects on its own. Objects that cross a border are put together from the last piece
 of one split and the first pieces of the next ones.
 
-The text is scanned twice and shuffled by split, so this is for arrays that no cheaper layout can split.
+The text is scanned three times and never shuffled, but for the pieces of objects that cross a border, at most two a split:
+a task reads the rows of a split one after another and carries the few numbers along. The table of splits, one short row
+each, goes to every task; a join by shuffle would lose the order of the rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SPLIT = ("file", "block")
-
+from wiretide.session import scratch_folder, written
 
-def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+_ESCAPED = re.compile(r"\\.", re.S)
+_SPLIT = ("file", "block")
+_SUMS = pa.schema(
+    [("file", pa.string()), ("name", pa.string()), *[(n, pa.int64()) for n in ("block", "odd", "step0", "step1")]]
+)
+_PARTS = pa.schema([("split", pa.int64()), ("number", pa.int64()), ("done", pa.int32()), ("value", pa.string())])
 
 
 def _before(*keys: str, order: tuple[str, ...]) -> Window:
@@ -30,70 +40,136 @@ def _so_far(name: str, window: Window) -> Column:
     return F.coalesce(F.sum(name).over(window), F.lit(0))
 
 
-def _closes(inside: Column) -> Column:
-    """Does the brace after the fragment stand outside strings, as 1 or 0?"""
-    return ((F.col("seen") + inside + F.col("quotes")) % 2 == 0).cast("int")
-
-
-def _step(inside: Column) -> Column:
-    """By how much the depth changes over a fragment and its brace, if its split starts ``inside`` a string."""
-    text = F.when((F.col("seen") + inside) % 2 == 1, F.concat(F.lit('"'), F.col("clean"))).otherwise(F.col("clean"))
-    outside = F.regexp_replace(text, r'"[^"]*(?:"|$)', "")
-    return _count(outside, "{") - _closes(inside)
+def _runs(keys: list[np.ndarray]) -> Iterator[slice]:
+    """Where the rows of one split stand together in a batch."""
+    cuts = np.flatnonzero(sum(np.diff(k) != 0 for k in keys)) + 1
+    bounds = [0, *cuts.tolist(), len(keys[0])]
+    return (slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if a < b)
+
+
+def _numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each fragment: its quotes, and by how much the depth changes over it and the brace after it, if the fragment starts
+    outside a string and if it starts inside one."""
+    rows = []
+    for text in texts:
+        between = (_ESCAPED.sub("", text) if "\\" in text else text).split('"')
+        quotes = len(between) - 1
+        opened = "".join(between[::2]).count("{"), "".join(between[1::2]).count("{")
+        rows.append((quotes, opened[0] - (quotes % 2 == 0), opened[1] - (quotes % 2 == 1)))
+    return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+
+
+def _sum_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity of the quotes and sum of the steps of each split, for both assumptions about its start."""
+    split, sums = None, [0, 0, 0]
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(_SUMS.names, (*split, *sums), strict=True))], _SUMS)
+
+    for batch in batches:
+        quotes, step0, step1 = _numbers(batch.column("value").to_pylist())
+        files = batch.column("file").dictionary_encode().indices.to_numpy()
+        for at in _runs([files, batch.column("block").to_numpy()]):
+            key = tuple(batch.column(n)[at.start].as_py() for n in ("file", "name", "block"))
+            if key != split:
+                if split is not None:
+                    yield row()
+                split, sums = key, [0, 0, 0]
+            seen = (sums[0] + np.cumsum(quotes[at]) - quotes[at]) % 2 == 1
+            sums[1] += int(np.where(seen, step1[at], step0[at]).sum())
+            sums[2] += int(np.where(seen, step0[at], step1[at]).sum())
+            sums[0] = (sums[0] + int(quotes[at].sum())) % 2
+    if split is not None:
+        yield row()
+
+
+def _cutter(whole: bool):
+    """A function that cuts splits into the objects that lie ``whole`` in them, or into the parts of the others."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = None
+        inside = depth = number = 0
+        crosses, text = False, []
+        out: list[tuple] = []
+
+        def part(done: int) -> None:
+            if whole == (done == 1 and not crosses):
+                out.append((split, number, done, "".join(text)))
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PARTS.types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=_PARTS)
+
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            quotes, step0, step1 = _numbers(values)
+            splits = batch.column("split").to_numpy()
+            for at in _runs([splits]):
+                if splits[at.start] != split:
+                    if text:
+                        part(0)
+                    split = int(splits[at.start])
+                    inside, depth = (batch.column(n)[at.start].as_py() for n in ("inside", "depth"))
+                    number, crosses, text = 0, depth != 0, []
+                odd = (inside + np.cumsum(quotes[at]) - quotes[at]) % 2
+                after = depth + np.cumsum(np.where(odd == 1, step1[at], step0[at]))
+                closes = (odd + quotes[at]) % 2 == 0
+                inside, depth = (inside + int(quotes[at].sum())) % 2, int(after[-1])
+                texts, done = values[at], 0
+                for end in np.flatnonzero(closes & (after == 0)).tolist():
+                    text.append("}".join(texts[done : end + 1]) + "}")
+                    part(1)
+                    number, crosses, text, done = number + 1, False, [], end + 1
+                if done < len(texts):
+                    text.append("}".join(texts[done:]) + "}")
+            if out:
+                yield rows()
+        if text:
+            part(0)
+        if out:
+            yield rows()
+
+    return cut
 
 
 def array_objects(spark: SparkSession, path: str) -> DataFrame:
     """``file`` (path), its ``name`` and ``value``, one row per outermost object of each file, as text, in no order.
 
     Files hold arrays of objects, or objects one after another, in any layout. What follows an object
-    that never closes is lost with it, up to the end of the file.
+    that never closes is lost with it, up to the end of the file. One scan runs at once.
     """
     text = spark.read.option("lineSep", "}").text(path)
     pieces = text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
         "value",
     )
-    pieces = pieces.withColumn("clean", F.regexp_replace("value", r"(?s)\\.", ""))
-    pieces = pieces.withColumn("quotes", _count(F.col("clean"), '"'))
-    pieces = pieces.withColumn("seen", _so_far("quotes", _before(*_SPLIT, order=("at",))))
-    splits = pieces.groupBy(*_SPLIT).agg(
-        (F.sum("quotes") % 2).alias("odd"),
-        F.sum(_step(F.lit(0))).alias("step0"),
-        F.sum(_step(F.lit(1))).alias("step1"),
+    splits = pieces.mapInArrow(
+        _sum_splits, "file string, name string, block bigint, odd bigint, step0 bigint, step1 bigint"
     )
     earlier = _before("file", order=("block",))
     starts = (
         splits.withColumn("inside", _so_far("odd", earlier) % 2)
         .withColumn("step", F.when(F.col("inside") == 1, F.col("step1")).otherwise(F.col("step0")))
         .withColumn("depth", _so_far("step", earlier))
-        .select(*_SPLIT, "inside", "depth")
+        .select("file", "name", "block", "inside", "depth", F.monotonically_increasing_id().alias("split"))
     )
-    in_split = Window.partitionBy(*_SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    known = pieces.join(starts, list(_SPLIT)).withColumn("step", _step(F.col("inside")))
-    known = known.withColumn("after", F.col("depth") + F.sum("step").over(in_split))
-    ends = (_closes(F.col("inside")) == 1) & (F.col("after") == 0)
-    known = known.withColumn("ends", ends.cast("int"))
-    known = known.withColumn("number", _so_far("ends", _before(*_SPLIT, order=("at",))))
-    parts = known.groupBy(*_SPLIT, "number").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.concat("value", F.lit("}")).alias("value")))).alias("text"),
-        F.any_value("name").alias("name"),
-        F.max("ends").alias("done"),
-        F.min_by(F.col("after") - F.col("step"), "at").alias("depth"),
-    )
-    # objects inside a split keep to it; of the others there are at most two parts a split
-    whole = (F.col("done") == 1) & (F.col("depth") == 0)
-    parts = parts.withColumn("home", F.when(whole, F.col("block")).otherwise(F.lit(-1)))
-    crossing = _so_far("done", _before("file", "home", order=("block", "number")))
-    parts = parts.withColumn("object", F.when(whole, F.col("number")).otherwise(crossing))
-    objects = parts.groupBy("file", "home", "object").agg(
-        F.array_sort(F.collect_list(F.struct("block", "number", "text"))).alias("parts"),
+    starts, _ = written(starts, scratch_folder(spark))
+    known = pieces.join(F.broadcast(starts.drop("name")), list(_SPLIT)).select("split", "inside", "depth", "value")
+
+    def cut(whole: bool) -> DataFrame:
+        parts = known.mapInArrow(_cutter(whole), "split bigint, number bigint, done int, value string")
+        return parts.join(F.broadcast(starts.select("split", "file", "name", "block")), "split")
+
+    crossing = _so_far("done", _before("file", order=("block", "number")))
+    parts = cut(False).withColumn("object", crossing)
+    objects = parts.groupBy("file", "object").agg(
+        F.array_sort(F.collect_list(F.struct("block", "number", "value"))).alias("parts"),
         F.any_value("name").alias("name"),
         F.max("done").alias("done"),
     )
-    whole_text = F.array_join(
-        F.transform("parts", lambda p: F.array_join(F.transform(p["text"], lambda t: t["value"]), "")), ""
-    )
-    return objects.where("done = 1").select("file", "name", F.regexp_replace(whole_text, r"^[\s,\[\]]+", "").alias("value"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value")
+    found = cut(True).select("file", "name", "value").unionByName(objects.where("done = 1").select("file", "name", text))
+    return found.withColumn("value", F.regexp_replace("value", r"^[\s,\[\]]+", ""))
