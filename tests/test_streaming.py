@@ -180,6 +180,24 @@ def test_sliding_windows_count_every_event_in_each_window(spark):
     assert (first.packets_total, first.inter_packet_interval_ms) == (3, 2350.0)
 
 
+@pytest.mark.parametrize(("size", "slide"), [(5, 1), (5, 2), (3, 3), (0.6, 0.4), (8, 0.5)])
+def test_sliding_windows_read_off_buckets_are_not_hashed_again(spark, monkeypatch, size, slide):
+    dice = random.Random(7)
+    rows = [event(i, "10.0.0.1", 1 + i % 2, "10.0.0.2", 2, 10 + i, round(dice.uniform(-30, 60), 1)) for i in range(150)]
+    rows += [event(200 + i, "10.0.0.2", 2, "10.0.0.1", 1, 5, 3600 * slide * i - 0.1) for i in range(-2, 3)]
+    table = spark.createDataFrame(rows, FLOW_EVENTS)
+    beside = windows.sliding_flow_counts(table, size, slide)
+    assert beside._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+    monkeypatch.setattr(windows, "SLICE_SLIDES", 20)
+    sliced = windows.sliding_flow_counts(table, size, slide)
+    monkeypatch.setattr(windows, "MOST_BESIDE", 0)
+    hashed = windows.sliding_flow_counts(table, size, slide)
+    want = sorted(map(str, hashed.collect()))
+    assert len(want) > 50
+    assert sorted(map(str, beside.select(*hashed.columns).collect())) == want
+    assert sorted(map(str, sliced.select(*hashed.columns).collect())) == want
+
+
 def test_streamed_windows_equal_batch_windows(spark, tmp_path):
     rows = [event(i, "10.0.0.1", 1, "10.0.0.2", 2, 10, at) for i, at in enumerate([0, 1, 2, 40, 41, 100])]
     table = spark.createDataFrame(rows, FLOW_EVENTS)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,11 @@ from wiretide.operators.flows import FLOW_KEY, _keys, event_flows, event_rows
 
 WATERMARK = "10 seconds"
 
+#: Buckets per window up to which a window's sums are taken from the rows beside its first one.
+MOST_BESIDE = 16
+#: Slides per slice of time: the most windows of one flow that one task walks through together.
+SLICE_SLIDES = 3600
+
 
 def _micros(seconds: float) -> int:
     return int(round(seconds * 1_000_000))
@@ -63,7 +70,8 @@ def sliding_flow_counts(
 
     The end that opened the flow is ``left`` when ``opener`` is even. At rest, events are first added
     up in buckets of the common divisor of size and slide, so that a busy flow meets its windows as
-    a few buckets; a stream keeps the sums of its windows as state anyway.
+    a few buckets; the windows are then read off the sorted buckets, which are neither hashed nor shuffled once per window (but
+    with more than ``MOST_BESIDE`` buckets a window they are). A stream keeps the sums of its windows as state anyway.
     """
     check_window(size, slide)
     rows, sums = _endpoint_rows(events, by, watermark), _sums(F.col("from_left"))
@@ -71,6 +79,8 @@ def sliding_flow_counts(
         bucket = math.gcd(_micros(size), _micros(slide))
         at = F.window("event_time", f"{bucket} microseconds")["start"]
         rows = rows.groupBy(at.alias("event_time"), *_keys(by), *FLOW_KEY).agg(*sums)
+        if _micros(size) // bucket <= MOST_BESIDE:
+            return _windows_of_buckets(rows, [*_keys(by), *FLOW_KEY], _micros(size), _micros(slide), bucket)
         sums = _merged()
     span = F.window("event_time", _width(size), _width(slide))
     return (
@@ -81,6 +91,55 @@ def sliding_flow_counts(
     )
 
 
+def _windows_of_buckets(rows: DataFrame, key: list[str], size: int, slide: int, bucket: int) -> DataFrame:
+    """The sums of every window from one row per flow and ``bucket`` microseconds (``event_time``).
+
+    A window belongs to its first bucket, which gives all windows since the flow's bucket before; the others of the window are
+    among the next rows. Flows are cut into slices of time, to which the buckets just behind their last windows are added.
+    """
+    values = ("packets", "bytes", "left_bytes", "syn", "rst", "ack", "opener", "start_time", "end_time")
+    width = slide * SLICE_SLIDES
+
+    def floor(us: Column, to: int) -> Column:
+        return us - F.pmod(us, F.lit(to))
+
+    at = F.unix_micros("event_time")
+    earliest = floor(at - size + bucket + slide - 1, slide)  # start of the first window with the bucket
+    slices = F.array_distinct(F.array(floor(earliest, width), floor(at, width)))
+    spread = rows.select(*key, at.alias("at"), earliest.alias("earliest"), *values, F.explode(slices).alias("slice"))
+    order = Window.partitionBy(*key, "slice").orderBy("at")
+    row = F.struct("at", *values)
+    beside = [f"next{i}" for i in range(1, size // bucket)]
+    known = spread.withColumns(
+        {
+            "last": F.lag("at").over(order),
+            **{name: F.lead(row, i).over(order) for i, name in enumerate(beside, 1)},
+        }
+    )
+    first = F.greatest("earliest", "slice", floor(F.col("last"), slide) + slide)
+    final = F.least(floor(F.col("at"), slide), F.col("slice") + width - slide)
+    owned = known.where(first <= final).withColumn("w", F.explode(F.sequence(first, final, F.lit(slide))))
+
+    def inside(name: str, value: str) -> Column:
+        return F.when(F.col(f"{name}.at") < F.col("w") + size, F.col(f"{name}.{value}"))
+
+    def total(value: str) -> Column:
+        return reduce(add, [F.coalesce(inside(n, value), F.lit(0)) for n in beside], F.col(value))
+
+    def end(pick, value: str) -> Column:
+        return pick(F.col(value), *[inside(n, value) for n in beside]) if beside else F.col(value)
+
+    return owned.select(
+        *key,
+        *[total(v).alias(v) for v in values[:6]],
+        end(F.least, "opener").alias("opener"),
+        end(F.least, "start_time").alias("start_time"),
+        end(F.greatest, "end_time").alias("end_time"),
+        F.timestamp_micros("w").alias("window_start"),
+        F.timestamp_micros(F.col("w") + size).alias("window_end"),
+    )
+
+
 def sliding_flows(
     events: DataFrame, size: float = 5.0, slide: float = 1.0, by: str = "session_id"
 ) -> DataFrame:
