@@ -55,3 +55,15 @@ def test_encode_and_decode_frames(spark, odd_documents):
 
 def test_empty_table(no_documents):
     assert bpe.encode(no_documents, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_portions_hold_all_texts_and_collection_is_paused_while_learning(monkeypatch):
+    monkeypatch.setattr(bpe, "PORTION_CHARS", 10)
+    texts = ["abcdefgh", None, "xy z", "", "a" * 40, "end"]
+    assert list(bpe.portions(texts)) == [["abcdefgh", None, "xy z"], ["", "a" * 40], ["end"]]
+    with bpe.Codec(RANKS, public_tokenizers.PATTERN) as codec:
+        seen, learn = [], codec.learn
+        codec.learn = lambda cut: (seen.append(bpe.gc.isenabled()), learn(cut))
+        got = [raw for _, raw in codec.batch(texts)]
+    assert got == [(t or "").encode() for t in texts]
+    assert seen == [False] * 3 and bpe.gc.isenabled()

@@ -19,10 +19,12 @@ read, so other columns may have any name.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
 import duckdb
@@ -39,6 +41,9 @@ WIDTH = 4
 #: An id that no token has, between rows that are decoded together.
 SEPARATOR = "f" * WIDTH
 
+#: Characters of the texts that are encoded together.
+PORTION_CHARS = 8_000_000
+
 ENCODE_SQL = f"""
 WITH RECURSIVE state(piece, ids) AS (
   SELECT piece, ids FROM new_pieces
@@ -118,6 +123,31 @@ def contract(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in turn, in lists of about ``PORTION_CHARS`` characters."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text) if text else 0
+        if held >= PORTION_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No garbage collection meanwhile: many new lists, none of them in a cycle, would set it off again and again."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 class Codec:
     """Encodes and decodes inside one task, with DuckDB tables of merges and vocabulary."""
 
@@ -232,10 +262,12 @@ class Codec:
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids (decimal, comma-joined) and the bytes that these ids decode to."""
-        cut = [chunks(t) if t else [] for t in texts]
-        self.learn(cut)
-        for text in cut:
-            yield b",".join(map(self.ids.__getitem__, text)), b"".join(map(self.raw.__getitem__, text))
+        for part in portions(texts):
+            with collector_paused():
+                cut = [chunks(t) if t else [] for t in part]
+                self.learn(cut)
+            for text in cut:
+                yield b",".join(map(self.ids.__getitem__, text)), b"".join(map(self.raw.__getitem__, text))
 
 
 def _shared(spark: SparkSession, path: str, pattern: str):
@@ -279,7 +311,7 @@ def encode(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec(*shared.value) as codec:
-            for batch in slices(batches, 256):
+            for batch in slices(batches, 4096):
                 columns = [[] for _ in out]
                 for ids, raw in codec.batch(batch["text"].to_pylist()):
                     for name, column in zip(out, columns):
