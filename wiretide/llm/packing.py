@@ -87,16 +87,34 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 200_000):
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2") if max(ranks.values(), default=0) < 65_535 else np.dtype("<u4")
+        self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)  # bytes of each token
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.ids: dict[str, bytes] = {}
         self.keep = keep
 
     def __call__(self, text: str) -> bytes:
-        cut = chunks(text)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new words of all of them are encoded together."""
+        cut = [chunks(text) for text in texts]
         if len(self.ids) > self.keep:
             self.ids = {}
-        for chunk in set(cut).difference(self.ids):
+        self.learn(list(set().union(*cut).difference(self.ids)))
+        return [b"".join(map(self.ids.__getitem__, text)) for text in cut]
+
+    def learn(self, new: list[str]) -> None:
+        # chunks that begin with a space before a non-space are, one behind the other, a text that is cut into these chunks
+        joined = [c for c in new if c[0] == " " and not c[1:2].isspace() and len(c) > 1]
+        for chunk in set(new).difference(joined):
             self.ids[chunk] = np.array(self.encoding.encode_ordinary(chunk), self.kind).tobytes()
-        return b"".join(map(self.ids.__getitem__, cut))
+        for start in range(0, len(joined), 20_000):
+            part = joined[start : start + 20_000]
+            ids = np.array(self.encoding.encode_ordinary("".join(part)), self.kind)
+            ends = np.cumsum(self.sizes[ids])
+            places = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in part])) + 1
+            raw, places = ids.tobytes(), [0, *(places * self.kind.itemsize).tolist()]
+            self.ids.update(zip(part, [raw[a:b] for a, b in zip(places, places[1:])]))
 
 
 _SCHEMA = (
@@ -133,10 +151,10 @@ def pack(
         id_type = None
         for batch in slices(batches):
             id_type = batch["id"].type
-            for doc, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+            texts = [text or "" for text in batch["text"].to_pylist()]
+            for doc, text, raw in zip(batch["id"].to_pylist(), texts, encoder.batch(texts)):
                 if not text and not close_empty:
                     continue
-                raw = encoder(text or "")
                 if encoder.kind != wide:
                     raw = np.frombuffer(raw, encoder.kind).astype(wide).tobytes()
                 raw += end
