@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -67,3 +69,31 @@ def test_portions_hold_all_texts_and_collection_is_paused_while_learning(monkeyp
         got = [raw for _, raw in codec.batch(texts)]
     assert got == [(t or "").encode() for t in texts]
     assert seen == [False] * 3 and bpe.gc.isenabled()
+
+
+def test_memory_of_a_task_stays_small():
+    script = """
+import random, resource, sys
+import public_tokenizers
+from wiretide.llm import bpe
+ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+dice = random.Random(7)
+texts = ["".join(dice.choice("abcdefghio    ,.") for _ in range(2_000)) for _ in range(4_000)]
+with bpe.Codec(ranks, public_tokenizers.PATTERN) as codec:
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for (ids, raw), text in zip(codec.batch(texts), texts):
+        assert raw.decode() == text
+    print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 130
+
+
+def test_many_long_pieces_fit_the_memory_of_a_call():
+    dice = random.Random(8)
+    pieces = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120)) for _ in range(9_000)]
+    with bpe.Codec(RANKS, public_tokenizers.PATTERN) as codec:
+        coded = codec.encode_pieces(pieces)
+    for piece in pieces[::900]:
+        assert [int(coded[piece][i : i + 4], 16) for i in range(0, len(coded[piece]), 4)] == bpe.contract(piece.encode(), RANKS)

@@ -3,12 +3,13 @@
 A text is split by the tokenizer's pattern; each distinct piece is encoded once per task. New
 pieces of some documents go to DuckDB together: one row per piece holds its token ids, the rows
 are unnested to token positions, adjacent pairs join the merge table, and the pair of least rank
-(the leftmost of equals) is contracted, again and again until no pair of any piece merges. Ids
-are decoded by joining the vocabulary and aggregating bytes in order of position.
+(the leftmost of equals) is contracted, again and again until no pair of any piece merges. The
+ids of whole documents are decoded by joining the vocabulary and aggregating bytes in order of position.
 
 Ranks are token ids, as in tiktoken rank files, and a piece that is itself a token is that token.
-Memory is bounded: a task keeps two tables of about ``keep_chunks`` chunks and 8 million
-characters each, and runs one DuckDB call over at most ``call_pieces`` pieces. A piece longer than
+Memory is bounded: a task keeps two tables of ids, of about ``keep_chunks`` chunks and 8 million
+characters each and what one portion of texts adds, and a DuckDB call gets at most
+``call_pieces`` pieces, fewer where they are long. A piece longer than
 ``long_piece`` bytes would take as many recursion steps as it has merges over all its positions;
 it goes through a heap of pairs instead, by the same rule and with the same result.
 
@@ -38,11 +39,14 @@ from wiretide.llm.common import slices
 
 #: Hex digits of one token id in a row of ids; two bytes hold any id below 65,536.
 WIDTH = 4
-#: An id that no token has, between rows that are decoded together.
-SEPARATOR = "f" * WIDTH
+#: Ids that are decoded together.
+DECODE_IDS = 500_000
 
-#: Characters of the texts that are encoded together.
-PORTION_CHARS = 8_000_000
+#: Sum of the squared bytes of the pieces of one DuckDB call; the recursion holds some two bytes for each.
+CALL_HELD = 8_000_000
+
+#: Characters of the texts that are encoded together; what a portion needs in memory is some 25 bytes each.
+PORTION_CHARS = 2_000_000
 
 ENCODE_SQL = f"""
 WITH RECURSIVE state(piece, ids) AS (
@@ -62,11 +66,10 @@ WITH RECURSIVE state(piece, ids) AS (
 SELECT piece, min_by(ids, len(ids)) FROM state GROUP BY piece
 """
 
-DECODE_SQL = f"""
-SELECT row, string_agg(v.bytes, '' ORDER BY pos)
-FROM (SELECT row, ids, unnest(range(len(ids) // {WIDTH})) AS pos FROM coded) t
-JOIN vocabulary v ON v.id = substr(t.ids, t.pos * {WIDTH} + 1, {WIDTH})
-GROUP BY row
+# sorted once below the aggregate, which one thread reads in that order: a third of the time of an ORDER BY inside it
+DECODE_SQL = """
+SELECT string_agg(bytes, '')
+FROM (SELECT v.bytes FROM coded JOIN vocabulary v USING (id) ORDER BY pos)
 """
 
 
@@ -151,16 +154,17 @@ def collector_paused() -> Iterator[None]:
 class Codec:
     """Encodes and decodes inside one task, with DuckDB tables of merges and vocabulary."""
 
-    def __init__(self, ranks, pattern, keep_chunks=80_000, call_pieces=8_000, long_piece=128):
+    def __init__(self, ranks, pattern, keep_chunks=300_000, call_pieces=64_000, long_piece=128):
         if max(ranks.values(), default=0) >= 16**WIDTH - 1:
             raise ValueError(f"token ids must be below {16**WIDTH - 1}")
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.keep_chunks, self.call_pieces, self.long_piece = keep_chunks, call_pieces, long_piece
         self.hexes = np.array([f"{ranks[bytes([b])]:0{WIDTH}x}".encode() for b in range(256)])
-        self.decimal = {f"{r:0{WIDTH}x}": b"%d" % r for r in ranks.values()}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
+        self.decimal = [b"%d" % i for i in range(len(self.sizes))]
         self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: dict[str, bytes] = {}
         self.held = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
         merges = {
@@ -172,18 +176,17 @@ class Codec:
         self._table("merges", pair=list(merges), rank=pa.array(merges.values(), pa.int64()))
         self._table(
             "vocabulary",
-            id=[f"{r:0{WIDTH}x}" for r in ranks.values()],
+            id=pa.array(ranks.values(), pa.int32()),
             bytes=[t.hex() for t in ranks],
         )
-        self.db.execute("INSERT INTO vocabulary VALUES (?, '|')", [SEPARATOR])
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _query(self, sql: str, name: str, key: str, values: list[str]) -> list[tuple]:
-        self.db.register(name, pa.table({key: pa.array(range(len(values)), pa.int32()), "ids": values}))
+    def _query(self, sql: str, name: str, **columns) -> list[tuple]:
+        self.db.register(name, pa.table(columns))
         rows = self.db.execute(sql).fetchall()
         self.db.unregister(name)
         return rows
@@ -199,29 +202,45 @@ class Codec:
                 known[piece] = "".join(f"{i:0{WIDTH}x}" for i in contract(raw, self.ranks))
             else:
                 new.append((piece, raw))
-        for start in range(0, len(new), self.call_pieces):
-            part = new[start : start + self.call_pieces]
+        for part in self._calls(new):
             ids = self.hexes[np.frombuffer(b"".join([raw for _, raw in part]), np.uint8)].tobytes().decode()
             ends = [0, *accumulate([len(raw) * WIDTH for _, raw in part])]
             rows = [ids[a:b] for a, b in zip(ends, ends[1:])]
-            for k, ids in self._query(ENCODE_SQL, "new_pieces", "piece", rows):
-                known[part[k][0]] = ids
+            numbered = pa.array(range(len(part)), pa.int32())
+            for k, coded in self._query(ENCODE_SQL, "new_pieces", piece=numbered, ids=rows):
+                known[part[k][0]] = coded
         return known
 
-    def decode(self, coded: list[str]) -> list[bytes]:
-        """Bytes of each row of ids (hex text); sixteen at a time make one row for DuckDB, with separators."""
-        out: list[bytes] = []
-        for start in range(0, len(coded), self.call_pieces):
-            part = coded[start : start + self.call_pieces]
-            joined = [SEPARATOR.join(part[k : k + 16]) for k in range(0, len(part), 16)]
-            texts = dict(self._query(DECODE_SQL, "coded", "row", joined))
-            out += [bytes.fromhex(x) for k in range(len(joined)) for x in texts.get(k, "").split("|")]
-        return out
-
-    def numbers(self, ids: str) -> bytes:
-        """Ids in hex text as decimal numbers, comma-joined."""
-        decimal = self.decimal
-        return b",".join([decimal[ids[i : i + WIDTH]] for i in range(0, len(ids), WIDTH)])
+    def _calls(self, new: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+        """The pieces in lists for one DuckDB call each, bounded by number and by what the recursion holds of them."""
+        start = held = 0
+        for k, (_, raw) in enumerate(new):
+            held += len(raw) ** 2
+            if held > CALL_HELD or k - start == self.call_pieces:
+                yield new[start:k]
+                start, held = k, len(raw) ** 2
+        if new:
+            yield new[start:]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all the ids in turn."""
+        parts = []
+        for start in range(0, len(ids), DECODE_IDS):
+            part = ids[start : start + DECODE_IDS].astype(np.int32)
+            [(found,)] = self._query(DECODE_SQL, "coded", pos=np.arange(len(part), dtype=np.int32), id=part)
+            parts.append(bytes.fromhex(found))
+        return b"".join(parts)
+
+    def decode_rows(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each row of ids."""
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        raw = memoryview(self.decode(ids))
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[[0, *accumulate(map(len, rows))]].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def numbers(self, ids: np.ndarray) -> bytes:
+        """Ids as decimal numbers, comma-joined."""
+        return b",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode and decode what the given chunked texts hold and the young table lacks.
@@ -230,27 +249,22 @@ class Codec:
         change; what is met again moves to the young one, so that frequent chunks stay.
         """
         if len(self.ids) > self.keep_chunks or self.held > 8_000_000:
-            self.old, self.ids, self.raw, self.held = (self.ids, self.raw), {}, {}, 0
-        old_ids, old_raw = self.old
+            self.old, self.ids, self.held = self.ids, {}, 0
         missing = set().union(*texts).difference(self.ids)
-        for chunk in missing.intersection(old_ids):
-            self.ids[chunk], self.raw[chunk] = old_ids[chunk], old_raw[chunk]
-        missing.difference_update(old_ids)
+        again = missing.intersection(self.old)
+        self.ids.update(zip(again, map(self.old.__getitem__, again)))
+        missing.difference_update(again)
         # letters behind at most one space are a piece
-        split = {c: [c] if c[c[0] == " " :].isalpha() else self.pattern.findall(c) for c in missing}
-        new = list(set().union(*split.values()))
-        ids = self.encode_pieces(new)
-        coded = [ids[p] for p in new]
-        known = dict(zip(new, zip(map(self.numbers, coded), self.decode(coded))))
-        self.held += sum(map(len, missing))
-        ids_of, raw_of = self.ids, self.raw
-        for chunk, pieces in split.items():
-            if len(pieces) == 1:
-                ids_of[chunk], raw_of[chunk] = known[pieces[0]]
-            else:
-                both = [known[p] for p in pieces]
-                ids_of[chunk] = b",".join([b[0] for b in both])
-                raw_of[chunk] = b"".join([b[1] for b in both])
+        whole = [c for c in missing if c[c[0] == " " :].isalpha()]
+        split = {c: self.pattern.findall(c) for c in missing.difference(whole)}
+        known = self.encode_pieces(list(set(whole).union(*split.values())))
+        coded = [known[c] for c in whole]
+        coded += ["".join([known[p] for p in pieces]) for pieces in split.values()]
+        whole += split
+        self.held += sum(map(len, whole))
+        flat = bytes.fromhex("".join(coded))
+        ends = [0, *accumulate([len(ids) // 2 for ids in coded])]
+        self.ids.update(zip(whole, [flat[a:b] for a, b in zip(ends, ends[1:])]))
 
     def __enter__(self) -> Codec:
         return self
@@ -260,14 +274,19 @@ class Codec:
         self.db.close()
         self.__dict__.clear()
 
+    def coded(self, texts: list[str | None]) -> list[tuple[np.ndarray, bytes]]:
+        """For each text of a portion its ids and the bytes that these ids decode to."""
+        with collector_paused():
+            cut = [chunks(t) if t else [] for t in texts]
+            self.learn(cut)
+        rows = [np.frombuffer(b"".join(map(self.ids.__getitem__, text)), f">u{WIDTH // 2}") for text in cut]
+        return list(zip(rows, self.decode_rows(rows)))
+
     def batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids (decimal, comma-joined) and the bytes that these ids decode to."""
         for part in portions(texts):
-            with collector_paused():
-                cut = [chunks(t) if t else [] for t in part]
-                self.learn(cut)
-            for text in cut:
-                yield b",".join(map(self.ids.__getitem__, text)), b"".join(map(self.raw.__getitem__, text))
+            for ids, raw in self.coded(part):
+                yield self.numbers(ids), raw
 
 
 def _shared(spark: SparkSession, path: str, pattern: str):
@@ -299,11 +318,11 @@ def encode(
         "decoded_sha256": ("string", pa.string()),
     }
     make = {
-        "ids": lambda ids, raw: [int(i) for i in ids.split(b",")] if ids else [],
-        "decoded": lambda ids, raw: raw,
-        "n_tokens": lambda ids, raw: ids.count(b",") + 1 if ids else 0,
-        "ids_sha256": lambda ids, raw: hashlib.sha256(ids).hexdigest(),
-        "decoded_sha256": lambda ids, raw: hashlib.sha256(raw).hexdigest(),
+        "ids": lambda codec, ids, raw: ids.astype(np.int32),
+        "decoded": lambda codec, ids, raw: raw,
+        "n_tokens": lambda codec, ids, raw: len(ids),
+        "ids_sha256": lambda codec, ids, raw: hashlib.sha256(codec.numbers(ids)).hexdigest(),
+        "decoded_sha256": lambda codec, ids, raw: hashlib.sha256(raw).hexdigest(),
     }
     shared = _shared(docs.sparkSession, path, pattern)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -312,12 +331,15 @@ def encode(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec(*shared.value) as codec:
             for batch in slices(batches, 4096):
-                columns = [[] for _ in out]
-                for ids, raw in codec.batch(batch["text"].to_pylist()):
-                    for name, column in zip(out, columns):
-                        column.append(make[name](ids, raw))
-                arrays = [pa.array(c, kinds[n][1]) for n, c in zip(out, columns)]
-                yield pa.RecordBatch.from_arrays([batch["id"], *arrays], ["id", *out])
+                start = 0
+                for part in portions(batch["text"].to_pylist()):
+                    columns = [[] for _ in out]
+                    for ids, raw in codec.coded(part):
+                        for name, column in zip(out, columns):
+                            column.append(make[name](codec, ids, raw))
+                    arrays = [pa.array(c, kinds[n][1]) for n, c in zip(out, columns)]
+                    yield pa.RecordBatch.from_arrays([batch["id"].slice(start, len(part)), *arrays], ["id", *out])
+                    start += len(part)
 
     schema = ", ".join([f"id {id_type}", *(f"{n} {kinds[n][0]}" for n in out)])
     return source.mapInArrow(work, schema).withColumnRenamed("id", id_col)
@@ -332,8 +354,9 @@ def decode(coded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec(*shared.value) as codec:
             for batch in slices(batches, 64):
-                rows = ["".join(f"{i:0{WIDTH}x}" for i in ids or []) for ids in batch["ids"].to_pylist()]
-                raw = pa.array(codec.decode(rows), pa.binary())
+                top = len(codec.sizes)
+                rows = [np.array([i for i in ids or [] if 0 <= i < top], np.int32) for ids in batch["ids"].to_pylist()]
+                raw = pa.array(codec.decode_rows(rows), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["id"], raw], ["id", "decoded"])
 
     return source.mapInArrow(work, f"id {id_type}, decoded binary").withColumnRenamed("id", id_col)
