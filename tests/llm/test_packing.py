@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -57,3 +58,12 @@ def test_rows_give_back_every_document(odd_documents):
 
 def test_empty_table(no_documents):
     assert packing.pack(no_documents, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_new_words_of_a_batch_share_a_tokenizer_call():
+    encoder = packing.Encoder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    calls, real = [], encoder.encoding.encode_ordinary
+    encoder.encoding = SimpleNamespace(encode_ordinary=lambda text: (calls.append(text), real(text))[1])
+    texts = ["the qxz river  of\n stone 12", "", "another  garden, \u3000 letter", " a "]
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in encoder.batch(texts)] == [real(t) for t in texts]
+    assert len(calls) <= 1 + len(texts)
