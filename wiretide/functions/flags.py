@@ -10,14 +10,22 @@ SYN_BIT = 0x002
 RST_BIT = 0x004
 ACK_BIT = 0x010
 
+_ANY_LENGTH = 2**31 - 1
+
 
 def hex_flag_bits(flags: Column) -> Column:
     """Hex text such as ``0x012`` as a number; NULL when absent or malformed.
 
-    Of longer texts it is the low 60 bits, where all flags are.
+    Of longer texts it is the low 60 bits, where all flags are. The usual shape, ``0x`` and hex digits, needs no pattern.
     """
+    usual = F.substring(flags, 3, _ANY_LENGTH)
+    is_usual = F.startswith(flags, F.lit("0x")) & (F.length(flags) > 2) & F.unhex(usual).isNotNull()
     digits = F.regexp_extract(flags, r"^\s*(?:0[xX])?([0-9a-fA-F]+)\s*$", 1)
-    return F.when(digits != "", F.conv(F.right(digits, F.lit(15)), 16, 10).try_cast("bigint"))
+
+    def number(text: Column) -> Column:
+        return F.conv(F.right(text, F.lit(15)), 16, 10).try_cast("bigint")
+
+    return F.when(is_usual, number(usual)).when(digits != "", number(digits))
 
 
 def bit_set(bits: Column, bit: int) -> Column:

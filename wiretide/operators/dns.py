@@ -142,16 +142,23 @@ def dns_profiles(cells: DataFrame, by: str | Sequence[str] = "capture_id") -> Da
         F.sort_array(F.collect_set("listed_ip")).alias("listed_src_ips"),
         F.min(F.when(of_source, F.struct((-F.col("queries")).alias("order"), F.col("src_ip")))).alias("busiest"),
     ).withColumnRenamed("queries", "query_count")
+    counts = cells.groupBy(*name).agg(F.sum("queries").alias("query_count"))
+    # the entropy before the join: what follows it may be a single task, as its bytes are few
     return (
-        per_name.withColumn("domain", registered_domain(F.col("qname")))
-        .join(_domain_counts(per_name, keys), [*keys, "domain"])
+        per_name.withColumns(
+            {
+                "domain": registered_domain(F.col("qname")),
+                "subdomain_entropy": subdomain_entropy(F.col("qname")),
+            }
+        )
+        .join(_domain_counts(counts, keys), [*keys, "domain"])
         .join(dns_minutes(cells, by), keys)
         .select(
             *name,
             "domain",
             "query_count",
             "unique_qtypes",
-            subdomain_entropy(F.col("qname")).alias("subdomain_entropy"),
+            "subdomain_entropy",
             F.when(F.col("sized") > 0, F.round(F.col("size_sum") / F.col("sized"), 2))
             .otherwise(F.lit(0.0))
             .alias("avg_query_size_bytes"),

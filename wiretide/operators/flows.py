@@ -32,6 +32,8 @@ CHUNK_ROWS = 1_000_000
 
 FLOW_KEY = ("protocol", "left_ip", "left_port", "right_ip", "right_port")
 _EXACT = "decimal(38,0)"
+# Fixed value: the square of a gap of up to this many microseconds fits a long.
+_SHORT_GAP = 3_000_000_000
 
 
 def _keys(by: str | Sequence[str]) -> list[str]:
@@ -114,6 +116,10 @@ def flow_state(
     before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
     gap = F.col("ts_us") - F.last("ts_us", ignorenulls=True).over(before)
     stamped_seq = F.when(F.col("ts_us").isNotNull(), F.col("seq"))
+    # Squares of short gaps are summed as longs in halves of 32 bits, exact for up to 2^31 rows a chunk.
+    short = F.col("gap").between(-_SHORT_GAP, _SHORT_GAP)
+    square = F.when(short, F.col("gap") * F.col("gap"))
+    long_gap = F.when(~short, F.col("gap")).cast("decimal(19,0)")
     chunks = (
         rows.withColumn("chunk", F.call_function("div", F.col("seq"), F.lit(chunk_rows)))
         .withColumn("gap", gap)
@@ -135,10 +141,12 @@ def flow_state(
             F.count("ts_us").alias("stamps"),
             F.min_by("ts_us", stamped_seq).alias("first_stamp"),
             F.max_by("ts_us", stamped_seq).alias("last_stamp"),
-            F.sum(F.col("gap").cast("decimal(19,0)") * F.col("gap").cast("decimal(19,0)"))
-            .cast(_EXACT)
-            .alias("gap_squares"),
+            F.sum(F.shiftright(square, 32)).alias("squares_high"),
+            F.sum(square.bitwiseAND(F.lit(2**32 - 1))).alias("squares_low"),
+            F.sum(long_gap * long_gap).cast(_EXACT).alias("long_squares"),
         )
+        .withColumn("gap_squares", _gap_squares())
+        .drop("squares_high", "squares_low", "long_squares")
     )
     in_flow = Window.partitionBy(*key).orderBy("chunk")
     earlier = in_flow.rowsBetween(Window.unboundedPreceding, -1)
@@ -173,6 +181,14 @@ def flow_state(
     )
 
 
+def _gap_squares() -> Column:
+    """The sum of squares from its halves and the squares that no long holds."""
+    zero = F.lit(0).cast(_EXACT)
+    high, low = (F.coalesce(F.col(f"squares_{n}"), F.lit(0)).cast("decimal(19,0)") for n in ("high", "low"))
+    short = (high * F.lit(2**32).cast("decimal(10,0)") + low).cast(_EXACT)
+    return (short + F.coalesce("long_squares", zero)).cast(_EXACT)
+
+
 def _interval_columns() -> tuple[Column, Column]:
     """Mean and sample variance of inter-arrival times in ms, four decimals.
 

@@ -152,9 +152,11 @@ def run_rules(
         except (PySparkException, KeyError, TypeError, ValueError):
             failed.append(rule.rule_id)
     for name, candidates in grouped.items():
-        fired = F.filter(F.array(*candidates), lambda c: c["body"].isNotNull())
+        # a column first: generators and lambdas interpret what is inside them, columns are compiled
+        fired = F.filter("candidates", lambda c: c["body"].isNotNull())
         parts.append(
             sources[name]
+            .select(by, F.array(*candidates).alias("candidates"))
             .select(by, F.inline(fired))
             .select(by, "rule_place", "rule_id", "rule_name", "rule_version", "timed", "body.*")
         )

@@ -255,6 +255,13 @@ class Features:
     def _in_window(self, table: DataFrame | None) -> DataFrame | None:
         return None if table is None else table.join(self._windows, self.by, "left")
 
+    def _spread(self, table: DataFrame | None) -> DataFrame | None:
+        """The table dealt out to all cores: rows of few bytes and much work, which Spark puts into one task by size."""
+        if table is None:
+            return None
+        cores = table.sparkSession.sparkContext.defaultParallelism
+        return table.repartition(cores)
+
     def table(self, name: str) -> DataFrame | None:
         """Feature table a rule names as its source."""
         if name == "flows":
@@ -263,7 +270,7 @@ class Features:
         if name == "profiles":
             return self.profiles
         if name == "dns":
-            return self._in_window(self.dns_profiles)
+            return self._spread(self._in_window(self.dns_profiles))
         if name == "ftp":
             return self._in_window(self.ftp_summary)
         if name == "smtp":
