@@ -1,5 +1,7 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,45 @@ def test_text_of_arrays_is_not_shuffled(spark, tmp_path):
     assert objects.count() == 50 * len(CAPTURE)
 
 
+def test_files_in_one_split_are_cut_without_summing_up(spark, tmp_path, monkeypatch):
+    """Their text passes through Python once; sums are only for files of several splits."""
+
+    def no_sums(batches):
+        for batch in batches:
+            raise AssertionError(f"{batch.num_rows} rows summed up")
+        return iter(())
+
+    monkeypatch.setattr(arrays, "_sum_splits", no_sums)
+    for n in range(3):
+        (tmp_path / f"f{n}.json").write_text(json.dumps([{"n": n, "k": k, "t": '}"{\\'} for k in range(40)]))
+    found = sorted((r.name, json.loads(r.value)["k"]) for r in arrays.array_objects(spark, str(tmp_path)).collect())
+    assert found == [(f"f{n}.json", k) for n in range(3) for k in range(40)]
+
+
+def test_objects_are_cut_as_by_a_walk_over_the_signs(spark):
+    dice = random.Random(4)
+    for _ in range(300):
+        fragments = ["".join(dice.choice('"\\{a,') for _ in range(dice.randint(0, 9))) + "}" for _ in range(12)]
+        for inside in (0, 1):
+            quotes, depth, want = inside, 0, []
+            for fragment in fragments:
+                skip = False
+                for sign in fragment[:-1]:
+                    if skip or sign == "\\":
+                        skip = not skip
+                    elif sign == '"':
+                        quotes += 1
+                    elif sign == "{":
+                        depth += quotes % 2 == 0
+                depth -= quotes % 2 == 0
+                want.append((quotes % 2, depth))
+            data = np.frombuffer("".join(fragments).encode(), np.uint8)
+            ends = np.cumsum([len(f) for f in fragments]) - 1
+            found, odd, *depths = arrays._depths(data, ends)
+            assert found + inside == quotes
+            assert [((o + inside) % 2, d) for o, d in zip(odd.tolist(), depths[inside].tolist(), strict=True)] == want
+
+
 def test_array_that_would_be_cut_wrongly_is_an_error(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(CAPTURE, indent=1))
     with pytest.raises(Exception, match="layout='array'"):
