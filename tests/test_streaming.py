@@ -336,6 +336,45 @@ def test_active_expiry_at_rest_cuts_many_slices_in_one_python_call(spark):
     assert got == {(i, f"10.0.0.{k}", s, 20) for i in (big, None, big + 1) for k in range(9) for s in (0, 10, 20)}
 
 
+@pytest.mark.parametrize("slice_seconds", [3, 64])
+def test_active_expiry_of_busy_keys_equals_a_walk(spark, slice_seconds):
+    dice, at, rows = random.Random(23), 0.0, []
+    for _ in range(300):
+        at += dice.choice([0.25, 0.5, 1, 2.5, 9.75, 10, 31])
+        rows.append((at, dice.random() < 0.5, dice.randint(1, 99)))
+    table = spark.createDataFrame(both_ways(rows), FLOW_EVENTS)
+    assert flow_numbers(expiry.active_flows(table, 10, slice_seconds=slice_seconds, busy_rows=0)) == by_hand(rows, 10)
+
+
+def test_active_expiry_of_busy_and_other_keys_is_the_same(spark):
+    """Arrival out of time order, gaps whose squares outgrow 64 bits, keys with nulls, numbers that are missing."""
+    dice, rows = random.Random(24), []
+    for n in range(900):
+        k, at = n % 7, dice.choice([0.5, 7, 4000]) * n + dice.randint(0, 9)
+        rows.append(event(n, f"10.0.0.{k}", 1, "10.0.1.1", 2, dice.randint(1, 99), at) if n % 2 else
+                    event(n, "10.0.1.1", 2, f"10.0.0.{k}", 1, dice.randint(1, 99), at))
+    none = F.when(F.col("seq") % 7 == 3, None)
+    table = spark.createDataFrame(rows, FLOW_EVENTS).withColumn("src_ip", none.otherwise(F.col("src_ip")))
+    lost = (F.col("seq") % 7 == 5) & (F.col("seq") < 6)  # the first event of a key has no number
+    table = table.withColumn("seq", F.when(~lost, F.col("seq")))
+    for seconds in (30, 9000):
+        found = [
+            sorted(map(repr, expiry.active_flows(table, seconds, slice_seconds=2000, busy_rows=n).collect()))
+            for n in (0, 100, 1000)
+        ]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 7
+
+
+def test_active_expiry_shuffles_ordinary_events_once(spark):
+    rows = [event(n, f"10.0.0.{n % 9}", 1, "10.0.1.1", 2, 1, 0.5 * n) for n in range(600)]
+    found = expiry.active_flows(spark.createDataFrame(rows, FLOW_EVENTS), 10)
+    assert sum(r.packets_total for r in found.collect()) == 600
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in final.splitlines() if " Exchange hashpartitioning" in line]
+    # nothing of the counts of keys is left in the plan once no key turned out busy
+    assert len(shuffles) == 1 and "xxhash64(session_id" in shuffles[0]
+
+
 def test_a_micro_batch_of_several_flushes_equals_batch_scores(spark, tmp_path):
     dice = random.Random(6)
     rows = [("s", f"r{n % 2}", n // 20, n, dice.random()) for n in range(240)]

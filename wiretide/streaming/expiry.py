@@ -3,12 +3,15 @@
 Closing restarts the flow: the first event at or after the end of one opens the next. Borders depend
 on earlier borders; idle expiry is ``windows.idle_flows`` and needs no walk.
 
-At rest, a flow's life is cut into time slices. For each slice a task works out, for every moment a
-flow may still have been open at its start, which flow is open at its end; that is a step function,
-as later openings never overtake earlier ones. A walk over these functions, a few steps per slice,
-gives the flow open at each slice's start, and then all slices are cut at once. So one busy flow is
-spread over as many tasks as it has slices, and only its steps meet in one. Flows shorter than the
-expiry time, nearly all, need none of this.
+At rest, the events of an ordinary key are shuffled once and one task cuts them and adds them up, as
+the flows of a key need nothing from other keys. Keys are counted first, by hash; a key with more
+events than a task should hold is busy. Its life is cut into time slices. For each slice a task works
+out, for every moment a flow may still have been open at its start, which flow is open at its end; that is
+a step function, as later openings never overtake earlier ones. A walk over these functions, a few steps
+per slice, gives the flow open at each slice's start, and then all slices are cut at once. So one busy
+flow is spread over as many tasks as it has slices, and only its steps meet in one. Busy flows shorter
+than the expiry time need none of this. Busy keys are few, at most one for so many events, and their hashes go
+to every task.
 
 On a stream the open flow of a key is state: the numbers of ``flows.flow_state``, which merge. A
 micro-batch is cut by binary searches and added up by segments.
@@ -30,15 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wiretide.operators.flows import FLOW_KEY, event_rows, flow_state, flows_from_state
+from wiretide.operators.flows import _SHORT_GAP, FLOW_KEY, _gap_squares, event_rows, flow_state, flows_from_state
 from wiretide.streaming.windows import WATERMARK
 
 #: Seconds per time slice of a flow at rest; no bearing on the result.
 SLICE_SECONDS = 3600.0
+#: The most events of one key that one task holds; keys with more are cut in time slices. No bearing on the result.
+BUSY_ROWS = 200_000
 
 _SUMS = ("left_packets", "left_bytes", "right_packets", "right_bytes", "syn", "rst", "ack", "stamps")
 _LEAST = ("opener", "left_first", "right_first")
 _MOST = ("left_last", "right_last")
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: What is kept per open flow. Squares of gaps are text, as they outgrow 64 bits.
 _STATE = T.StructType(
     [
@@ -54,6 +60,7 @@ def active_flows(
     by: str = "session_id",
     watermark: str = WATERMARK,
     slice_seconds: float = SLICE_SECONDS,
+    busy_rows: int = BUSY_ROWS,
 ) -> DataFrame:
     """Flow records (as ``flows.event_flows``) cut ``seconds`` after they opened; the rest opens the next.
 
@@ -65,8 +72,15 @@ def active_flows(
     width = round(seconds * 1_000_000)
     timed = events.where(F.col("ts").isNotNull())
     if not events.isStreaming:
-        cut = _opened(event_rows(timed, by), [by, *FLOW_KEY], width, round(slice_seconds * 1_000_000))
-        return flows_from_state(flow_state(cut, [by, "opened_us"]), by)
+        key = [by, *FLOW_KEY]
+        rows = event_rows(timed, by).select(*key, "ts_us", "from_left", "seq", "bytes", "packets", "syn", "rst", "ack")
+        name = F.xxhash64(*key)
+        counted = rows.groupBy(name.alias("_busy")).agg(F.count(F.lit(1)).alias("_rows"))
+        busy = F.broadcast(counted.where(F.col("_rows") > busy_rows).select("_busy"))
+        some = lambda how: rows.join(busy, name == F.col("_busy"), how)
+        ordinary = _cut_keys(some("left_anti"), key, width)
+        cut = _opened(some("left_semi"), key, width, round(slice_seconds * 1_000_000))
+        return flows_from_state(ordinary.unionByName(flow_state(cut, [by, "opened_us"]).drop("opened_us")), by)
     keep = timed.withWatermark("ts", watermark).select("*", F.col("ts").alias("event_time"))
     return flows_from_state(_streamed(event_rows(keep, [by, "event_time"]), [by, *FLOW_KEY], width), by)
 
@@ -105,6 +119,91 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table[name].combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _flow_starts(stamps: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Where flows start among the sorted stamps of many keys; ``starts`` says where the keys do."""
+    found, times = [], stamps.tolist()
+    for at, past in zip(starts.tolist(), [*starts[1:].tolist(), len(times)]):
+        while at < past:
+            found.append(at)
+            at = bisect_left(times, times[at] + width, at + 1, past)
+    return np.array(found, np.int64)
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the segments that start at ``at``, in numbers without bound where 64 bits may not do."""
+    most = max(-int(values.min()), int(values.max()))
+    return np.add.reduceat(values if most * len(values) < 2**63 else values.astype(object), at)
+
+
+def _states(table: pa.Table, key: list[str], width: int) -> pa.Table:
+    """Of whole keys, the numbers of ``flows.flow_state`` of all their flows; the opener and squares of gaps in parts."""
+    codes = [pc.dictionary_encode(table[n].combine_chunks(), null_encoding="encode").indices.to_numpy() for n in key]
+    stamps, left = _numbers(table, "ts_us"), _numbers(table, "from_left")
+    # rows without a number come first, as in an ordered window
+    known, seq = table["seq"].combine_chunks().is_valid().to_numpy(zero_copy_only=False), table["seq"].fill_null(_LOW).to_numpy()
+    order = np.lexsort((stamps, *codes))
+    new = np.append(True, np.zeros(len(order) - 1, bool))
+    for code in codes:
+        new[1:] |= np.diff(code[order]) != 0
+    at = _flow_starts(stamps[order], np.flatnonzero(new), width)
+    flow = np.repeat(np.arange(len(at)), np.diff(at, append=len(order)))
+    order = order[np.lexsort((~left[order], seq[order], flow))]
+    stamps, left, known, seq = stamps[order], left[order], known[order], seq[order]
+    last = np.append(at[1:], len(order)) - 1
+    unknown = np.add.reduceat(~known, at, dtype=np.int64)
+    first, none = np.minimum(at + unknown, last), unknown > last - at
+
+    gaps = np.diff(stamps, prepend=stamps[:1])
+    gaps[1:][known[1:] & ~known[:-1]] = 0
+    gaps[at] = 0
+    short = np.abs(gaps) <= _SHORT_GAP
+    squares = np.where(short, gaps, 0) ** 2
+    found = {
+        "first_seq": (seq[first], none),
+        "first_right": (~left[first], none),
+        "stamps": (last - at + 1, None),
+        "first_stamp": (stamps[first], none),
+        "last_stamp": (stamps[last], none),
+        "squares_high": (np.add.reduceat(squares >> 32, at), None),
+        "squares_low": (np.add.reduceat(squares & (2**32 - 1), at), None),
+    }
+    value = {n: _numbers(table, n)[order] for n in ("packets", "bytes", "syn", "rst", "ack")}
+    found |= {n: (_sums(value[n], at), None) for n in ("syn", "rst", "ack")}
+    for side, mine in (("left", left), ("right", ~left)):
+        found |= {f"{side}_{n}": (_sums(np.where(mine, value[n], 0), at), None) for n in ("packets", "bytes")}
+        missing = ~np.logical_or.reduceat(mine, at)
+        found[f"{side}_first"] = np.minimum.reduceat(np.where(mine, stamps, _HIGH), at), missing
+        found[f"{side}_last"] = np.maximum.reduceat(np.where(mine, stamps, _LOW), at), missing
+    long = [None] * len(at)
+    if not short.all():
+        long = [str(x) if x else None for x in np.add.reduceat(np.where(short, 0, gaps).astype(object) ** 2, at)]
+    out = table.select(key).take(pa.array(order[at])).append_column("long_squares", pa.array(long, pa.string()))
+    for n, (numbers, missing) in found.items():
+        out = out.append_column(n, pa.array(numbers.astype(np.int64) if numbers.dtype == bool else numbers, pa.int64(), mask=missing))
+    return out
+
+
+def _cut_keys(rows: DataFrame, key: list[str], width: int) -> DataFrame:
+    """The state of the flows of keys that one task can hold, one shuffle away from their rows."""
+    name = F.xxhash64(*key)
+    # named behind the shuffle: hashes do not compress
+    placed = rows.repartition(name).withColumn("_key", name).sortWithinPartitions("_key")
+    parts = ["first_seq", "first_right", "squares_high", "squares_low"]
+    names = [*_SUMS, *(n for n in _LEAST if n != "opener"), *_MOST, "first_stamp", "last_stamp"]
+    own = [f for f in rows.schema.fields if f.name in key]
+    schema = T.StructType(
+        [*own, T.StructField("long_squares", T.StringType()), *[T.StructField(n, T.LongType()) for n in [*parts, *names]]]
+    )
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["_key"]):
+            yield from _states(table, key, width).select(schema.names).to_batches()
+
+    found = placed.mapInArrow(states, schema).withColumn("long_squares", F.col("long_squares").cast("decimal(38,0)"))
+    opener = (F.col("first_seq") * 2 + F.col("first_right")).alias("opener")
+    return found.select(*key, opener, *names, _gap_squares().alias("gap_squares"))
+
+
 def _steps(stamps: np.ndarray, slices: np.ndarray, starts: np.ndarray, width: int, slice_us: int):
     """Step functions of many slices at once: where among the sorted stamps a step ends, and where it leads.
 
