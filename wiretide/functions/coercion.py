@@ -26,8 +26,8 @@ def scalar_text(value: Column) -> Column:
 
 def scalar_int(value: Column) -> Column:
     """Whole number or NULL; decimals, junk and what no bigint holds are NULL."""
-    text = F.trim(first_value(value))
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("bigint")
+    # named once: a list is parsed anew wherever it stands in the expression
+    return F.regexp_extract(F.trim(first_value(value)), r"^[+-]?[0-9]+$", 0).try_cast("bigint")
 
 
 def scalar_ip(value: Column) -> Column:

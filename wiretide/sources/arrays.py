@@ -29,6 +29,7 @@ from wiretide.session import scratch_folder, written
 
 _QUOTE, _ESCAPE, _OPEN = b'"\\{'
 _SPLIT = ("file", "block")
+_GROWTH = 16
 _SUMS = pa.schema(
     [("file", pa.string()), ("name", pa.string()), *[(n, pa.int64()) for n in ("block", "odd", "step0", "step1")]]
 )
@@ -214,6 +215,15 @@ def _cutter(whole: bool):
     return cut
 
 
+def _never_split(spark: SparkSession, text: DataFrame) -> int:
+    """A size up to which no file of the scan is split, with room for a cluster that grows to ``_GROWTH`` times its cores."""
+    sizes = spark._jsparkSession.sessionState().conf()
+    total = int(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / sizes.fileCompressionFactor()
+    set_cores = [int(sizes.getConfString(f"spark.sql.{n}", "1")) for n in ("files.minPartitionNum", "leafNodeDefaultParallelism")]
+    cores = max(spark.sparkContext.defaultParallelism * _GROWTH, *set_cores)
+    return min(sizes.filesMaxPartitionBytes(), max(sizes.filesOpenCostInBytes(), int(total / cores)))
+
+
 def array_objects(spark: SparkSession, path: str) -> DataFrame:
     """``file`` (path), its ``name`` and ``value``, one row per outermost object of each file, as text, in no order.
 
@@ -224,13 +234,16 @@ def array_objects(spark: SparkSession, path: str) -> DataFrame:
     fields = ("file_path", "file_name", "file_block_start", "file_block_length", "file_size")
     meta = {n: F.col(f"_metadata.{n}") for n in fields}
     whole = (meta["file_block_start"] == 0) & (meta["file_block_length"] == meta["file_size"])
+    small = meta["file_size"] <= _never_split(spark, text)
+    broken = F.raise_error(F.lit("a small file was split: the cluster grew too much since the scan was planned")).cast("boolean")
     value = F.concat("value", F.lit("}")).alias("value")
     file, name = meta["file_path"].alias("file"), F.substring_index("file", "/", -1).alias("name")
     # paths are long and fragments short: most rows go without
     lean = [F.xxhash64(meta["file_path"]).alias("split"), F.when(F.contains(F.col("value"), F.lit("{")), meta["file_path"]).alias("file")]
-    objects = text.where(whole).select(*lean, value).mapInArrow(_cut_files, "file string, value string").select("file", name, "value")
+    objects = text.where(F.when(whole, True).when(small, broken).otherwise(False)).select(*lean, value).mapInArrow(_cut_files, "file string, value string").select("file", name, "value")
     plain = F.regexp_replace("value", r"^[\s,\[\]]+", "").alias("value")
-    pieces = text.where(~whole).select(file, meta["file_name"].alias("name"), meta["file_block_start"].alias("block"), value)
+    # small files are not even listed for this scan
+    pieces = text.where(~small & ~whole).select(file, meta["file_name"].alias("name"), meta["file_block_start"].alias("block"), value)
     splits = pieces.mapInArrow(
         _sum_splits, "file string, name string, block bigint, odd bigint, step0 bigint, step1 bigint"
     )
